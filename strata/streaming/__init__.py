@@ -1,0 +1 @@
+"""Structured Streaming: not used -- the source warehouse is batch full reload (see README)."""
