@@ -36,6 +36,7 @@ class Warehouse:
         self.store = store
         self.as_of = as_of
         self.rows: dict[str, int] = {}
+        self.bronze_frames: dict[str, DataFrame] | None = None
         self.products_unique = False
         self.customers_unique = False
 
@@ -48,6 +49,7 @@ class Warehouse:
         if land_bronze:
             land_bronze_frames(spark, bronze, store)
             bronze = None
+        wh.bronze_frames = bronze
         metrics = load_silver(spark, store, as_of=as_of, bronze=bronze)
         wh.rows.update({f"silver.{r.table_name}": r.rows for r in metrics.collect() if r.table_name != "(batch)"})
         wh.build_gold()
@@ -75,6 +77,9 @@ class Warehouse:
         return self.store.read("silver", name).drop(AUDIT_COLUMN)
 
     def bronze(self, name: str) -> DataFrame:
+        """Bronze rows: the landed table, or the frames the build started from."""
+        if self.bronze_frames is not None:
+            return self.bronze_frames[name]
         return self.store.read("bronze", name)
 
     def dim_customers(self) -> DataFrame:
