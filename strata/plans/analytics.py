@@ -125,12 +125,10 @@ def n5_category_share(wh) -> DataFrame:
 
 # --- N6 / N7 reporting views ------------------------------------------------------------
 def n6_report_customers(wh) -> DataFrame:
-    base = wh.star(customer=["customer_number", "first_name", "last_name", "birthdate"],
-                   customer_key=True, product_key=True)
-    return report_customers(base, wh.as_of)
+    facts = wh.star(customer_key=True, product_key=True)
+    return report_customers(facts, wh.dim_customers(), wh.as_of, customers_rows=wh.rows.get("gold.dim_customers"))
 
 
 def n7_report_products(wh) -> DataFrame:
-    base = wh.star(product=["product_name", "category", "subcategory", "cost"],
-                   product_key=True, customer_key=True)
-    return report_products(base, wh.as_of)
+    facts = wh.star(product_key=True, customer_key=True)
+    return report_products(facts, wh.dim_products(), wh.as_of, products_rows=wh.rows.get("gold.dim_products"))

@@ -78,14 +78,22 @@ def land_bronze_frames(spark: SparkSession, frames: dict[str, DataFrame], store:
 
 
 def load_silver(spark: SparkSession, store: LayerStore, as_of: date | str | None = None,
-                bronze: dict[str, DataFrame] | None = None, parallel: bool = True) -> DataFrame:
+                bronze: dict[str, DataFrame] | None = None, parallel: bool = True,
+                spread: dict[str, int] | None = None) -> DataFrame:
     """S12: the six silver transforms, each stamped with ``dwh_create_date``.
 
-    Bronze is read from ``store`` unless frames are passed in.
+    Bronze is read from ``store`` unless frames are passed in.  ``spread``
+    names tables to rewrite as N evenly sized files; use it only when the
+    source arrives in fewer splits than the cluster has cores (one big
+    unsplittable file), otherwise the write keeps the input's parallelism and
+    adds no shuffle.
     """
+    spread = spread or {}
+
     def step(name: str) -> DataFrame:
         src = bronze[name] if bronze is not None else store.read("bronze", name)
-        return transform(name, src, as_of).withColumn(AUDIT_COLUMN, F.current_timestamp())
+        out = transform(name, src, as_of).withColumn(AUDIT_COLUMN, F.current_timestamp())
+        return out.repartition(spread[name]) if name in spread else out
 
     steps = {name: (lambda n=name: step(n)) for name in LOAD_ORDER}
     return _run(spark, "silver", steps, store, parallel)

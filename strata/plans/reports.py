@@ -1,10 +1,12 @@
 """Reporting views (G4, G5): one row per customer / per product with KPIs.
 
-Shape: base rows (fact with one dimension) -> one aggregate per entity ->
-labels and ratios.  The aggregate is the only shuffle; its partial
-aggregation runs before the shuffle, and the distinct counts are first
-de-duplicated on (entity, value), so a very busy customer or product is
-spread over many tasks instead of one.
+Shape: fact lines (surrogate keys only) -> one aggregate per entity ->
+dimension attributes -> labels and ratios.  The aggregate is the only
+fact-sized shuffle and carries narrow rows; its partial aggregation runs
+before the shuffle, and the distinct counts are first de-duplicated on
+(entity, value), so a very busy customer or product is spread over many
+tasks instead of one.  Attributes are joined to one row per entity, not to
+every line.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import (as_of_date, first_match, full_name, guarded_idiv, month_boundaries,
                               year_boundaries)
+from strata.operators.joins import lookup
 from strata.schemas import GOLD
 
 
@@ -50,18 +53,19 @@ def _conform(df: DataFrame, view: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in GOLD[view].fields])
 
 
-def report_customers(base_star: DataFrame, as_of: date | str | None = None,
-                     t: CustomerThresholds = CustomerThresholds()) -> DataFrame:
-    """G4.  ``base_star`` = fact with product_key, customer_key, customer_number,
-    first_name, last_name, birthdate."""
+def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str | None = None,
+                     t: CustomerThresholds = CustomerThresholds(), customers_rows: int | None = None) -> DataFrame:
+    """G4.  ``facts`` = fact rows with customer_key and product_key;
+    ``customers`` = the customer dimension.
+
+    The source groups by (key, number, name, age); all four are fixed by the
+    surrogate key (one dimension row per key, all NULL for lines without a
+    customer), so the lines are aggregated on the key alone and the
+    attributes are attached to the aggregated rows.
+    """
     today = as_of_date(as_of)
-    base = base_star.filter(F.col("order_date").isNotNull()).select(
-        "order_number", "product_key", "order_date", "sales_amount", "quantity", "customer_key",
-        "customer_number",
-        full_name("first_name", "last_name").alias("customer_name"),
-        year_boundaries("birthdate", today).alias("age"),
-    )
-    agg = base.groupBy("customer_key", "customer_number", "customer_name", "age").agg(
+    lines = facts.filter(F.col("order_date").isNotNull())
+    agg = lines.groupBy("customer_key").agg(
         F.countDistinct("order_number").alias("total_orders"),
         F.sum("sales_amount").alias("total_sales"),
         F.sum("quantity").alias("total_quantity"),
@@ -69,6 +73,15 @@ def report_customers(base_star: DataFrame, as_of: date | str | None = None,
         F.max("order_date").alias("last_order_date"),
         month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
     )
+    attrs = customers.select(
+        "customer_key", "customer_number",
+        full_name("first_name", "last_name").alias("customer_name"),
+        year_boundaries("birthdate", today).alias("age"),
+    )
+    agg = lookup(agg, attrs, "customer_key", "customer_key", ["customer_number", "customer_name", "age"],
+                 customers_rows)
+    # Lines without a customer form one group whose name is ' ' (CONCAT of NULLs).
+    agg = agg.withColumn("customer_name", F.coalesce("customer_name", full_name(F.lit(None), F.lit(None))))
     age = F.col("age")
     age_group = first_match(
         [(age < t.under_age, t.under_label)] + [(age.between(lo, hi), label) for lo, hi, label in t.bands],
@@ -87,14 +100,15 @@ def report_customers(base_star: DataFrame, as_of: date | str | None = None,
     return _conform(out, "report_customers")
 
 
-def report_products(base_star: DataFrame, as_of: date | str | None = None,
-                    t: ProductThresholds = ProductThresholds()) -> DataFrame:
-    """G5.  ``base_star`` = fact with product_key, customer_key, product_name,
-    category, subcategory, cost."""
+def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | None = None,
+                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None) -> DataFrame:
+    """G5.  ``facts`` = fact rows with product_key and customer_key;
+    ``products`` = the product dimension.  Aggregated on the key, attributes
+    attached afterwards (see ``report_customers``)."""
     today = as_of_date(as_of)
-    base = base_star.filter(F.col("order_date").isNotNull())
+    lines = facts.filter(F.col("order_date").isNotNull())
     unit_price = F.col("sales_amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0))
-    agg = base.groupBy("product_key", "product_name", "category", "subcategory", "cost").agg(
+    agg = lines.groupBy("product_key").agg(
         month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
         F.max("order_date").alias("last_sale_date"),
         F.countDistinct("order_number").alias("total_orders"),
@@ -103,6 +117,8 @@ def report_products(base_star: DataFrame, as_of: date | str | None = None,
         F.sum("quantity").alias("total_quantity"),
         F.round(F.avg(unit_price), 1).alias("avg_selling_price"),
     )
+    agg = lookup(agg, products, "product_key", "product_key", ["product_name", "category", "subcategory", "cost"],
+                 products_rows)
     sales = F.col("total_sales")
     tier = first_match([(sales > t.high_revenue, "High-Performer"), (sales >= t.mid_revenue, "Mid-Range")],
                        "Low-Performer")
