@@ -1,7 +1,8 @@
 """Silver transforms: one pure ``bronze DataFrame -> silver DataFrame`` per table.
 
-T1 and T2 shuffle by their key (an aggregate and a window); T3-T6 are
-map-only projections that run inside one codegen stage per scan split.
+T1 and T2 shuffle by their key (an aggregate, and an aggregate plus a
+window over distinct start dates); T3-T6 are map-only projections that run
+inside one codegen stage per scan split.
 The audit column is added by the load job, not here.
 """
 
@@ -9,11 +10,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import as_of_date, decode, yyyymmdd_to_date
 from strata.operators.keys import keep_latest
+from strata.operators.windows import next_start
 from strata.schemas import SILVER
 
 # Code tables of the source system.
@@ -59,12 +61,13 @@ def silver_products(bronze: DataFrame) -> DataFrame:
     """T2: split the composite key, default the cost, decode the line, and
     derive each version's end date as the day before the next version starts.
 
-    The window runs on the *raw* key (category prefix included), before the
-    key is shortened.  The raw end date is ignored: it is unreliable.
+    The next start is taken over the *raw* key (category prefix included),
+    before the key is shortened, in (start, id) order.  The raw end date is
+    ignored: it is unreliable.
     """
     raw_key = F.col("prd_key")
-    next_start = F.lead("prd_start_dt").over(Window.partitionBy(raw_key).orderBy("prd_start_dt"))
-    out = bronze.select(
+    versions = next_start(bronze, key="prd_key", start="prd_start_dt", tie="prd_id", out="_next_start")
+    out = versions.select(
         "prd_id",
         F.replace(F.substring(raw_key, 1, 5), F.lit("-"), F.lit("_")).alias("cat_id"),
         F.expr("substring(prd_key, 7)").alias("prd_key"),
@@ -72,7 +75,7 @@ def silver_products(bronze: DataFrame) -> DataFrame:
         F.coalesce(F.col("prd_cost"), F.lit(0)).alias("prd_cost"),
         decode("prd_line", PRODUCT_LINE_CODES, UNKNOWN).alias("prd_line"),
         F.col("prd_start_dt").cast("date").alias("prd_start_dt"),
-        F.date_sub(next_start.cast("date"), 1).alias("prd_end_dt"),
+        F.date_sub(F.col("_next_start").cast("date"), 1).alias("prd_end_dt"),
     )
     return _conform(out, "crm_prd_info")
 

@@ -115,3 +115,15 @@ def test_star_skips_unused_unique_dimension(spark):
     assert gold.star(sales, prod, cust, products_unique=True).count() == 2
     # proven unique and unused: no join, same count
     assert gold.star(sales, prod, cust, products_unique=True, customers_unique=True).count() == 1
+
+
+def test_next_start_matches_lead_with_ties_and_nulls(spark):
+    from strata.operators.windows import next_start
+
+    rnd = random.Random(3)
+    data = [(i, rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(6)])) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, k string, s int")
+    got = dict(rows(next_start(df, "k", "s", "id", "nxt"), "id", "nxt"))
+    w = Window.partitionBy("k").orderBy(F.col("s").asc_nulls_first(), "id")
+    exp = dict(rows(df.withColumn("nxt", F.lead("s").over(w)), "id", "nxt"))
+    assert got == exp
