@@ -37,7 +37,8 @@ BRONZE = {
     "erp_px_cat_g1v2": _struct(("id", S), ("cat", S), ("subcat", S), ("maintenance", S)),
 }
 
-# Source file per bronze table, relative to the landing folder (CRM / ERP).
+# The extract file of each bronze table, relative to the
+# landing folder, as the two source systems deliver them.
 SOURCE_FILES = {
     "crm_cust_info": "source_crm/cust_info.csv",
     "crm_prd_info": "source_crm/prd_info.csv",
