@@ -60,10 +60,11 @@ class Warehouse:
     @classmethod
     def from_standin(cls, spark: SparkSession, sf_dir: str, as_of: date | str | None = None) -> "Warehouse":
         """Warehouse over the driver tables.  Their Parquet files hold a single
-        row group each, so a scan is one task; the sales table is therefore
-        rewritten as one file per core so that fact queries scan in parallel."""
-        spread = {"crm_sales_details": spark.sparkContext.defaultParallelism}
-        return cls.build(spark, standin_bronze(spark, sf_dir), as_of=as_of, spread=spread)
+        row group each, so a scan is one task; the line items are spread over
+        all cores after the scan, so the sales load runs in parallel and the
+        silver sales table is written as one file per core."""
+        cores = spark.sparkContext.defaultParallelism
+        return cls.build(spark, standin_bronze(spark, sf_dir, spread=cores), as_of=as_of)
 
     def build_gold(self) -> None:
         """Store both dimensions (built as two concurrent Spark jobs), measure

@@ -138,13 +138,20 @@ def standin_sql(name: str, table_ref=lambda t: t) -> str:
     return STANDIN_SQL[name].format(**{t: table_ref(t) for t in DRIVER_TABLES})
 
 
-def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
-
-
-def standin_bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def read_driver_tables(spark: SparkSession, sf_dir: str, spread: int | None = None) -> dict[str, DataFrame]:
+    """The driver tables.  ``spread`` redistributes the line items over that
+    many partitions right after the scan: the driver writes each table as one
+    Parquet row group, which Spark can only read in one task, and everything
+    downstream of the sales scan would otherwise stay in that task."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+    if spread:
+        tables["lineitem"] = tables["lineitem"].repartition(spread)
+    return tables
+
+
+def standin_bronze(spark: SparkSession, sf_dir: str, spread: int | None = None) -> dict[str, DataFrame]:
     """The six bronze frames (lazy) with the declared bronze schemas."""
-    tables = read_driver_tables(spark, sf_dir)
+    tables = read_driver_tables(spark, sf_dir, spread)
     out = {}
     for name, schema in BRONZE.items():
         df = spark.sql(standin_sql(name, lambda t: "{" + t + "}"), **tables)

@@ -54,3 +54,18 @@ def test_quality_summary(spark):
                "qg3_customer_key_dupes", "qg6_product_key_dupes", "qg7_missing_start_date"):
         assert s[ok].status == "ok", ok
     assert all(r.status == "ok" for k, r in s.items() if k.startswith("structure:"))
+
+
+def test_published_catalog_matches_warehouse(spark):
+    from strata.sources import catalog
+
+    wh = entry.warehouse(spark, SF)
+    catalog.publish(wh, prefix="t_")
+    view = spark.table("t_gold.fact_sales")
+    assert view.columns == wh.fact_sales().columns
+    assert view.exceptAll(wh.fact_sales()).count() == 0 and wh.fact_sales().exceptAll(view).count() == 0
+    kinds = {(r.table_schema, r.table_name): r.table_type for r in catalog.objects(spark, "t_").collect()}
+    assert kinds[("t_gold", "fact_sales")] == "VIEW" and kinds[("t_silver", "crm_sales_details")] == "BASE TABLE"
+    cols = catalog.columns(spark, "gold", "t_").filter("table_name = 'dim_products'").collect()
+    assert [c.column_name for c in cols][:2] == ["product_key", "product_id"]
+    assert spark.sql("SELECT count(*) FROM t_silver.crm_cust_info").first()[0] == wh.rows["silver.crm_cust_info"]
