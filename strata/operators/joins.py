@@ -27,19 +27,20 @@ def sized_broadcast(df: DataFrame, rows: int | None, max_rows: int = MAX_BROADCA
 
 
 def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, take: Sequence[str],
-           dim_rows: int | None = None) -> DataFrame:
+           dim_rows: int | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``fact LEFT JOIN dim ON fact_key = dim_key``, adding ``take`` columns.
 
     Fan-out is not prevented: a duplicated ``dim_key`` multiplies fact rows,
     exactly as the SQL join does (the uniqueness checks report it).
     """
     side = dim.select(dim[dim_key].alias("_lookup_key"), *[dim[c] for c in take])
-    side = sized_broadcast(side, dim_rows)
+    side = sized_broadcast(side, dim_rows, max_rows)
     out = fact.join(side, fact[fact_key] == side["_lookup_key"], "left")
     return out.drop("_lookup_key")
 
 
-def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_rows: int | None = None) -> DataFrame:
+def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_rows: int | None = None,
+            max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Fact rows whose ``key`` has no dimension row; NULL keys are orphans too."""
-    side = sized_broadcast(dim.select(key), dim_rows)
+    side = sized_broadcast(dim.select(key), dim_rows, max_rows)
     return fact.join(side, key, "left_anti")

@@ -62,9 +62,8 @@ def n2_running_totals(wh) -> DataFrame:
 # --- N3 performance ------------------------------------------------------------------
 def n3_yoy_products(wh) -> DataFrame:
     """Yearly sales per product name against the name's own mean and its prior year."""
-    yearly = _dated(wh, product=["product_name"]).groupBy(
-        F.year("order_date").alias("order_year"), "product_name"
-    ).agg(F.sum("sales_amount").alias("current_sales"))
+    yearly = wh.rollup_products(["product_name"], [("current_sales", "sum", "sales_amount")],
+                                by=[F.year("order_date").alias("order_year")], dated=True)
     per_name = Window.partitionBy("product_name")
     by_year = Window.partitionBy("product_name").orderBy("order_year")
     avg_sales = idiv(F.sum("current_sales").over(per_name), F.count("current_sales").over(per_name))
@@ -101,10 +100,11 @@ def n4a_cost_ranges(wh) -> DataFrame:
 def n4b_customer_segments(wh, t: CustomerThresholds = CustomerThresholds()) -> DataFrame:
     """Customers per lifecycle segment.  All fact rows count (no date filter);
     the group of rows without a customer is kept and counts as 0."""
-    per_customer = wh.star(customer_key=True).groupBy("customer_key").agg(
-        F.sum("sales_amount").alias("total_spending"),
-        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
-    )
+    per_customer = wh.rollup_customers(
+        ["customer_key"],
+        [("total_spending", "sum", "sales_amount"), ("first_order", "min", "order_date"),
+         ("last_order", "max", "order_date")],
+    ).withColumn("lifespan", month_boundaries("first_order", "last_order"))
     seg = segment(F.col("lifespan"), F.col("total_spending"), t.vip_lifespan_months, t.vip_spend)
     return (per_customer.select("customer_key", seg.alias("customer_segment"))
             .groupBy("customer_segment").agg(F.count("customer_key").alias("total_customers"))
@@ -113,7 +113,7 @@ def n4b_customer_segments(wh, t: CustomerThresholds = CustomerThresholds()) -> D
 
 # --- N5 part-to-whole -------------------------------------------------------------------
 def n5_category_share(wh) -> DataFrame:
-    by_category = wh.star(product=["category"]).groupBy("category").agg(F.sum("sales_amount").alias("total_sales"))
+    by_category = wh.rollup_products(["category"], [("total_sales", "sum", "sales_amount")])
     everything = Window.partitionBy()
     overall = F.sum("total_sales").over(everything)
     return by_category.select(

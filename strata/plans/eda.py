@@ -175,17 +175,17 @@ def e6_4_avg_cost_by_category(wh) -> DataFrame:
             .orderBy(F.desc("avg_cost")))
 
 
+REVENUE = [("total_revenue", "sum", "sales_amount")]
+
+
 def e6_5_revenue_by_category(wh) -> DataFrame:
-    return (wh.star(product=["category"]).groupBy("category")
-            .agg(F.sum("sales_amount").alias("total_revenue")).orderBy(F.desc("total_revenue")))
+    return wh.rollup_products(["category"], REVENUE).orderBy(F.desc("total_revenue"))
 
 
 def _revenue_by_customer(wh) -> DataFrame:
-    f = wh.star(customer=["first_name", "last_name"], customer_key=True)
-    return f.groupBy("customer_key", "first_name", "last_name").agg(
-        F.sum("sales_amount").alias("total_revenue")
-    ).select("customer_key", full_name("first_name", "last_name").alias("customer_name"), "total_revenue",
-             "first_name", "last_name")
+    agg = wh.rollup_customers(["customer_key", "first_name", "last_name"], REVENUE)
+    return agg.select("customer_key", full_name("first_name", "last_name").alias("customer_name"),
+                      "total_revenue", "first_name", "last_name")
 
 
 def e6_6_revenue_by_customer(wh) -> DataFrame:
@@ -193,27 +193,25 @@ def e6_6_revenue_by_customer(wh) -> DataFrame:
 
 
 def e6_7_units_by_country(wh) -> DataFrame:
-    return (wh.star(customer=["country"]).groupBy("country")
-            .agg(F.sum("quantity").alias("total_units_sold")).orderBy(F.desc("total_units_sold")))
+    return (wh.rollup_customers(["country"], [("total_units_sold", "sum", "quantity")])
+            .orderBy(F.desc("total_units_sold")))
 
 
 # --- E7 ranking ------------------------------------------------------------------------
 def e7_1a_top_products(wh, k: int = 5) -> DataFrame:
     cols = ["product_name", "category", "subcategory"]
-    agg = wh.star(product=cols).groupBy(*cols).agg(F.sum("sales_amount").alias("total_revenue"))
+    agg = wh.rollup_products(cols, REVENUE)
     return top_k(agg, [F.desc_nulls_last("total_revenue")] + [F.asc_nulls_first(c) for c in cols], k)
 
 
 def e7_1b_top_products_ranked(wh, k: int = 5) -> DataFrame:
-    agg = (wh.star(product=["product_name"]).groupBy("product_name")
-           .agg(F.sum("sales_amount").alias("total_revenue")))
+    agg = wh.rollup_products(["product_name"], REVENUE)
     return rank_filter(agg, [F.desc_nulls_last("total_revenue"), F.asc_nulls_first("product_name")], k,
                        "revenue_rank")
 
 
 def e7_2_top_subcategories(wh, k: int = 5) -> DataFrame:
-    agg = (wh.star(product=["subcategory"]).groupBy("subcategory")
-           .agg(F.sum("sales_amount").alias("total_revenue")))
+    agg = wh.rollup_products(["subcategory"], REVENUE)
     return top_k(agg, [F.desc_nulls_last("total_revenue"), F.asc_nulls_first("subcategory")], k)
 
 
@@ -225,9 +223,8 @@ def e7_3_top_customers(wh, k: int = 10) -> DataFrame:
 
 
 def e7_4_fewest_orders(wh, k: int = 3) -> DataFrame:
-    f = wh.star(customer=["first_name", "last_name"], customer_key=True)
-    agg = f.groupBy("customer_key", "first_name", "last_name").agg(
-        F.countDistinct("order_number").alias("total_orders"))
+    agg = wh.rollup_customers(["customer_key", "first_name", "last_name"],
+                              [("total_orders", "count_distinct", "order_number")])
     ranked = rank_filter(agg, [F.asc_nulls_first("total_orders"), F.asc_nulls_first("customer_key"),
                                F.asc_nulls_first("first_name"), F.asc_nulls_first("last_name")], k,
                          "order_frequency_rank")
@@ -237,5 +234,5 @@ def e7_4_fewest_orders(wh, k: int = 3) -> DataFrame:
 
 def e7_5_bottom_products(wh, k: int = 5) -> DataFrame:
     cols = ["product_name", "subcategory"]
-    agg = wh.star(product=cols).groupBy(*cols).agg(F.sum("sales_amount").alias("total_revenue"))
+    agg = wh.rollup_products(cols, REVENUE)
     return top_k(agg, [F.asc_nulls_first("total_revenue")] + [F.asc_nulls_first(c) for c in cols], k)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.joins import lookup
+from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
 from strata.operators.keys import dense_key
 from strata.schemas import GOLD
 
@@ -107,23 +107,76 @@ FACT_MEASURES = (
 )
 
 
+def lines(sales: DataFrame) -> DataFrame:
+    """Fact lines under their fact names, still carrying the natural keys."""
+    return sales.select("sls_prd_key", "sls_cust_id", *[F.col(a).alias(b) for a, b in FACT_MEASURES])
+
+
 def star(sales: DataFrame, dim_products: DataFrame, dim_customers: DataFrame, *,
          product: Sequence[str] = (), customer: Sequence[str] = (),
          product_key: bool = False, customer_key: bool = False,
          products_unique: bool = False, customers_unique: bool = False,
-         products_rows: int | None = None, customers_rows: int | None = None) -> DataFrame:
+         products_rows: int | None = None, customers_rows: int | None = None,
+         max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Fact rows with the requested surrogate keys and dimension attributes."""
-    fact = sales.select("sls_prd_key", "sls_cust_id", *[F.col(a).alias(b) for a, b in FACT_MEASURES])
+    fact = lines(sales)
     if product or product_key or not products_unique:
         take = ["product_key", *[c for c in product if c != "product_key"]]
-        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_rows)
+        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_rows, max_broadcast_rows)
     if customer or customer_key or not customers_unique:
         take = ["customer_key", *[c for c in customer if c != "customer_key"]]
-        fact = lookup(fact, dim_customers, "sls_cust_id", "customer_id", take, customers_rows)
+        fact = lookup(fact, dim_customers, "sls_cust_id", "customer_id", take, customers_rows, max_broadcast_rows)
     return fact.drop("sls_prd_key", "sls_cust_id")
 
 
+# How a partial result of each mergeable aggregate is merged again.
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def rollup(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, attrs: Sequence[str],
+           aggs: Sequence[tuple[str, str, str]], by: Sequence = (), dim_rows: int | None = None,
+           max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Aggregate fact lines to (``by``..., dimension ``attrs``...).
+
+    ``aggs`` are (output, function, fact column) with function sum, min or
+    max, or a single (output, "count_distinct", column); ``by`` are extra grouping columns of the fact line.  A dimension
+    small enough to broadcast is looked up on every line and aggregated once.
+    A larger one is not joined to lines at all: the lines are aggregated per
+    natural key first (combined map-side, one row per key and group), the
+    attributes are looked up on those rows, and the partial results merged --
+    the big join then moves one row per key instead of one per line.  Both
+    give the rows of ``fact LEFT JOIN dim`` grouped by the attributes, a
+    duplicated dimension key included (each copy receives the key's totals).
+    """
+    by_cols = [F.col(b) if isinstance(b, str) else b for b in by]
+    by_names = [fact_lines.select(c).columns[0] for c in by_cols]
+    if len(aggs) == 1 and aggs[0][1] == "count_distinct":
+        return _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, aggs[0], by_cols, by_names,
+                                dim_rows, max_broadcast_rows)
+    if dim_rows is not None and dim_rows <= max_broadcast_rows:
+        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+        return looked.groupBy(*by_cols, *attrs).agg(*[_MERGE[fn](c).alias(out) for out, fn, c in aggs])
+    partial = fact_lines.groupBy(fact_key, *by_cols).agg(*[_MERGE[fn](c).alias(out) for out, fn, c in aggs])
+    looked = lookup(partial, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+    return looked.groupBy(*by_names, *attrs).agg(*[_MERGE[fn](out).alias(out) for out, fn, _ in aggs])
+
+
 def fact_sales(sales: DataFrame, dim_products: DataFrame, dim_customers: DataFrame, **sizes) -> DataFrame:
     """G3: the fact view, one row per order line (more if a key is duplicated)."""
     f = star(sales, dim_products, dim_customers, product_key=True, customer_key=True, **sizes)
     return _conform(f, "fact_sales")
+
+
+def _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, agg, by_cols, by_names, dim_rows,
+                     max_broadcast_rows) -> DataFrame:
+    """``COUNT(DISTINCT col)`` per attributes.  For a large dimension the lines
+    are first reduced to distinct (natural key, col) pairs; the count stays
+    distinct because keys that share an attribute group (e.g. all unmatched
+    keys) may share values."""
+    out, _, col = agg
+    if dim_rows is not None and dim_rows <= max_broadcast_rows:
+        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+        return looked.groupBy(*by_cols, *attrs).agg(F.countDistinct(col).alias(out))
+    pairs = fact_lines.select(fact_key, *by_cols, col).distinct()
+    looked = lookup(pairs, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+    return looked.groupBy(*by_names, *attrs).agg(F.countDistinct(col).alias(out))

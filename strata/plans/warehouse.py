@@ -17,6 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.joins import MAX_BROADCAST_ROWS
 from strata.plans import gold
 from strata.plans.jobs import land_bronze_frames, load_silver
 from strata.schemas import AUDIT_COLUMN
@@ -40,6 +41,9 @@ class Warehouse:
         self.bronze_frames: dict[str, DataFrame] | None = None
         self.products_unique = False
         self.customers_unique = False
+        # Largest dimension (rows) looked up by broadcast; above it, queries
+        # aggregate fact lines per natural key before joining attributes.
+        self.max_broadcast_rows = MAX_BROADCAST_ROWS
 
     # --- construction ----------------------------------------------------------
     @classmethod
@@ -109,6 +113,7 @@ class Warehouse:
         return dict(
             products_unique=self.products_unique, customers_unique=self.customers_unique,
             products_rows=self.rows.get("gold.dim_products"), customers_rows=self.rows.get("gold.dim_customers"),
+            max_broadcast_rows=self.max_broadcast_rows,
         )
 
     def fact_sales(self) -> DataFrame:
@@ -120,3 +125,18 @@ class Warehouse:
         return gold.star(self.silver("crm_sales_details"), self.dim_products(), self.dim_customers(),
                          product=product, customer=customer, product_key=product_key,
                          customer_key=customer_key, **self._sizes())
+
+    def lines(self, dated: bool = False) -> DataFrame:
+        """Fact lines with their natural keys (``dated``: order date present)."""
+        out = gold.lines(self.silver("crm_sales_details"))
+        return out.filter(F.col("order_date").isNotNull()) if dated else out
+
+    def rollup_products(self, attrs, aggs, by=(), dated: bool = False) -> DataFrame:
+        """Fact lines aggregated to product attributes (see ``gold.rollup``)."""
+        return gold.rollup(self.lines(dated), self.dim_products(), "sls_prd_key", "product_number", attrs, aggs,
+                           by, self.rows.get("gold.dim_products"), self.max_broadcast_rows)
+
+    def rollup_customers(self, attrs, aggs, by=(), dated: bool = False) -> DataFrame:
+        """Fact lines aggregated to customer attributes (see ``gold.rollup``)."""
+        return gold.rollup(self.lines(dated), self.dim_customers(), "sls_cust_id", "customer_id", attrs, aggs,
+                           by, self.rows.get("gold.dim_customers"), self.max_broadcast_rows)
