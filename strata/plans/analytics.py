@@ -20,29 +20,33 @@ def _dated(wh, **star) -> DataFrame:
 
 
 # --- N1 change over time ---------------------------------------------------------
-def _period_measures():
-    return (F.sum("sales_amount").alias("total_sales"),
-            F.countDistinct("customer_key").alias("total_customers"),
-            F.sum("quantity").alias("total_quantity"))
+def _by_period(wh, period) -> DataFrame:
+    """Sales, distinct buyers and units per period of dated lines.  With a
+    broadcastable customer dimension: one pass, buyer key looked up per line.
+    Otherwise the sums come straight from the lines (no join) and the buyers
+    from distinct (customer id, period) pairs, joined on the period."""
+    sums = (F.sum("sales_amount").alias("total_sales"), F.sum("quantity").alias("total_quantity"))
+    if wh.customers_broadcast():
+        f = _dated(wh, customer_key=True)
+        return f.groupBy(*period).agg(sums[0], F.countDistinct("customer_key").alias("total_customers"), sums[1])
+    totals = wh.lines(dated=True).groupBy(*period).agg(*sums)
+    buyers = wh.distinct_customers("total_customers", by=period, dated=True)
+    keys = [c for c in totals.columns if c not in ("total_sales", "total_quantity")]
+    return totals.join(buyers, keys, "left").select(*keys, "total_sales", "total_customers", "total_quantity")
 
 
 def n1a_sales_by_month(wh) -> DataFrame:
-    f = _dated(wh, customer_key=True)
-    year, month = F.year("order_date").alias("order_year"), F.month("order_date").alias("order_month")
-    return f.groupBy(year, month).agg(*_period_measures()).orderBy("order_year", "order_month")
+    period = [F.year("order_date").alias("order_year"), F.month("order_date").alias("order_month")]
+    return _by_period(wh, period).orderBy("order_year", "order_month")
 
 
 def n1b_sales_by_month_start(wh) -> DataFrame:
-    f = _dated(wh, customer_key=True)
-    return (f.groupBy(F.trunc("order_date", "MM").alias("order_date")).agg(*_period_measures())
-            .orderBy("order_date"))
+    return _by_period(wh, [F.trunc("order_date", "MM").alias("order_date")]).orderBy("order_date")
 
 
 def n1c_sales_by_month_label(wh) -> DataFrame:
     """Grouped by the text label 'yyyy-MMM'; sorts as text, like the source."""
-    f = _dated(wh, customer_key=True)
-    return (f.groupBy(F.date_format("order_date", "yyyy-MMM").alias("order_date")).agg(*_period_measures())
-            .orderBy("order_date"))
+    return _by_period(wh, [F.date_format("order_date", "yyyy-MMM").alias("order_date")]).orderBy("order_date")
 
 
 # --- N2 cumulative ------------------------------------------------------------------

@@ -139,8 +139,8 @@ def rollup(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, a
     """Aggregate fact lines to (``by``..., dimension ``attrs``...).
 
     ``aggs`` are (output, function, fact column) with function sum, min or
-    max, or a single (output, "count_distinct", column); ``by`` are extra grouping columns of the fact line.  A dimension
-    small enough to broadcast is looked up on every line and aggregated once.
+    max, or a single (output, "count_distinct", column); ``by`` are extra
+    grouping columns of the fact line.  A dimension small enough to broadcast is looked up on every line and aggregated once.
     A larger one is not joined to lines at all: the lines are aggregated per
     natural key first (combined map-side, one row per key and group), the
     attributes are looked up on those rows, and the partial results merged --
@@ -180,3 +180,19 @@ def _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, agg, by_cols, by
     pairs = fact_lines.select(fact_key, *by_cols, col).distinct()
     looked = lookup(pairs, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
     return looked.groupBy(*by_names, *attrs).agg(F.countDistinct(col).alias(out))
+
+
+def distinct_attribute(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, attr: str, out: str,
+                       by: Sequence = (), dim_rows: int | None = None,
+                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``COUNT(DISTINCT dim.attr)`` over ``fact LEFT JOIN dim``, grouped by fact
+    columns ``by`` (e.g. buyers per month).  For a large dimension only the
+    distinct (natural key, group) pairs are looked up, not every line."""
+    by_cols = [F.col(b) if isinstance(b, str) else b for b in by]
+    if dim_rows is not None and dim_rows <= max_broadcast_rows:
+        looked = lookup(fact_lines, dim, fact_key, dim_key, [attr], dim_rows, max_broadcast_rows)
+        return looked.groupBy(*by_cols).agg(F.countDistinct(attr).alias(out))
+    pairs = fact_lines.select(fact_key, *by_cols).distinct()
+    by_names = [c for c in pairs.columns if c != fact_key]
+    looked = lookup(pairs, dim, fact_key, dim_key, [attr], dim_rows, max_broadcast_rows)
+    return looked.groupBy(*by_names).agg(F.countDistinct(attr).alias(out))

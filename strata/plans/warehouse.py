@@ -140,3 +140,14 @@ class Warehouse:
         """Fact lines aggregated to customer attributes (see ``gold.rollup``)."""
         return gold.rollup(self.lines(dated), self.dim_customers(), "sls_cust_id", "customer_id", attrs, aggs,
                            by, self.rows.get("gold.dim_customers"), self.max_broadcast_rows)
+
+    def customers_broadcast(self) -> bool:
+        """True when the customer dimension is small enough to look up per line."""
+        rows = self.rows.get("gold.dim_customers")
+        return rows is not None and rows <= self.max_broadcast_rows
+
+    def distinct_customers(self, out: str, by=(), dated: bool = False) -> DataFrame:
+        """Distinct customer keys among fact lines, per ``by`` groups."""
+        return gold.distinct_attribute(self.lines(dated), self.dim_customers(), "sls_cust_id", "customer_id",
+                                       "customer_key", out, by, self.rows.get("gold.dim_customers"),
+                                       self.max_broadcast_rows)

@@ -75,7 +75,7 @@ LARGE_DIMENSION_QUERIES = [
     "g3_fact_sales", "qg1_fact_without_customer", "qg9_null_fact_keys", "e4_6_active_customers",
     "e5_kpi_report", "e6_5_revenue_by_category", "e6_6_revenue_by_customer", "e6_7_units_by_country",
     "e7_1a_top_products", "e7_1b_top_products_ranked", "e7_3_top_customers", "e7_4_fewest_orders",
-    "n1a_sales_by_month", "n3_yoy_products", "n4b_customer_segments", "n5_category_share",
+    "n1a_sales_by_month", "n1b_sales_by_month_start", "n1c_sales_by_month_label", "n3_yoy_products", "n4b_customer_segments", "n5_category_share",
     "g4_report_customers", "g5_report_products",
 ]
 
