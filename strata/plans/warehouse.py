@@ -17,7 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.joins import MAX_BROADCAST_ROWS
+from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
 from strata.plans import gold
 from strata.plans.jobs import land_bronze_frames, load_silver
 from strata.schemas import AUDIT_COLUMN
@@ -126,20 +126,35 @@ class Warehouse:
                          product=product, customer=customer, product_key=product_key,
                          customer_key=customer_key, **self._sizes())
 
-    def lines(self, dated: bool = False) -> DataFrame:
-        """Fact lines with their natural keys (``dated``: order date present)."""
+    def lines(self, dated: bool = False, fan_out: tuple[str, ...] = ("product", "customer")) -> DataFrame:
+        """Fact lines with their natural keys (``dated``: order date present).
+
+        Lines are repeated exactly as often as the fact view repeats them: a
+        dimension listed in ``fan_out`` whose natural key is not proven unique
+        is looked up (key only) so that a duplicated key duplicates its lines.
+        """
         out = gold.lines(self.silver("crm_sales_details"))
-        return out.filter(F.col("order_date").isNotNull()) if dated else out
+        if dated:
+            out = out.filter(F.col("order_date").isNotNull())
+        if "product" in fan_out and not self.products_unique:
+            out = lookup(out, self.dim_products(), "sls_prd_key", "product_number", ["product_key"],
+                         self.rows.get("gold.dim_products"), self.max_broadcast_rows).drop("product_key")
+        if "customer" in fan_out and not self.customers_unique:
+            out = lookup(out, self.dim_customers(), "sls_cust_id", "customer_id", ["customer_key"],
+                         self.rows.get("gold.dim_customers"), self.max_broadcast_rows).drop("customer_key")
+        return out
 
     def rollup_products(self, attrs, aggs, by=(), dated: bool = False) -> DataFrame:
         """Fact lines aggregated to product attributes (see ``gold.rollup``)."""
-        return gold.rollup(self.lines(dated), self.dim_products(), "sls_prd_key", "product_number", attrs, aggs,
-                           by, self.rows.get("gold.dim_products"), self.max_broadcast_rows)
+        return gold.rollup(self.lines(dated, fan_out=("customer",)), self.dim_products(), "sls_prd_key",
+                           "product_number", attrs, aggs, by, self.rows.get("gold.dim_products"),
+                           self.max_broadcast_rows)
 
     def rollup_customers(self, attrs, aggs, by=(), dated: bool = False) -> DataFrame:
         """Fact lines aggregated to customer attributes (see ``gold.rollup``)."""
-        return gold.rollup(self.lines(dated), self.dim_customers(), "sls_cust_id", "customer_id", attrs, aggs,
-                           by, self.rows.get("gold.dim_customers"), self.max_broadcast_rows)
+        return gold.rollup(self.lines(dated, fan_out=("product",)), self.dim_customers(), "sls_cust_id",
+                           "customer_id", attrs, aggs, by, self.rows.get("gold.dim_customers"),
+                           self.max_broadcast_rows)
 
     def customers_broadcast(self) -> bool:
         """True when the customer dimension is small enough to look up per line."""
@@ -147,7 +162,8 @@ class Warehouse:
         return rows is not None and rows <= self.max_broadcast_rows
 
     def distinct_customers(self, out: str, by=(), dated: bool = False) -> DataFrame:
-        """Distinct customer keys among fact lines, per ``by`` groups."""
-        return gold.distinct_attribute(self.lines(dated), self.dim_customers(), "sls_cust_id", "customer_id",
-                                       "customer_key", out, by, self.rows.get("gold.dim_customers"),
-                                       self.max_broadcast_rows)
+        """Distinct customer keys among fact lines, per ``by`` groups (repeated
+        lines add no new pairs, so no fan-out lookup is needed)."""
+        return gold.distinct_attribute(self.lines(dated, fan_out=()), self.dim_customers(), "sls_cust_id",
+                                       "customer_id", "customer_key", out, by,
+                                       self.rows.get("gold.dim_customers"), self.max_broadcast_rows)
