@@ -26,15 +26,21 @@ from strata.session import checkpoint_dir
 _BUCKET, _OFFSET, _N = "_range_id", "_range_offset", "_range_rows"
 
 
-def dense_key(df: DataFrame, order_by: Sequence[Column], key_name: str, ranges: int | None = None) -> DataFrame:
+def dense_key(df: DataFrame, order_by: Sequence[Column], key_name: str, ranges: int | None = None,
+              expensive_input: bool = False) -> DataFrame:
     """Add ``key_name`` = 1..N in ``order_by`` order (ascending NULLs first by default).
 
     ``order_by`` should end in a unique column so the numbering is
     deterministic; ties are numbered in an arbitrary but fixed order.
+    Range partitioning samples its input in a job of its own before the
+    shuffle; with ``expensive_input`` (say, a join of large tables) the input
+    is first written to the checkpoint folder so it is computed once.
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(spark)
+    if expensive_input:
+        df = df.checkpoint(eager=True)
     staged = df.repartitionByRange(n, *order_by).withColumn(_BUCKET, F.spark_partition_id())
     staged = staged.checkpoint(eager=True)
 

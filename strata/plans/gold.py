@@ -67,7 +67,9 @@ PRODUCT_KEY_ORDER = ("start_date", "product_number", "product_id")
 
 def build_dim_customers(customers: DataFrame, erp_customers: DataFrame, locations: DataFrame) -> DataFrame:
     rows = dim_customers_rows(customers, erp_customers, locations)
-    keyed = dense_key(rows, [F.col(c).asc_nulls_first() for c in CUSTOMER_KEY_ORDER], "customer_key")
+    # three customer-sized tables joined: computed once, not again for sampling
+    keyed = dense_key(rows, [F.col(c).asc_nulls_first() for c in CUSTOMER_KEY_ORDER], "customer_key",
+                      expensive_input=True)
     return _conform(keyed, "dim_customers")
 
 
