@@ -9,6 +9,7 @@ kind, status, violations) -- only counts reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,22 +239,26 @@ CHECKS: dict[str, tuple[str, Callable]] = {
 PROFILE_ONLY = {"qs16_country_values", "qg5_country_values"}
 
 
-def summary(wh) -> DataFrame:
+def _judge(wh, name: str, layer: str, fn: Callable) -> tuple:
+    df = fn(wh)
+    if name in ACCEPTED:
+        first = df.columns[0]
+        # a value profile: a handful of distinct values, bounded before collecting
+        values = {r[0] for r in df.select(first).limit(1000).collect()}
+        unexpected = sorted(v for v in values if v not in ACCEPTED[name])
+        return (layer, name, "profile", "ok" if not unexpected else "failed", len(unexpected))
+    if name in PROFILE_ONLY:
+        return (layer, name, "profile", "info", df.count())
+    n = df.count()
+    return (layer, name, "rule", "ok" if n == 0 else "failed", n)
+
+
+def summary(wh, parallel: int = 8) -> DataFrame:
     """One row per check.  Each check is one Spark job returning a count (or,
-    for value profiles, the handful of distinct values)."""
-    rows = []
-    for name, (layer, fn) in CHECKS.items():
-        df = fn(wh)
-        if name in ACCEPTED:
-            first = df.columns[0]
-            values = {r[0] for r in df.select(first).limit(1000).collect()}
-            unexpected = sorted(v for v in values if v not in ACCEPTED[name])
-            rows.append((layer, name, "profile", "ok" if not unexpected else "failed", len(unexpected)))
-        elif name in PROFILE_ONLY:
-            rows.append((layer, name, "profile", "info", df.count()))
-        else:
-            n = df.count()
-            rows.append((layer, name, "rule", "ok" if n == 0 else "failed", n))
+    for value profiles, the handful of distinct values); the jobs are
+    independent and submitted ``parallel`` at a time."""
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        rows = list(pool.map(lambda item: _judge(wh, item[0], *item[1]), CHECKS.items()))
     for layer, frames, schemas in [
         ("silver", {n: wh.store.read("silver", n) for n in SILVER}, {n: with_audit(s) for n, s in SILVER.items()}),
         ("gold", {"dim_customers": wh.dim_customers(), "dim_products": wh.dim_products(),
