@@ -146,13 +146,22 @@ def qs18_maintenance_values(wh) -> DataFrame:
 
 # --- gold ---------------------------------------------------------------------------------------
 def qg1_fact_without_customer(wh) -> DataFrame:
-    f = wh.star(customer_key=True).select("order_number", "customer_key")
-    return orphans(f, wh.dim_customers(), "customer_key", wh.rows.get("gold.dim_customers"))
+    """Fact lines whose customer is missing from the dimension.  Fact keys are
+    looked up from the stored dimension, so a line is orphaned exactly when
+    its customer id has no dimension row (or is NULL): one anti join on the
+    natural key, instead of a key lookup followed by an anti join."""
+    lines = wh.lines(fan_out=("product",))
+    out = orphans(lines.withColumnRenamed("sls_cust_id", "customer_id"), wh.dim_customers(), "customer_id",
+                  wh.rows.get("gold.dim_customers"), wh.max_broadcast_rows)
+    return out.select("order_number", F.lit(None).cast("long").alias("customer_key"))
 
 
 def qg2_fact_without_product(wh) -> DataFrame:
-    f = wh.star(product_key=True).select("order_number", "product_key")
-    return orphans(f, wh.dim_products(), "product_key", wh.rows.get("gold.dim_products"))
+    """Fact lines whose product is missing from the dimension (see qg1)."""
+    lines = wh.lines(fan_out=("customer",))
+    out = orphans(lines.withColumnRenamed("sls_prd_key", "product_number"), wh.dim_products(), "product_number",
+                  wh.rows.get("gold.dim_products"), wh.max_broadcast_rows)
+    return out.select("order_number", F.lit(None).cast("long").alias("product_key"))
 
 
 def qg3_customer_key_dupes(wh) -> DataFrame:
