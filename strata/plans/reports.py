@@ -33,6 +33,9 @@ class CustomerThresholds:
     under_age: int = 20
     bands: tuple = ((20, 29, "20-29"), (30, 39, "30-39"), (40, 49, "40-49"))
     top_label: str = "50 and above"
+    # The source's CASE sends an unknown age (no birthdate) to the top band;
+    # set a label here to report those customers separately instead.
+    unknown_age_label: str | None = None
 
 
 @dataclass(frozen=True)
@@ -83,8 +86,9 @@ def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str |
     # Lines without a customer form one group whose name is ' ' (CONCAT of NULLs).
     agg = agg.withColumn("customer_name", F.coalesce("customer_name", full_name(F.lit(None), F.lit(None))))
     age = F.col("age")
+    unknown = [(age.isNull(), t.unknown_age_label)] if t.unknown_age_label is not None else []
     age_group = first_match(
-        [(age < t.under_age, t.under_label)] + [(age.between(lo, hi), label) for lo, hi, label in t.bands],
+        unknown + [(age < t.under_age, t.under_label)] + [(age.between(lo, hi), label) for lo, hi, label in t.bands],
         t.top_label,
     )
     out = agg.select(

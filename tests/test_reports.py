@@ -2,7 +2,10 @@
 
 from datetime import date
 
-from strata.plans.reports import report_customers, report_products
+
+
+from strata.plans.analytics import n3_yoy_products
+from strata.plans.reports import CustomerThresholds, report_customers, report_products
 
 AS_OF = "2025-06-30"
 
@@ -63,3 +66,38 @@ def test_product_tiers_and_selling_price(spark):
     assert out[3].avg_selling_price == 1.0 and out[3].total_customers == 2 and out[3].lifespan == 1
     assert out[2].avg_selling_price == 25000.0
     assert out[4].avg_monthly_revenue == 9999 and out[4].avg_order_revenue == 9999
+
+
+def test_age_band_edges_and_unknown_age_flag(spark):
+    ages = {11: 29, 12: 30, 13: 49, 14: 50, 15: 20, 16: 19, 17: None}
+    facts = _facts(spark, [(f"O{k}", 1, k, date(2025, 1, 1), 1, 1) for k in ages])
+    customers = _customers(spark, [(k, f"AW{k}", "A", "B", None if a is None else date(2025 - a, 3, 3))
+                                   for k, a in ages.items()])
+    out = {r.customer_key: (r.age, r.age_group) for r in report_customers(facts, customers, AS_OF).collect()}
+    assert out == {11: (29, "20-29"), 12: (30, "30-39"), 13: (49, "40-49"), 14: (50, "50 and above"),
+                   15: (20, "20-29"), 16: (19, "Under 20"), 17: (None, "50 and above")}
+    flagged = report_customers(facts, customers, AS_OF, CustomerThresholds(unknown_age_label="n/a"))
+    assert {r.customer_key: r.age_group for r in flagged.collect()}[17] == "n/a"
+
+
+class _YearlyStub:
+    """Stands in for the warehouse: hands n3 its yearly per-name sales."""
+
+    def __init__(self, df):
+        self.df = df
+
+    def rollup_products(self, attrs, aggs, by=(), dated=False):
+        return self.df
+
+
+def test_year_over_year_first_gap_and_equal_years(spark):
+    yearly = spark.createDataFrame(
+        [(2020, "A", 100), (2022, "A", 100), (2023, "A", 40), (2021, "B", 7), (2021, None, 5)],
+        "order_year int, product_name string, current_sales long")
+    out = {(r.product_name, r.order_year): r for r in n3_yoy_products(_YearlyStub(yearly)).collect()}
+    a20, a22, a23 = out[("A", 2020)], out[("A", 2022)], out[("A", 2023)]
+    assert (a20.avg_sales, a20.diff_avg, a20.avg_change) == (80, 20, "Above Avg")      # 240 // 3
+    assert (a20.py_sales, a20.diff_py, a20.py_change) == (None, None, "No Change")     # first year
+    assert (a22.py_sales, a22.diff_py, a22.py_change) == (100, 0, "No Change")         # gap year, equal sales
+    assert (a23.diff_py, a23.py_change, a23.avg_change) == (-60, "Decrease", "Below Avg")
+    assert (out[("B", 2021)].avg_change, out[(None, 2021)].avg_sales) == ("Avg", 5)   # one year; NULL name kept
