@@ -2,8 +2,6 @@
 
 from datetime import date
 
-
-
 from strata.plans.analytics import n3_yoy_products
 from strata.plans.reports import CustomerThresholds, report_customers, report_products
 
