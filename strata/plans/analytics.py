@@ -130,9 +130,11 @@ def n5_category_share(wh) -> DataFrame:
 # --- N6 / N7 reporting views ------------------------------------------------------------
 def n6_report_customers(wh) -> DataFrame:
     facts = wh.star(customer_key=True, product_key=True)
-    return report_customers(facts, wh.dim_customers(), wh.as_of, customers_rows=wh.rows.get("gold.dim_customers"))
+    return report_customers(facts, wh.dim_customers(), wh.as_of, customers_rows=wh.rows.get("gold.dim_customers"),
+                            max_broadcast_rows=wh.max_broadcast_rows)
 
 
 def n7_report_products(wh) -> DataFrame:
     facts = wh.star(product_key=True, customer_key=True)
-    return report_products(facts, wh.dim_products(), wh.as_of, products_rows=wh.rows.get("gold.dim_products"))
+    return report_products(facts, wh.dim_products(), wh.as_of, products_rows=wh.rows.get("gold.dim_products"),
+                           max_broadcast_rows=wh.max_broadcast_rows)

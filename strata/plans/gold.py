@@ -122,12 +122,14 @@ def star(sales: DataFrame, dim_products: DataFrame, dim_customers: DataFrame, *,
          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Fact rows with the requested surrogate keys and dimension attributes."""
     fact = lines(sales)
-    if product or product_key or not products_unique:
-        take = ["product_key", *[c for c in product if c != "product_key"]]
-        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_rows, max_broadcast_rows)
+    # Customers first: when sales and customers are bucketed alike on the
+    # customer id, that join runs in place before anything reshuffles the fact.
     if customer or customer_key or not customers_unique:
         take = ["customer_key", *[c for c in customer if c != "customer_key"]]
         fact = lookup(fact, dim_customers, "sls_cust_id", "customer_id", take, customers_rows, max_broadcast_rows)
+    if product or product_key or not products_unique:
+        take = ["product_key", *[c for c in product if c != "product_key"]]
+        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_rows, max_broadcast_rows)
     return fact.drop("sls_prd_key", "sls_cust_id")
 
 

@@ -33,13 +33,13 @@ class LoadError(RuntimeError):
 
 
 def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFrame]], store: LayerStore,
-         parallel: bool) -> DataFrame:
+         parallel: bool, buckets: dict[str, tuple[int, str]] | None = None) -> DataFrame:
     batch_start = time.time()
 
     def one(name: str) -> tuple:
         start = time.time()
         try:
-            store.write(layer, name, steps[name]())
+            store.write(layer, name, steps[name](), (buckets or {}).get(name))
             rows = store.rows(layer, name)
             return (layer, name, rows, round(time.time() - start, 3), "ok", None)
         except Exception as exc:  # recorded, then re-raised below
@@ -79,14 +79,16 @@ def land_bronze_frames(spark: SparkSession, frames: dict[str, DataFrame], store:
 
 def load_silver(spark: SparkSession, store: LayerStore, as_of: date | str | None = None,
                 bronze: dict[str, DataFrame] | None = None, parallel: bool = True,
-                spread: dict[str, int] | None = None) -> DataFrame:
+                spread: dict[str, int] | None = None,
+                buckets: dict[str, tuple[int, str]] | None = None) -> DataFrame:
     """S12: the six silver transforms, each stamped with ``dwh_create_date``.
 
     Bronze is read from ``store`` unless frames are passed in.  ``spread``
     names tables to rewrite as N evenly sized files; use it only when the
     source arrives in fewer splits than the cluster has cores (one big
     unsplittable file), otherwise the write keeps the input's parallelism and
-    adds no shuffle.
+    adds no shuffle.  ``buckets`` names tables to store bucketed
+    (``(n, column)``, catalog stores only).
     """
     spread = spread or {}
 
@@ -96,4 +98,4 @@ def load_silver(spark: SparkSession, store: LayerStore, as_of: date | str | None
         return out.repartition(spread[name]) if name in spread else out
 
     steps = {name: (lambda n=name: step(n)) for name in LOAD_ORDER}
-    return _run(spark, "silver", steps, store, parallel)
+    return _run(spark, "silver", steps, store, parallel, buckets)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import (as_of_date, first_match, full_name, guarded_idiv, month_boundaries,
                               year_boundaries)
-from strata.operators.joins import lookup
+from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
 from strata.schemas import GOLD
 
 
@@ -57,7 +57,8 @@ def _conform(df: DataFrame, view: str) -> DataFrame:
 
 
 def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str | None = None,
-                     t: CustomerThresholds = CustomerThresholds(), customers_rows: int | None = None) -> DataFrame:
+                     t: CustomerThresholds = CustomerThresholds(), customers_rows: int | None = None,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """G4.  ``facts`` = fact rows with customer_key and product_key;
     ``customers`` = the customer dimension.
 
@@ -82,7 +83,7 @@ def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str |
         year_boundaries("birthdate", today).alias("age"),
     )
     agg = lookup(agg, attrs, "customer_key", "customer_key", ["customer_number", "customer_name", "age"],
-                 customers_rows)
+                 customers_rows, max_broadcast_rows)
     # Lines without a customer form one group whose name is ' ' (CONCAT of NULLs).
     agg = agg.withColumn("customer_name", F.coalesce("customer_name", full_name(F.lit(None), F.lit(None))))
     age = F.col("age")
@@ -105,7 +106,8 @@ def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str |
 
 
 def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | None = None,
-                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None) -> DataFrame:
+                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None,
+                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """G5.  ``facts`` = fact rows with product_key and customer_key;
     ``products`` = the product dimension.  Aggregated on the key, attributes
     attached afterwards (see ``report_customers``)."""
@@ -122,7 +124,7 @@ def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | N
         F.round(F.avg(unit_price), 1).alias("avg_selling_price"),
     )
     agg = lookup(agg, products, "product_key", "product_key", ["product_name", "category", "subcategory", "cost"],
-                 products_rows)
+                 products_rows, max_broadcast_rows)
     sales = F.col("total_sales")
     tier = first_match([(sales > t.high_revenue, "High-Performer"), (sales >= t.mid_revenue, "Mid-Range")],
                        "Low-Performer")

@@ -44,19 +44,30 @@ class Warehouse:
         # Largest dimension (rows) looked up by broadcast; above it, queries
         # aggregate fact lines per natural key before joining attributes.
         self.max_broadcast_rows = MAX_BROADCAST_ROWS
+        # Sales and the customer dimension are bucketed alike on the customer
+        # id (catalog stores only), so the customer lookup of a large
+        # dimension is a sort-merge join without a shuffle of the fact.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sales_buckets(self) -> dict[str, tuple[int, str]]:
+        if self.store.catalog_prefix is None:
+            return {}
+        return {"crm_sales_details": (self.buckets, "sls_cust_id")}
 
     # --- construction ----------------------------------------------------------
     @classmethod
     def build(cls, spark: SparkSession, bronze: dict[str, DataFrame], store: LayerStore | None = None,
               as_of: date | str | None = None, land_bronze: bool = False,
               spread: dict[str, int] | None = None) -> "Warehouse":
-        store = store or LayerStore(spark, f"{checkpoint_dir(spark)}/warehouse-{uuid.uuid4().hex[:8]}")
+        if store is None:
+            tag = uuid.uuid4().hex[:8]
+            store = LayerStore(spark, f"{checkpoint_dir(spark)}/warehouse-{tag}", catalog_prefix=f"strata_{tag}_")
         wh = cls(spark, store, as_of)
         if land_bronze:
             land_bronze_frames(spark, bronze, store)
             bronze = None
         wh.bronze_frames = bronze
-        metrics = load_silver(spark, store, as_of=as_of, bronze=bronze, spread=spread)
+        metrics = load_silver(spark, store, as_of=as_of, bronze=bronze, spread=spread, buckets=wh.sales_buckets())
         wh.rows.update({f"silver.{r.table_name}": r.rows for r in metrics.collect() if r.table_name != "(batch)"})
         wh.build_gold()
         return wh
@@ -77,7 +88,8 @@ class Warehouse:
 
         def customers() -> bool:
             cust = gold.build_dim_customers(s("crm_cust_info"), s("erp_cust_az12"), s("erp_loc_a101"))
-            self.store.write("gold", "dim_customers", cust)
+            bucketed = (self.buckets, "customer_id") if self.store.catalog_prefix is not None else None
+            self.store.write("gold", "dim_customers", cust, bucketed)
             self.rows["gold.dim_customers"] = self.store.rows("gold", "dim_customers")
             return _unique(self.dim_customers(), "customer_id")
 
@@ -136,12 +148,12 @@ class Warehouse:
         out = gold.lines(self.silver("crm_sales_details"))
         if dated:
             out = out.filter(F.col("order_date").isNotNull())
-        if "product" in fan_out and not self.products_unique:
-            out = lookup(out, self.dim_products(), "sls_prd_key", "product_number", ["product_key"],
-                         self.rows.get("gold.dim_products"), self.max_broadcast_rows).drop("product_key")
         if "customer" in fan_out and not self.customers_unique:
             out = lookup(out, self.dim_customers(), "sls_cust_id", "customer_id", ["customer_key"],
                          self.rows.get("gold.dim_customers"), self.max_broadcast_rows).drop("customer_key")
+        if "product" in fan_out and not self.products_unique:
+            out = lookup(out, self.dim_products(), "sls_prd_key", "product_number", ["product_key"],
+                         self.rows.get("gold.dim_products"), self.max_broadcast_rows).drop("product_key")
         return out
 
     def rollup_products(self, attrs, aggs, by=(), dated: bool = False) -> DataFrame:

@@ -5,6 +5,12 @@ overwrites the folder (truncate-and-load).  The root must be a folder every
 executor sees (HDFS, object store, shared mount).  ``LayerStore`` also answers
 the catalog questions -- which objects exist, with which columns -- from the
 stored files and the declared views.
+
+With ``catalog_prefix`` every table is also a catalog table
+(``<prefix><layer>.<name>``, stored at the same folder).  Only catalog tables
+keep a bucket layout: a table written with ``bucket_by=(n, column)`` is
+hash-clustered into n buckets, and a join or aggregate on that column against
+another table bucketed the same way needs no shuffle.
 """
 
 from __future__ import annotations
@@ -21,27 +27,43 @@ def _spark_type_name(dt: T.DataType) -> str:
 
 
 class LayerStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, catalog_prefix: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.catalog_prefix = catalog_prefix
         self.views: dict[tuple[str, str], DataFrame] = {}
         self.stored: set[tuple[str, str]] = set()
 
+    def table(self, layer: str, name: str) -> str:
+        """Catalog name of a stored table (catalog mode only)."""
+        return f"{self.catalog_prefix}{layer}.{name}"
+
     def path(self, layer: str, name: str) -> str:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}")
         return f"{self.root}/{layer}/{name}"
 
-    def write(self, layer: str, name: str, df: DataFrame) -> str:
+    def write(self, layer: str, name: str, df: DataFrame, bucket_by: tuple[int, str] | None = None) -> str:
         """Replace the table's contents (the source's TRUNCATE + INSERT)."""
         p = self.path(layer, name)
-        df.write.mode("overwrite").parquet(p)
+        if self.catalog_prefix is None:
+            if bucket_by is not None:
+                raise ValueError("bucketed tables need a catalog_prefix")
+            df.write.mode("overwrite").parquet(p)
+        else:
+            self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.catalog_prefix}{layer}")
+            w = df.write.mode("overwrite").format("parquet").option("path", p)
+            if bucket_by is not None:
+                w = w.bucketBy(bucket_by[0], bucket_by[1]).sortBy(bucket_by[1])
+            w.saveAsTable(self.table(layer, name))
         self.stored.add((layer, name))
         return p
 
     def read(self, layer: str, name: str) -> DataFrame:
         if (layer, name) in self.views:
             return self.views[(layer, name)]
+        if self.catalog_prefix is not None and (layer, name) in self.stored:
+            return self.spark.table(self.table(layer, name))
         return self.spark.read.parquet(self.path(layer, name))
 
     def register_view(self, layer: str, name: str, df: DataFrame) -> None:

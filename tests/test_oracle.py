@@ -96,3 +96,25 @@ def test_large_dimension_plans_match_oracle(spark, duck, no_broadcast, name):
     """Dimensions treated as too large to broadcast: sort-merge lookups and
     aggregation per natural key before attributes are attached."""
     test_query_matches_oracle(spark, duck, name)
+
+
+def _plan(df) -> str:
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_bucketed_customer_join_needs_no_shuffle(spark, no_broadcast):
+    """Sales and customers are bucketed alike on the customer id: the
+    per-customer pre-aggregate and the customer lookup of a large dimension
+    run without exchanging the fact."""
+    from strata.plans.registry import QUERIES
+
+    plan = _plan(QUERIES["n4b_customer_segments"](entry.warehouse(spark, SF)))
+    assert "SortMergeJoin [sls_cust_id" in plan and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning(sls_cust_id" not in plan
+    assert "Exchange hashpartitioning(_lookup_key" not in plan
