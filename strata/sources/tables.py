@@ -52,6 +52,11 @@ class LayerStore:
             df.write.mode("overwrite").parquet(p)
         else:
             self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.catalog_prefix}{layer}")
+            if bucket_by is not None:
+                # Without this each task would write one file per bucket it
+                # holds (tasks x buckets files); hash-partitioning on the
+                # bucket column (the same hash) first gives one file per bucket.
+                df = df.repartition(bucket_by[0], bucket_by[1])
             w = df.write.mode("overwrite").format("parquet").option("path", p)
             if bucket_by is not None:
                 w = w.bucketBy(bucket_by[0], bucket_by[1]).sortBy(bucket_by[1])
