@@ -18,12 +18,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.skew import fits_buckets
 from strata.plans.silver import transform
 from strata.schemas import AUDIT_COLUMN, LOAD_ORDER, SOURCE_FILES
 from strata.sources.csv_bronze import read_bronze_csv
 from strata.sources.tables import LayerStore
 
-METRICS_SCHEMA = "layer string, table_name string, rows long, seconds double, status string, error string"
+METRICS_SCHEMA = ("layer string, table_name string, rows long, seconds double, status string, error string, "
+                  "layout string")
 
 
 class LoadError(RuntimeError):
@@ -38,12 +40,22 @@ def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFram
 
     def one(name: str) -> tuple:
         start = time.time()
+        layout = "plain"
         try:
-            store.write(layer, name, steps[name](), (buckets or {}).get(name))
+            df = steps[name]()
+            spec = (buckets or {}).get(name)
+            if spec is not None:
+                # Bucket only when no key is heavy enough to overload its bucket.
+                if fits_buckets(df, spec[1], spec[0]):
+                    layout = f"bucketed({spec[0]}, {spec[1]})"
+                else:
+                    spec, layout = None, f"plain: {spec[1]} too skewed to bucket"
+            store.write(layer, name, df, spec)
             rows = store.rows(layer, name)
-            return (layer, name, rows, round(time.time() - start, 3), "ok", None)
+            return (layer, name, rows, round(time.time() - start, 3), "ok", None, layout)
         except Exception as exc:  # recorded, then re-raised below
-            return (layer, name, None, round(time.time() - start, 3), "failed", f"{type(exc).__name__}: {exc}")
+            return (layer, name, None, round(time.time() - start, 3), "failed", f"{type(exc).__name__}: {exc}",
+                    layout)
 
     names = [n for n in LOAD_ORDER if n in steps]
     if parallel:
@@ -53,7 +65,7 @@ def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFram
         results = [one(n) for n in names]
     failed = [r for r in results if r[4] != "ok"]
     total = (layer, "(batch)", sum(r[2] or 0 for r in results), round(time.time() - batch_start, 3),
-             "failed" if failed else "ok", failed[0][5] if failed else None)
+             "failed" if failed else "ok", failed[0][5] if failed else None, None)
     metrics = results + [total]
     if failed:
         raise LoadError(f"loading {layer} failed: {failed[0][1]}: {failed[0][5]}", metrics)

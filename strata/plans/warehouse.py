@@ -48,6 +48,7 @@ class Warehouse:
         # id (catalog stores only), so the customer lookup of a large
         # dimension is a sort-merge join without a shuffle of the fact.
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.sales_bucketed = False
 
     def sales_buckets(self) -> dict[str, tuple[int, str]]:
         if self.store.catalog_prefix is None:
@@ -68,7 +69,9 @@ class Warehouse:
             bronze = None
         wh.bronze_frames = bronze
         metrics = load_silver(spark, store, as_of=as_of, bronze=bronze, spread=spread, buckets=wh.sales_buckets())
-        wh.rows.update({f"silver.{r.table_name}": r.rows for r in metrics.collect() if r.table_name != "(batch)"})
+        done = [r for r in metrics.collect() if r.table_name != "(batch)"]
+        wh.rows.update({f"silver.{r.table_name}": r.rows for r in done})
+        wh.sales_bucketed = any(r.table_name == "crm_sales_details" and r.layout.startswith("bucketed") for r in done)
         wh.build_gold()
         return wh
 
@@ -88,7 +91,8 @@ class Warehouse:
 
         def customers() -> bool:
             cust = gold.build_dim_customers(s("crm_cust_info"), s("erp_cust_az12"), s("erp_loc_a101"))
-            bucketed = (self.buckets, "customer_id") if self.store.catalog_prefix is not None else None
+            # bucket the dimension only if the sales it is joined to were bucketed
+            bucketed = (self.buckets, "customer_id") if self.sales_bucketed else None
             self.store.write("gold", "dim_customers", cust, bucketed)
             self.rows["gold.dim_customers"] = self.store.rows("gold", "dim_customers")
             return _unique(self.dim_customers(), "customer_id")

@@ -127,3 +127,14 @@ def test_next_start_matches_lead_with_ties_and_nulls(spark):
     w = Window.partitionBy("k").orderBy(F.col("s").asc_nulls_first(), "id")
     exp = dict(rows(df.withColumn("nxt", F.lead("s").over(w)), "id", "nxt"))
     assert got == exp
+
+
+def test_fits_buckets_rejects_a_hot_key(spark):
+    from strata.operators.skew import fits_buckets, heaviest_key
+
+    even = spark.createDataFrame([(i % 100,) for i in range(3000)], "k int")
+    hot = spark.createDataFrame([(0 if i % 3 == 0 else i,) for i in range(3000)], "k int")  # a third on key 0
+    nulls = spark.createDataFrame([(None if i % 3 == 0 else i,) for i in range(3000)], "k int")
+    assert heaviest_key(even, "k") == (30, 3000) and fits_buckets(even, "k", 16)
+    assert heaviest_key(hot, "k") == (1000, 3000) and not fits_buckets(hot, "k", 16)
+    assert not fits_buckets(nulls, "k", 16)  # NULL keys share one bucket too

@@ -236,3 +236,23 @@ def test_fanout_and_orphans_match_view_sql(spark, tmp_path, large):
             assert rows(got.select(cols)) == rows(want.select(cols)), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bucketing_is_skipped_for_a_skewed_key(spark, tmp_path):
+    """Three of five sales belong to one customer: bucketing on the customer
+    id would pin most of the table to one bucket, so the load keeps it plain."""
+    src = write_extracts(str(tmp_path / "src"))
+    store = LayerStore(spark, str(tmp_path / "wh"), catalog_prefix="skew_")
+    load_bronze(spark, src, store)
+    wh = Warehouse(spark, store, as_of="2025-12-01")
+    metrics = {r.table_name: r for r in load_silver(spark, store, as_of="2025-12-01",
+                                                    buckets=wh.sales_buckets()).collect()}
+    assert metrics["crm_sales_details"].layout == "plain: sls_cust_id too skewed to bucket"
+    assert metrics["crm_cust_info"].layout == "plain"
+
+
+def test_standin_sales_are_bucketed(spark):
+    import __spark_entry__ as entry
+
+    wh = entry.warehouse(spark, "/root/testdata/sf0.001")
+    assert wh.sales_bucketed  # customer ids are spread evenly in the driver tables
