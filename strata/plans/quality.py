@@ -266,9 +266,21 @@ def summary(wh, parallel: int = 8) -> DataFrame:
     """One row per check.  Each check is one Spark job returning a count (or,
     for value profiles, the handful of distinct values); the jobs are
     independent and submitted ``parallel`` at a time."""
+    counted = [("bronze", n, lambda n=n: wh.bronze(n)) for n in BRONZE] + \
+              [("silver", n, lambda n=n: wh.silver(n)) for n in SILVER] + \
+              [("gold", n, fn) for n, fn in (("dim_customers", wh.dim_customers), ("dim_products", wh.dim_products),
+                                             ("fact_sales", wh.fact_sales))]
+
+    def nonempty(item) -> tuple:
+        layer, name, frame = item
+        n = frame().count()
+        return (layer, f"row_count:{name}", "rule", "ok" if n > 0 else "failed", 0 if n > 0 else 1)
+
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         rows = list(pool.map(lambda item: _judge(wh, item[0], *item[1]), CHECKS.items()))
+        rows += list(pool.map(nonempty, counted))
     for layer, frames, schemas in [
+        ("bronze", {n: wh.bronze(n) for n in BRONZE}, BRONZE),
         ("silver", {n: wh.store.read("silver", n) for n in SILVER}, {n: with_audit(s) for n, s in SILVER.items()}),
         ("gold", {"dim_customers": wh.dim_customers(), "dim_products": wh.dim_products(),
                   "fact_sales": wh.fact_sales()}, GOLD),

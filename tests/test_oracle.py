@@ -53,7 +53,8 @@ def test_quality_summary(spark):
     for ok in ("qs1_customer_id_dupes", "qs4_gender_values", "qs9_product_lines", "qs10_product_dates",
                "qg3_customer_key_dupes", "qg6_product_key_dupes", "qg7_missing_start_date"):
         assert s[ok].status == "ok", ok
-    assert all(r.status == "ok" for k, r in s.items() if k.startswith("structure:"))
+    assert all(r.status == "ok" for k, r in s.items() if k.startswith(("structure:", "row_count:")))
+    assert sum(k.startswith("structure:") for k in s) == 15 and sum(k.startswith("row_count:") for k in s) == 15
 
 
 def test_published_catalog_matches_warehouse(spark):
