@@ -274,7 +274,7 @@ def summary(wh, parallel: int = 8) -> DataFrame:
     def nonempty(item) -> tuple:
         layer, name, frame = item
         n = frame().count()
-        return (layer, f"row_count:{name}", "rule", "ok" if n > 0 else "failed", 0 if n > 0 else 1)
+        return (layer, f"row_count:{layer}.{name}", "rule", "ok" if n > 0 else "failed", 0 if n > 0 else 1)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         rows = list(pool.map(lambda item: _judge(wh, item[0], *item[1]), CHECKS.items()))
@@ -287,6 +287,6 @@ def summary(wh, parallel: int = 8) -> DataFrame:
     ]:
         for n, df in frames.items():
             diffs = structure_differences(df, schemas[n])
-            rows.append((layer, f"structure:{n}", "structure", "ok" if not diffs else "failed", len(diffs)))
+            rows.append((layer, f"structure:{layer}.{n}", "structure", "ok" if not diffs else "failed", len(diffs)))
     schema = "layer string, check string, kind string, status string, violations long"
     return wh.spark.createDataFrame(rows, schema)
