@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import first_match, idiv, month_boundaries, sign_label, trunc_avg
-from strata.plans.reports import CustomerThresholds, report_customers, report_products, segment
+from strata.operators.joins import lookup
+from strata.plans.reports import (CustomerThresholds, finish_customers, finish_products, report_customers,
+                                  report_products, segment)
 
 
 def _dated(wh, **star) -> DataFrame:
@@ -128,13 +130,76 @@ def n5_category_share(wh) -> DataFrame:
 
 
 # --- N6 / N7 reporting views ------------------------------------------------------------
+def _distinct_other_keys(keyed: DataFrame, group_key: str, fact_key: str, dim: DataFrame, dim_key: str,
+                         dim_out: str, out: str, rows, max_rows) -> DataFrame:
+    """COUNT(DISTINCT other dimension key) per ``group_key``, looking the other
+    dimension up on distinct (group key, natural key) pairs instead of lines."""
+    pairs = keyed.select(group_key, fact_key).distinct()
+    looked = lookup(pairs, dim, fact_key, dim_key, [dim_out], rows, max_rows)
+    return looked.groupBy(group_key).agg(F.countDistinct(dim_out).alias(out))
+
+
+# Surrogate keys are 1..N; lines without a dimension row are carried as this
+# key through the two aggregates so they can be joined on plain equality
+# (keeping both sides' partitioning), then turned back into NULL.
+_UNMATCHED = -1
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn(key, F.coalesce(F.col(key), F.lit(_UNMATCHED).cast("long")))
+
+
+def _attach(totals: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Join two per-key aggregates; restore NULL for the unmatched group."""
+    joined = totals.join(counts, key, "left")
+    return joined.withColumn(key, F.when(F.col(key) == _UNMATCHED, F.lit(None)).otherwise(F.col(key)))
+
+
 def n6_report_customers(wh) -> DataFrame:
-    facts = wh.star(customer_key=True, product_key=True)
-    return report_customers(facts, wh.dim_customers(), wh.as_of, customers_rows=wh.rows.get("gold.dim_customers"),
-                            max_broadcast_rows=wh.max_broadcast_rows)
+    """G4.  With a product dimension too large to broadcast (and its key
+    proven unique), products are not looked up per line: customers are
+    (shuffle-free when sales are bucketed), measures are aggregated per
+    customer key, and the distinct products come from distinct (customer,
+    product number) pairs."""
+    sizes = dict(customers_rows=wh.rows.get("gold.dim_customers"), max_broadcast_rows=wh.max_broadcast_rows)
+    if wh.products_broadcast() or not wh.products_unique:
+        facts = wh.star(customer_key=True, product_key=True)
+        return report_customers(facts, wh.dim_customers(), wh.as_of, **sizes)
+    keyed = _keyed(lookup(wh.lines(dated=True, fan_out=()), wh.dim_customers(), "sls_cust_id", "customer_id",
+                          ["customer_key"], sizes["customers_rows"], wh.max_broadcast_rows), "customer_key")
+    measures = keyed.groupBy("customer_key").agg(
+        F.countDistinct("order_number").alias("total_orders"),
+        F.sum("sales_amount").alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        F.max("order_date").alias("last_order_date"),
+        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
+    )
+    products = _distinct_other_keys(keyed, "customer_key", "sls_prd_key", wh.dim_products(), "product_number",
+                                    "product_key", "total_products", wh.rows.get("gold.dim_products"),
+                                    wh.max_broadcast_rows)
+    return finish_customers(_attach(measures, products, "customer_key"), wh.dim_customers(), wh.as_of, **sizes)
 
 
 def n7_report_products(wh) -> DataFrame:
-    facts = wh.star(product_key=True, customer_key=True)
-    return report_products(facts, wh.dim_products(), wh.as_of, products_rows=wh.rows.get("gold.dim_products"),
-                           max_broadcast_rows=wh.max_broadcast_rows)
+    """G5.  Mirror of G4: with a customer dimension too large to broadcast
+    (key proven unique), distinct customers come from distinct (product,
+    customer id) pairs."""
+    sizes = dict(products_rows=wh.rows.get("gold.dim_products"), max_broadcast_rows=wh.max_broadcast_rows)
+    if wh.customers_broadcast() or not wh.customers_unique:
+        facts = wh.star(product_key=True, customer_key=True)
+        return report_products(facts, wh.dim_products(), wh.as_of, **sizes)
+    keyed = _keyed(lookup(wh.lines(dated=True, fan_out=()), wh.dim_products(), "sls_prd_key", "product_number",
+                          ["product_key"], sizes["products_rows"], wh.max_broadcast_rows), "product_key")
+    unit_price = F.col("sales_amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0))
+    measures = keyed.groupBy("product_key").agg(
+        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
+        F.max("order_date").alias("last_sale_date"),
+        F.countDistinct("order_number").alias("total_orders"),
+        F.sum("sales_amount").alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        F.round(F.avg(unit_price), 1).alias("avg_selling_price"),
+    )
+    customers = _distinct_other_keys(keyed, "product_key", "sls_cust_id", wh.dim_customers(), "customer_id",
+                                     "customer_key", "total_customers", wh.rows.get("gold.dim_customers"),
+                                     wh.max_broadcast_rows)
+    return finish_products(_attach(measures, customers, "product_key"), wh.dim_products(), wh.as_of, **sizes)

@@ -56,6 +56,18 @@ def _conform(df: DataFrame, view: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in GOLD[view].fields])
 
 
+def customer_totals(lines: DataFrame) -> DataFrame:
+    """Per customer key: orders, sales, units, products, last order, lifespan."""
+    return lines.groupBy("customer_key").agg(
+        F.countDistinct("order_number").alias("total_orders"),
+        F.sum("sales_amount").alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        F.countDistinct("product_key").alias("total_products"),
+        F.max("order_date").alias("last_order_date"),
+        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
+    )
+
+
 def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str | None = None,
                      t: CustomerThresholds = CustomerThresholds(), customers_rows: int | None = None,
                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -67,16 +79,15 @@ def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str |
     customer), so the lines are aggregated on the key alone and the
     attributes are attached to the aggregated rows.
     """
+    totals = customer_totals(facts.filter(F.col("order_date").isNotNull()))
+    return finish_customers(totals, customers, as_of, t, customers_rows, max_broadcast_rows)
+
+
+def finish_customers(agg: DataFrame, customers: DataFrame, as_of: date | str | None = None,
+                     t: CustomerThresholds = CustomerThresholds(), customers_rows: int | None = None,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Attributes, labels and ratios for per-customer totals (``customer_totals``)."""
     today = as_of_date(as_of)
-    lines = facts.filter(F.col("order_date").isNotNull())
-    agg = lines.groupBy("customer_key").agg(
-        F.countDistinct("order_number").alias("total_orders"),
-        F.sum("sales_amount").alias("total_sales"),
-        F.sum("quantity").alias("total_quantity"),
-        F.countDistinct("product_key").alias("total_products"),
-        F.max("order_date").alias("last_order_date"),
-        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
-    )
     attrs = customers.select(
         "customer_key", "customer_number",
         full_name("first_name", "last_name").alias("customer_name"),
@@ -105,16 +116,10 @@ def report_customers(facts: DataFrame, customers: DataFrame, as_of: date | str |
     return _conform(out, "report_customers")
 
 
-def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | None = None,
-                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None,
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """G5.  ``facts`` = fact rows with product_key and customer_key;
-    ``products`` = the product dimension.  Aggregated on the key, attributes
-    attached afterwards (see ``report_customers``)."""
-    today = as_of_date(as_of)
-    lines = facts.filter(F.col("order_date").isNotNull())
+def product_totals(lines: DataFrame) -> DataFrame:
+    """Per product key: lifespan, last sale, orders, customers, sales, units, mean unit price."""
     unit_price = F.col("sales_amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0))
-    agg = lines.groupBy("product_key").agg(
+    return lines.groupBy("product_key").agg(
         month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
         F.max("order_date").alias("last_sale_date"),
         F.countDistinct("order_number").alias("total_orders"),
@@ -123,6 +128,23 @@ def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | N
         F.sum("quantity").alias("total_quantity"),
         F.round(F.avg(unit_price), 1).alias("avg_selling_price"),
     )
+
+
+def report_products(facts: DataFrame, products: DataFrame, as_of: date | str | None = None,
+                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None,
+                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """G5.  ``facts`` = fact rows with product_key and customer_key;
+    ``products`` = the product dimension.  Aggregated on the key, attributes
+    attached afterwards (see ``report_customers``)."""
+    totals = product_totals(facts.filter(F.col("order_date").isNotNull()))
+    return finish_products(totals, products, as_of, t, products_rows, max_broadcast_rows)
+
+
+def finish_products(agg: DataFrame, products: DataFrame, as_of: date | str | None = None,
+                    t: ProductThresholds = ProductThresholds(), products_rows: int | None = None,
+                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Attributes, tiers and ratios for per-product totals (``product_totals``)."""
+    today = as_of_date(as_of)
     agg = lookup(agg, products, "product_key", "product_key", ["product_name", "category", "subcategory", "cost"],
                  products_rows, max_broadcast_rows)
     sales = F.col("total_sales")

@@ -172,6 +172,11 @@ class Warehouse:
                            "customer_id", attrs, aggs, by, self.rows.get("gold.dim_customers"),
                            self.max_broadcast_rows)
 
+    def products_broadcast(self) -> bool:
+        """True when the product dimension is small enough to look up per line."""
+        rows = self.rows.get("gold.dim_products")
+        return rows is not None and rows <= self.max_broadcast_rows
+
     def customers_broadcast(self) -> bool:
         """True when the customer dimension is small enough to look up per line."""
         rows = self.rows.get("gold.dim_customers")
