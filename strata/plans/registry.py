@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "qs_row_counts": quality.silver_row_counts,
     "qg_row_counts": quality.gold_row_counts,
     **{name: fn for name, (_, fn) in quality.CHECKS.items()},
+    "qa_quality_summary": quality.summary,
     "e2_1_countries": eda.e2_1_countries,
     "e2_2_product_hierarchy": eda.e2_2_product_hierarchy,
     "e3_1_order_range": eda.e3_1_order_range,
