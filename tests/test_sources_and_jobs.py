@@ -256,3 +256,17 @@ def test_standin_sales_are_bucketed(spark):
 
     wh = entry.warehouse(spark, "/root/testdata/sf0.001")
     assert wh.sales_bucketed  # customer ids are spread evenly in the driver tables
+
+
+def test_csv_scan_format_details(spark, tmp_path):
+    """Final CRLF, timestamps with and without a time part, blanks kept, empty = NULL."""
+    path = tmp_path / "prd.csv"
+    path.write_bytes(b"PRD_ID,PRD_KEY,PRD_NM,PRD_COST,PRD_LINE,PRD_START_DT,PRD_END_DT\r\n"
+                     b"1,AB-CD-X,Name ,,R ,2011-07-01,\r\n"
+                     b"2,AB-CD-Y, Other,7,,2012-07-01 00:00:00,2013-01-31 12:30:00\r\n")
+    df = read_bronze_csv(spark, str(path), "crm_prd_info")
+    got = rows(df)
+    assert len(got) == 2
+    one, two = got
+    assert one[2:5] == ("Name ", None, "R ") and one[5].isoformat() == "2011-07-01T00:00:00" and one[6] is None
+    assert two[2:5] == (" Other", 7, None) and two[6].isoformat() == "2013-01-31T12:30:00"
