@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
 from strata.plans import gold
 from strata.plans.jobs import land_bronze_frames, load_silver
-from strata.schemas import AUDIT_COLUMN
+from strata.schemas import AUDIT_COLUMN, BRONZE
 from strata.session import checkpoint_dir
 from strata.sources.standin import standin_bronze
 from strata.sources.tables import LayerStore
@@ -75,6 +75,22 @@ class Warehouse:
         wh.build_gold()
         return wh
 
+    @classmethod
+    def open(cls, spark: SparkSession, store: LayerStore, as_of: date | str | None = None) -> "Warehouse":
+        """A warehouse whose layers were loaded earlier (possibly by another
+        process): re-measure dimension sizes and key uniqueness, register the
+        fact view."""
+        wh = cls(spark, store, as_of)
+        store.stored |= {(layer, name) for layer in ("bronze", "silver") for name in BRONZE}
+        store.stored |= {("gold", "dim_customers"), ("gold", "dim_products")}
+        wh.rows.update({f"silver.{n}": store.rows("silver", n) for n in BRONZE})
+        wh.rows["gold.dim_customers"] = store.rows("gold", "dim_customers")
+        wh.rows["gold.dim_products"] = store.rows("gold", "dim_products")
+        wh.customers_unique = _unique(wh.dim_customers(), "customer_id")
+        wh.products_unique = _unique(wh.dim_products(), "product_number")
+        store.register_view("gold", "fact_sales", wh.fact_sales())
+        return wh
+
     @classmethod
     def from_standin(cls, spark: SparkSession, sf_dir: str, as_of: date | str | None = None) -> "Warehouse":
         """Warehouse over the driver tables.  Their Parquet files hold a single

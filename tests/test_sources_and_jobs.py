@@ -270,3 +270,19 @@ def test_csv_scan_format_details(spark, tmp_path):
     one, two = got
     assert one[2:5] == ("Name ", None, "R ") and one[5].isoformat() == "2011-07-01T00:00:00" and one[6] is None
     assert two[2:5] == (" Other", 7, None) and two[6].isoformat() == "2013-01-31T12:30:00"
+
+
+def test_command_line_build_check_query(spark, tmp_path, capsys):
+    from strata.__main__ import main
+
+    src = write_extracts(str(tmp_path / "src"))
+    root = str(tmp_path / "wh")
+    assert main(["build", "--source", src, "--root", root, "--as-of", "2025-12-01"], spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "crm_sales_details" in out and "qg8_missing_category" in out
+    assert spark.sql("SELECT count(*) FROM gold.fact_sales").first()[0] == 3
+    # a later run on the stored folder (as another process would)
+    main(["check", "--root", root, "--as-of", "2025-12-01"], spark=spark)
+    assert "structure:gold.fact_sales" in capsys.readouterr().out
+    assert main(["query", "n5_category_share", "--root", root, "--as-of", "2025-12-01"], spark=spark) == 0
+    assert "Components" in capsys.readouterr().out
