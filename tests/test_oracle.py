@@ -119,3 +119,21 @@ def test_bucketed_customer_join_needs_no_shuffle(spark, no_broadcast):
     assert "SortMergeJoin [sls_cust_id" in plan and "Bucketed: true" in plan
     assert "Exchange hashpartitioning(sls_cust_id" not in plan
     assert "Exchange hashpartitioning(_lookup_key" not in plan
+
+
+def test_plans_prune_push_down_and_skip_unneeded_joins(spark):
+    from strata.plans.registry import QUERIES
+
+    wh = entry.warehouse(spark, SF)
+    assert wh.customers_unique and wh.products_unique
+    totals = _plan(QUERIES["e4_1_totals"](wh))
+    # two columns read, no dimension joined (both natural keys proven unique)
+    assert "ReadSchema: struct<sls_sales:int,sls_quantity:int>" in totals or \
+        "ReadSchema: struct<sls_quantity:int,sls_sales:int>" in totals
+    assert "Join" not in totals
+    dated = _plan(QUERIES["n2_running_totals"](wh))
+    assert "PushedFilters: [IsNotNull(sls_order_dt)]" in dated
+    ranked = _plan(QUERIES["e7_1b_top_products_ranked"](wh))
+    assert ranked.index("Window") < ranked.index("TakeOrderedAndProject")  # top-k below the global window
+    lookups = _plan(QUERIES["e6_5_revenue_by_category"](wh))
+    assert "BroadcastHashJoin" in lookups and "SortMergeJoin" not in lookups
