@@ -25,3 +25,19 @@ def fits_buckets(df: DataFrame, key: str, buckets: int, max_share: float = 4.0)
     part of the table."""
     hottest, total = heaviest_key(df, key)
     return total == 0 or hottest * buckets <= max_share * total
+
+
+# A bucketed scan reads each bucket in one task: keep buckets near this size.
+ROWS_PER_BUCKET = 5_000_000
+
+
+def bucket_count(df: DataFrame, key: str, min_buckets: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+                 max_share: float = 4.0) -> int | None:
+    """Buckets for ``df`` on ``key``: enough that each holds about
+    ``rows_per_bucket`` rows (at least ``min_buckets``), or None when the
+    heaviest key would hold more than ``max_share`` average buckets."""
+    hottest, total = heaviest_key(df, key)
+    n = max(min_buckets, -(-total // rows_per_bucket))
+    if total and hottest * n > max_share * total:
+        return None
+    return n

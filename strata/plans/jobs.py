@@ -18,7 +18,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.skew import fits_buckets
+from strata.operators.skew import bucket_count
 from strata.plans.silver import transform
 from strata.schemas import AUDIT_COLUMN, LOAD_ORDER, SOURCE_FILES
 from strata.sources.csv_bronze import read_bronze_csv
@@ -45,9 +45,11 @@ def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFram
             df = steps[name]()
             spec = (buckets or {}).get(name)
             if spec is not None:
-                # Bucket only when no key is heavy enough to overload its bucket.
-                if fits_buckets(df, spec[1], spec[0]):
-                    layout = f"bucketed({spec[0]}, {spec[1]})"
+                # Buckets sized to the table (spec[0] is the minimum), and only
+                # when no key is heavy enough to overload its bucket.
+                n = bucket_count(df, spec[1], spec[0])
+                if n is not None:
+                    spec, layout = (n, spec[1]), f"bucketed({n}, {spec[1]})"
                 else:
                     spec, layout = None, f"plain: {spec[1]} too skewed to bucket"
             store.write(layer, name, df, spec)
@@ -100,7 +102,8 @@ def load_silver(spark: SparkSession, store: LayerStore, as_of: date | str | None
     source arrives in fewer splits than the cluster has cores (one big
     unsplittable file), otherwise the write keeps the input's parallelism and
     adds no shuffle.  ``buckets`` names tables to store bucketed
-    (``(n, column)``, catalog stores only).
+    (``(minimum buckets, column)``, catalog stores only); the metrics'
+    ``layout`` says what was done.
     """
     spread = spread or {}
 

@@ -51,6 +51,7 @@ class Warehouse:
         self.sales_bucketed = False
 
     def sales_buckets(self) -> dict[str, tuple[int, str]]:
+        """Bucket request for the sales table: (minimum buckets, column)."""
         if self.store.catalog_prefix is None:
             return {}
         return {"crm_sales_details": (self.buckets, "sls_cust_id")}
@@ -71,7 +72,10 @@ class Warehouse:
         metrics = load_silver(spark, store, as_of=as_of, bronze=bronze, spread=spread, buckets=wh.sales_buckets())
         done = [r for r in metrics.collect() if r.table_name != "(batch)"]
         wh.rows.update({f"silver.{r.table_name}": r.rows for r in done})
-        wh.sales_bucketed = any(r.table_name == "crm_sales_details" and r.layout.startswith("bucketed") for r in done)
+        sales = [r for r in done if r.table_name == "crm_sales_details"]
+        wh.sales_bucketed = bool(sales) and sales[0].layout.startswith("bucketed(")
+        if wh.sales_bucketed:  # the dimension must use the same bucket count
+            wh.buckets = int(sales[0].layout[len("bucketed("):].split(",")[0])
         wh.build_gold()
         return wh
 

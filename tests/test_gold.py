@@ -138,3 +138,13 @@ def test_fits_buckets_rejects_a_hot_key(spark):
     assert heaviest_key(even, "k") == (30, 3000) and fits_buckets(even, "k", 16)
     assert heaviest_key(hot, "k") == (1000, 3000) and not fits_buckets(hot, "k", 16)
     assert not fits_buckets(nulls, "k", 16)  # NULL keys share one bucket too
+
+
+def test_bucket_count_grows_with_the_table(spark):
+    from strata.operators.skew import bucket_count
+
+    df = spark.createDataFrame([(i % 500,) for i in range(5000)], "k int")
+    assert bucket_count(df, "k", 4, rows_per_bucket=100) == 50      # 5000 rows / 100
+    assert bucket_count(df, "k", 64, rows_per_bucket=100) == 64     # never below the minimum
+    hot = spark.createDataFrame([(0 if i % 2 else i,) for i in range(5000)], "k int")
+    assert bucket_count(hot, "k", 4, rows_per_bucket=100) is None
