@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
 from strata.operators.keys import dense_key
-from strata.schemas import GOLD
+from strata.schemas import GOLD, conform
 
 UNKNOWN = "n/a"
 
 
-def _conform(df: DataFrame, view: str) -> DataFrame:
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in GOLD[view].fields])
+def _conform(df: DataFrame, name: str) -> DataFrame:
+    return conform(df, GOLD[name])
 
 
 def dim_customers_rows(customers: DataFrame, erp_customers: DataFrame, locations: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strata.functions import (as_of_date, first_match, full_name, guarded_idiv, month_boundaries,
                               year_boundaries)
 from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
-from strata.schemas import GOLD
+from strata.schemas import GOLD, conform
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ def segment(lifespan, spend, months: int, limit: int) -> F.Column:
     )
 
 
-def _conform(df: DataFrame, view: str) -> DataFrame:
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in GOLD[view].fields])
+def _conform(df: DataFrame, name: str) -> DataFrame:
+    return conform(df, GOLD[name])
 
 
 def customer_totals(lines: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strata.functions import as_of_date, decode, yyyymmdd_to_date
 from strata.operators.keys import keep_latest
 from strata.operators.windows import next_start
-from strata.schemas import SILVER
+from strata.schemas import SILVER, conform
 
 # Code tables of the source system.
 MARITAL_CODES = [(["S"], "Single"), (["M"], "Married")]
@@ -28,8 +28,8 @@ COUNTRY_NAMES = {"DE": "Germany", "US": "United States", "USA": "United States"}
 UNKNOWN = "n/a"
 
 
-def _conform(df: DataFrame, table: str) -> DataFrame:
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SILVER[table].fields])
+def _conform(df: DataFrame, name: str) -> DataFrame:
+    return conform(df, SILVER[name])
 
 
 def silver_customers(bronze: DataFrame) -> DataFrame:

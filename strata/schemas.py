@@ -76,6 +76,13 @@ SILVER = {
 }
 
 
+def conform(df, schema: T.StructType):
+    """Select exactly the declared columns, in order, cast to the declared types."""
+    from pyspark.sql import functions as F
+
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def with_audit(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(AUDIT_COLUMN, TS, True)])
 

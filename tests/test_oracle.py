@@ -137,3 +137,20 @@ def test_plans_prune_push_down_and_skip_unneeded_joins(spark):
     assert ranked.index("Window") < ranked.index("TakeOrderedAndProject")  # top-k below the global window
     lookups = _plan(QUERIES["e6_5_revenue_by_category"](wh))
     assert "BroadcastHashJoin" in lookups and "SortMergeJoin" not in lookups
+
+
+def test_layer_properties(spark):
+    """Silver never has more rows than bronze; with unique dimension keys the
+    fact view has exactly one row per silver sales line; keys are dense 1..N."""
+    from pyspark.sql import functions as F
+
+    from strata.schemas import BRONZE
+
+    wh = entry.warehouse(spark, SF)
+    for name in BRONZE:
+        assert wh.silver(name).count() <= wh.bronze(name).count(), name
+    assert wh.customers_unique and wh.products_unique
+    assert wh.fact_sales().count() == wh.silver("crm_sales_details").count()
+    for dim, key in ((wh.dim_customers(), "customer_key"), (wh.dim_products(), "product_key")):
+        n = dim.count()
+        assert dim.agg(F.min(key), F.max(key), F.countDistinct(key)).first() == (1, n, n)
