@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from strata.operators.skew import bucket_count
 from strata.plans.silver import transform
 from strata.schemas import AUDIT_COLUMN, LOAD_ORDER, SOURCE_FILES
-from strata.sources.csv_bronze import read_bronze_csv
+from strata.sources.csv_bronze import count_bad_rows, read_bronze_csv
 from strata.sources.tables import LayerStore
 
-METRICS_SCHEMA = ("layer string, table_name string, rows long, seconds double, status string, error string, "
-                  "layout string")
+METRICS_SCHEMA = ("layer string, table_name string, rows long, bad_rows long, seconds double, status string, "
+                  "error string, layout string")
 
 
 class LoadError(RuntimeError):
@@ -35,7 +35,8 @@ class LoadError(RuntimeError):
 
 
 def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFrame]], store: LayerStore,
-         parallel: bool, buckets: dict[str, tuple[int, str]] | None = None) -> DataFrame:
+         parallel: bool, buckets: dict[str, tuple[int, str]] | None = None,
+         bad_rows: dict[str, Callable[[], int]] | None = None) -> DataFrame:
     batch_start = time.time()
 
     def one(name: str) -> tuple:
@@ -54,10 +55,11 @@ def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFram
                     spec, layout = None, f"plain: {spec[1]} too skewed to bucket"
             store.write(layer, name, df, spec)
             rows = store.rows(layer, name)
-            return (layer, name, rows, round(time.time() - start, 3), "ok", None, layout)
+            bad = bad_rows[name]() if bad_rows and name in bad_rows else None
+            return (layer, name, rows, bad, round(time.time() - start, 3), "ok", None, layout)
         except Exception as exc:  # recorded, then re-raised below
-            return (layer, name, None, round(time.time() - start, 3), "failed", f"{type(exc).__name__}: {exc}",
-                    layout)
+            return (layer, name, None, None, round(time.time() - start, 3), "failed",
+                    f"{type(exc).__name__}: {exc}", layout)
 
     names = [n for n in LOAD_ORDER if n in steps]
     if parallel:
@@ -65,23 +67,28 @@ def _run(spark: SparkSession, layer: str, steps: dict[str, Callable[[], DataFram
             results = list(pool.map(one, names))
     else:
         results = [one(n) for n in names]
-    failed = [r for r in results if r[4] != "ok"]
-    total = (layer, "(batch)", sum(r[2] or 0 for r in results), round(time.time() - batch_start, 3),
-             "failed" if failed else "ok", failed[0][5] if failed else None, None)
+    failed = [r for r in results if r[5] != "ok"]
+    bad_total = sum(r[3] for r in results if r[3] is not None) if any(r[3] is not None for r in results) else None
+    total = (layer, "(batch)", sum(r[2] or 0 for r in results), bad_total, round(time.time() - batch_start, 3),
+             "failed" if failed else "ok", failed[0][6] if failed else None, None)
     metrics = results + [total]
     if failed:
-        raise LoadError(f"loading {layer} failed: {failed[0][1]}: {failed[0][5]}", metrics)
+        raise LoadError(f"loading {layer} failed: {failed[0][1]}: {failed[0][6]}", metrics)
     return spark.createDataFrame(metrics, METRICS_SCHEMA)
 
 
 def load_bronze(spark: SparkSession, source_dir: str, store: LayerStore, on_bad_rows: str = "fail",
                 parallel: bool = True) -> DataFrame:
-    """S11: land the six CSV extracts found under ``source_dir``."""
-    steps = {
-        name: (lambda n=name: read_bronze_csv(spark, f"{source_dir.rstrip('/')}/{SOURCE_FILES[n]}", n, on_bad_rows))
-        for name in LOAD_ORDER
-    }
-    return _run(spark, "bronze", steps, store, parallel)
+    """S11: land the six CSV extracts found under ``source_dir``.  ``bad_rows``
+    is 0 in ``fail`` mode (a bad row fails the table) and counted in ``null``
+    mode."""
+    path = lambda n: f"{source_dir.rstrip('/')}/{SOURCE_FILES[n]}"
+    steps = {name: (lambda n=name: read_bronze_csv(spark, path(n), n, on_bad_rows)) for name in LOAD_ORDER}
+    if on_bad_rows == "fail":
+        bad = {name: (lambda: 0) for name in LOAD_ORDER}
+    else:
+        bad = {name: (lambda n=name: count_bad_rows(spark, path(n), n)) for name in LOAD_ORDER}
+    return _run(spark, "bronze", steps, store, parallel, bad_rows=bad)
 
 
 def land_bronze_frames(spark: SparkSession, frames: dict[str, DataFrame], store: LayerStore,

@@ -4,21 +4,30 @@ The extracts are headered, comma separated, CRLF terminated and carry no
 quoting; an empty field is NULL.  They are read against the declared schema
 (never inferred).  A row whose fields do not convert makes the load fail, as
 the source's bulk insert does; ``on_bad_rows="null"`` keeps such rows with
-NULLs in the fields that did not convert.
+NULLs in the fields that did not convert, and ``count_bad_rows`` reports how
+many there were.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.schemas import BRONZE
 
+_CORRUPT = "_corrupt_record"
 
-def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str = "fail") -> DataFrame:
+
+def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str = "fail",
+                    keep_corrupt: bool = False) -> DataFrame:
     if on_bad_rows not in ("fail", "null"):
         raise ValueError("on_bad_rows must be 'fail' or 'null'")
+    schema = BRONZE[table]
+    if keep_corrupt:
+        schema = T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType(), True)])
     return (
-        spark.read.schema(BRONZE[table])
+        spark.read.schema(schema)
         .option("header", "true")
         .option("sep", ",")
         .option("quote", "")          # fields are never quoted
@@ -29,5 +38,16 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str
         .option("dateFormat", "yyyy-MM-dd")
         .option("timestampFormat", "yyyy-MM-dd[ HH:mm:ss[.SSS]]")
         .option("mode", "FAILFAST" if on_bad_rows == "fail" else "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(path)
     )
+
+
+def count_bad_rows(spark: SparkSession, path: str, table: str) -> int:
+    """Rows whose fields did not convert (kept with NULLs in ``null`` mode).
+    One more pass over the file.  Spark refuses a query that reads the
+    corrupt-record column alone, so the count is over the parsed rows that
+    carry one."""
+    df = read_bronze_csv(spark, path, table, on_bad_rows="null", keep_corrupt=True)
+    parsed = F.struct(*[F.col(f.name) for f in BRONZE[table].fields])
+    return int(df.agg(F.count(F.when(F.col(_CORRUPT).isNotNull(), parsed))).first()[0])

@@ -111,7 +111,7 @@ def test_load_failure_is_recorded_and_raised(spark, tmp_path):
     store = LayerStore(spark, str(tmp_path / "wh"))
     with pytest.raises(LoadError) as err:
         load_bronze(spark, src, store)
-    status = {m[1]: m[4] for m in err.value.metrics}
+    status = {m[1]: m[5] for m in err.value.metrics}
     assert status["erp_loc_a101"] == "failed" and status["crm_cust_info"] == "ok" and status["(batch)"] == "failed"
 
 
@@ -286,3 +286,16 @@ def test_command_line_build_check_query(spark, tmp_path, capsys):
     assert "structure:gold.fact_sales" in capsys.readouterr().out
     assert main(["query", "n5_category_share", "--root", root, "--as-of", "2025-12-01"], spark=spark) == 0
     assert "Components" in capsys.readouterr().out
+
+
+def test_bronze_load_counts_bad_rows_in_null_mode(spark, tmp_path):
+    bad = dict(EXTRACTS)
+    bad["crm_sales_details"] = EXTRACTS["crm_sales_details"] + ["SO1,P,notanumber,1,1,1,1,1,1"]
+    src = write_extracts(str(tmp_path / "src"), bad)
+    store = LayerStore(spark, str(tmp_path / "wh"))
+    metrics = {r.table_name: r for r in load_bronze(spark, src, store, on_bad_rows="null").collect()}
+    assert (metrics["crm_sales_details"].rows, metrics["crm_sales_details"].bad_rows) == (4, 1)
+    assert metrics["crm_cust_info"].bad_rows == 0 and metrics["(batch)"].bad_rows == 1
+    with pytest.raises(LoadError) as err:
+        load_bronze(spark, src, LayerStore(spark, str(tmp_path / "wh2")))
+    assert {m[1]: m[5] for m in err.value.metrics}["crm_sales_details"] == "failed"
