@@ -1,10 +1,13 @@
 """Exploratory queries (E1-E7): inventory, dimensions, dates, measures,
 the KPI report, magnitudes and rankings.
 
-Every function takes a ``Warehouse`` and returns a lazy DataFrame.  Star
-queries use ``wh.star`` (one lookup per needed dimension).  Rankings break
-ties on the grouping columns so the answer does not depend on partitioning;
-NULL groups (fact rows that found no dimension row) are kept, as in SQL.
+Every function takes a ``Warehouse`` and returns a lazy DataFrame.  Queries
+grouped by dimension attributes use ``wh.rollup_products`` /
+``wh.rollup_customers`` (aggregate per natural key first when the dimension
+is too large to broadcast); others use ``wh.star`` (one lookup per needed
+dimension).  Rankings break ties on the grouping columns so the answer does
+not depend on partitioning; NULL groups (fact rows that found no dimension
+row) are kept, as in SQL.
 """
 
 from __future__ import annotations

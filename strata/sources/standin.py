@@ -32,7 +32,9 @@ _VERSIONS = "CASE p_partkey % 5 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 1 END"
 
 
 def _product_version(v: int) -> str:
-    """One product version per part; parts have 1, 2 or 3 versions."""
+    """Version ``v`` of each part's product.  Every part has version 0; the
+    WHERE only decides which parts also get a newer version 1 (and 2), so
+    parts end up with one, two or three versions and none is left out."""
     where = {0: "", 1: "WHERE p_partkey % 5 IN (3, 4)", 2: "WHERE p_partkey % 5 = 4"}[v]
     return f"""
 SELECT CAST(p_partkey * 3 + {v + 1} AS INT) AS prd_id,
