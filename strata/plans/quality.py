@@ -210,6 +210,18 @@ def qg11_date_order(wh) -> DataFrame:
                     ).select("order_number", "order_date", "shipping_date", "due_date")
 
 
+def qg12_customer_id_dupes(wh) -> DataFrame:
+    """Natural keys the fact joins on must be unique in the dimension, or
+    fact lines multiply (added to the source's gold checks)."""
+    return (wh.dim_customers().groupBy("customer_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
+            .filter(F.col("duplicate_count") > 1))
+
+
+def qg13_product_number_dupes(wh) -> DataFrame:
+    return (wh.dim_products().groupBy("product_number").agg(F.count(F.lit(1)).alias("duplicate_count"))
+            .filter(F.col("duplicate_count") > 1))
+
+
 # The accepted value lists of the profile checks.
 ACCEPTED = {
     "qs4_gender_values": {"Male", "Female", "n/a"},
@@ -239,7 +251,8 @@ CHECKS: dict[str, tuple[str, Callable]] = {
         ("qg5_country_values", qg5_country_values), ("qg6_product_key_dupes", qg6_product_key_dupes),
         ("qg7_missing_start_date", qg7_missing_start_date), ("qg8_missing_category", qg8_missing_category),
         ("qg9_null_fact_keys", qg9_null_fact_keys), ("qg10_bad_measures", qg10_bad_measures),
-        ("qg11_date_order", qg11_date_order),
+        ("qg11_date_order", qg11_date_order), ("qg12_customer_id_dupes", qg12_customer_id_dupes),
+        ("qg13_product_number_dupes", qg13_product_number_dupes),
     ]},
 }
 

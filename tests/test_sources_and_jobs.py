@@ -219,6 +219,8 @@ def test_fanout_and_orphans_match_view_sql(spark, tmp_path, large):
     wh.build_gold()
     assert not wh.customers_unique and wh.rows["gold.dim_customers"] == 3
     assert not wh.products_unique and wh.rows["gold.dim_products"] == 3
+    assert rows(QUERIES["qg12_customer_id_dupes"](wh)) == [(11001, 2)]
+    assert rows(QUERIES["qg13_product_number_dupes"](wh)) == [("FR-R92B-58", 2)]
     prefix = f"fan{int(large)}_"
     catalog.publish(wh, prefix=prefix)
     # 5 lines: 3 of customer 11001 doubled, 2 of product FR-R92B-58 doubled
