@@ -301,3 +301,25 @@ def test_bronze_load_counts_bad_rows_in_null_mode(spark, tmp_path):
     with pytest.raises(LoadError) as err:
         load_bronze(spark, src, LayerStore(spark, str(tmp_path / "wh2")))
     assert {m[1]: m[5] for m in err.value.metrics}["crm_sales_details"] == "failed"
+
+
+def test_empty_extracts_load_and_report_instead_of_failing(spark, tmp_path):
+    from strata.plans.registry import QUERIES
+
+    empty = {table: lines[:1] for table, lines in EXTRACTS.items()}  # header rows only
+    src = write_extracts(str(tmp_path / "src"), empty)
+    store = LayerStore(spark, str(tmp_path / "wh"), catalog_prefix="empty_")
+    load_bronze(spark, src, store)
+    wh = Warehouse(spark, store, as_of="2025-12-01")
+    metrics = {r.table_name: r for r in load_silver(spark, store, as_of="2025-12-01",
+                                                    buckets=wh.sales_buckets()).collect()}
+    assert metrics["(batch)"].rows == 0 and metrics["crm_sales_details"].layout.startswith("bucketed")
+    wh.sales_bucketed = True
+    wh.build_gold()
+    assert wh.dim_customers().count() == 0 and wh.fact_sales().count() == 0
+    for name in ("g4_report_customers", "g5_report_products", "n2_running_totals", "e7_1a_top_products",
+                 "n4b_customer_segments"):
+        assert QUERIES[name](wh).count() == 0, name
+    summary = {r.check: r for r in quality.summary(wh).collect()}
+    assert summary["row_count:silver.crm_cust_info"].status == "failed"  # QB1/QS-R: tables must have rows
+    assert summary["qs1_customer_id_dupes"].status == "ok"
