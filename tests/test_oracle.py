@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from strata.plans import quality
-from tools.compare import TABLES, digest
+from tools.compare import TABLES, TYPE_NAMES, digest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not available")
@@ -36,6 +36,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(sdf.columns) == sorted(ocols)
     assert len(srows) == len(orows)
     assert digest(sdf.columns, srows)[0] == digest(ocols, orows)[0]
+    rel = duck.sql(entry.oracle_sql()[name])
+    otypes = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    stypes = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert stypes == otypes
 
 
 def test_entry_smoke(spark):
