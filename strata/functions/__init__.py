@@ -95,9 +95,20 @@ def decode(code: ColumnOrName, mapping: Sequence[tuple[Sequence[str], str]], def
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
-def has_outer_blanks(c: ColumnOrName) -> Column:
-    """True when the value differs from its trimmed form (NULL stays unknown)."""
-    return _c(c) != F.trim(_c(c))
+# The source database's default collation compares case-insensitively and
+# ignores trailing blanks; Spark's equivalent collation.
+SOURCE_COLLATION = "UTF8_LCASE_RTRIM"
+
+
+def has_outer_blanks(c: ColumnOrName, source_collation: bool = False) -> Column:
+    """True when the value differs from its trimmed form (NULL stays unknown).
+
+    Binary by default, so leading and trailing blanks both count.  With
+    ``source_collation`` the comparison ignores trailing blanks and case, as
+    the source's checks do -- only leading blanks are then found.
+    """
+    value = F.collate(_c(c), SOURCE_COLLATION) if source_collation else _c(c)
+    return value != F.trim(_c(c))
 
 
 # --- ordered buckets ----------------------------------------------------------

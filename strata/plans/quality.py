@@ -52,13 +52,17 @@ def qs1_customer_id_dupes(wh) -> DataFrame:
             .filter((F.col("duplicate_count") > 1) | F.col("cst_id").isNull()))
 
 
+def _blanks(wh, column: str):
+    return has_outer_blanks(column, getattr(wh, "source_collation", False))
+
+
 def qs2_customer_key_blanks(wh) -> DataFrame:
-    return wh.silver("crm_cust_info").filter(has_outer_blanks("cst_key")).select("cst_key")
+    return wh.silver("crm_cust_info").filter(_blanks(wh, "cst_key")).select("cst_key")
 
 
 def qs3_name_blanks(wh) -> DataFrame:
     c = wh.silver("crm_cust_info")
-    return c.filter(has_outer_blanks("cst_firstname") | has_outer_blanks("cst_lastname")).select(
+    return c.filter(_blanks(wh, "cst_firstname") | _blanks(wh, "cst_lastname")).select(
         "cst_firstname", "cst_lastname")
 
 
@@ -77,7 +81,7 @@ def qs6_product_id_dupes(wh) -> DataFrame:
 
 
 def qs7_product_name_blanks(wh) -> DataFrame:
-    return wh.silver("crm_prd_info").filter(has_outer_blanks("prd_nm")).select("prd_nm")
+    return wh.silver("crm_prd_info").filter(_blanks(wh, "prd_nm")).select("prd_nm")
 
 
 def qs8_product_cost(wh) -> DataFrame:
@@ -135,7 +139,7 @@ def qs16_country_values(wh) -> DataFrame:
 
 def qs17_category_blanks(wh) -> DataFrame:
     c = wh.silver("erp_px_cat_g1v2")
-    return c.filter(has_outer_blanks("cat") | has_outer_blanks("subcat") | has_outer_blanks("maintenance")).select(
+    return c.filter(_blanks(wh, "cat") | _blanks(wh, "subcat") | _blanks(wh, "maintenance")).select(
         "id", "cat", "subcat", "maintenance")
 
 

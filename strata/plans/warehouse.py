@@ -49,6 +49,9 @@ class Warehouse:
         # dimension is a sort-merge join without a shuffle of the fact.
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.sales_bucketed = False
+        # Blank checks compare binary (leading and trailing blanks count);
+        # True reproduces the source's collation (trailing blanks ignored).
+        self.source_collation = False
 
     def sales_buckets(self) -> dict[str, tuple[int, str]]:
         """Bucket request for the sales table: (minimum buckets, column)."""

@@ -4,8 +4,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from strata.functions import (decode, first_match, full_name, guarded_idiv, idiv, month_boundaries, sign_label,
-                              trunc_avg, year_boundaries, yyyymmdd_to_date)
+from strata.functions import (decode, first_match, full_name, guarded_idiv, has_outer_blanks, idiv,
+                              month_boundaries, sign_label, trunc_avg, year_boundaries, yyyymmdd_to_date)
 
 
 def test_boundary_differences(spark):
@@ -68,3 +68,11 @@ def test_previous_day_and_month_label(spark):
     r = df.select(F.date_sub("d", 1).alias("prev"), F.date_format("d", "yyyy-MMM").alias("label"),
                   F.trunc("d", "MM").alias("month")).first()
     assert (r.prev, r.label, r.month) == (date(2023, 6, 4), "2023-Jun", date(2023, 6, 1))
+
+
+def test_blank_check_binary_or_source_collation(spark):
+    df = spark.createDataFrame([("a ",), (" a",), ("a",), (None,)], "s string")
+    binary = [r[0] for r in df.select(has_outer_blanks("s")).collect()]
+    source = [r[0] for r in df.select(has_outer_blanks("s", source_collation=True)).collect()]
+    assert binary == [True, True, False, None]
+    assert source == [False, True, False, None]  # trailing blanks are invisible to the source's comparison
