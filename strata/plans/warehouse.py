@@ -64,6 +64,10 @@ class Warehouse:
     def build(cls, spark: SparkSession, bronze: dict[str, DataFrame], store: LayerStore | None = None,
               as_of: date | str | None = None, land_bronze: bool = False,
               spread: dict[str, int] | None = None) -> "Warehouse":
+        """Load silver from ``bronze`` frames (optionally landing them as bronze
+        tables first), then store the gold dimensions.  Without a ``store`` the
+        tables go to a fresh folder under the session's checkpoint folder, as
+        catalog tables (so the sales table can be bucketed)."""
         if store is None:
             tag = uuid.uuid4().hex[:8]
             store = LayerStore(spark, f"{checkpoint_dir(spark)}/warehouse-{tag}", catalog_prefix=f"strata_{tag}_")
@@ -102,8 +106,7 @@ class Warehouse:
     def from_standin(cls, spark: SparkSession, sf_dir: str, as_of: date | str | None = None) -> "Warehouse":
         """Warehouse over the driver tables.  Their Parquet files hold a single
         row group each, so a scan is one task; the line items are spread over
-        all cores after the scan, so the sales load runs in parallel and the
-        silver sales table is written as one file per core."""
+        all cores right after the scan so the sales load runs in parallel."""
         cores = spark.sparkContext.defaultParallelism
         return cls.build(spark, standin_bronze(spark, sf_dir, spread=cores), as_of=as_of)
 
