@@ -1,12 +1,14 @@
 """Command line: run the warehouse the way the source's scripts are run.
 
-    python -m strata build --source LANDING --root WAREHOUSE [--as-of YYYY-MM-DD]
+    python -m strata build --source LANDING --root WAREHOUSE [--as-of YYYY-MM-DD] [--catalog-prefix P]
     python -m strata check --root WAREHOUSE [--as-of YYYY-MM-DD]
     python -m strata query NAME --root WAREHOUSE [--as-of YYYY-MM-DD] [--rows N]
     python -m strata list
 
 ``build`` lands the six extracts (bronze), loads silver, stores the gold
-dimensions, publishes ``bronze.* / silver.* / gold.*`` in the session
+dimensions (with ``--catalog-prefix`` also as catalog tables, which lets the
+sales and customer tables be bucketed alike when the skew check allows),
+publishes ``bronze.* / silver.* / gold.*`` in the session
 catalog and prints the load metrics and the quality summary.  ``WAREHOUSE``
 must be a folder every executor can read (HDFS, object store, shared mount).
 Under spark-submit the cluster's session is used as is.
@@ -29,7 +31,8 @@ def _session() -> SparkSession:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from strata.plans import quality
-    from strata.plans.jobs import load_bronze, load_silver
+    from strata.plans.jobs import load_bronze
+    from strata.schemas import BRONZE
     from strata.plans.registry import QUERIES
     from strata.plans.warehouse import Warehouse
     from strata.sources import catalog
@@ -47,6 +50,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for p in (b, c, q):
         p.add_argument("--root", required=True, help="warehouse folder")
         p.add_argument("--as-of", default=None, help="reference date (default: today)")
+        p.add_argument("--catalog-prefix", default=None,
+                       help="also keep the tables in the catalog as <prefix><layer>.<name> (needed for "
+                            "bucketing; needs a persistent metastore to be reused by later runs)")
     sub.add_parser("list", help="list the registered queries")
     args = parser.parse_args(argv)
 
@@ -54,12 +60,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\n".join(sorted(QUERIES)))
         return 0
     spark = spark or _session()
-    store = LayerStore(spark, args.root)
+    store = LayerStore(spark, args.root, catalog_prefix=args.catalog_prefix)
     if args.command == "build":
         load_bronze(spark, args.source, store, on_bad_rows=args.on_bad_rows).show(truncate=False)
-        load_silver(spark, store, as_of=args.as_of).show(truncate=False)
-        wh = Warehouse(spark, store, as_of=args.as_of)
-        wh.build_gold()
+        landed = {name: store.read("bronze", name) for name in BRONZE}
+        wh = Warehouse.build(spark, landed, store=store, as_of=args.as_of)
+        wh.load_metrics.show(truncate=False)
         catalog.publish(wh)
         summary = quality.summary(wh)
         summary.show(100, truncate=False)

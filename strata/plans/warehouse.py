@@ -39,6 +39,7 @@ class Warehouse:
         self.as_of = as_of
         self.rows: dict[str, int] = {}
         self.bronze_frames: dict[str, DataFrame] | None = None
+        self.load_metrics: DataFrame | None = None  # silver load metrics of the last build
         self.products_unique = False
         self.customers_unique = False
         # Largest dimension (rows) looked up by broadcast; above it, queries
@@ -77,6 +78,7 @@ class Warehouse:
             bronze = None
         wh.bronze_frames = bronze
         metrics = load_silver(spark, store, as_of=as_of, bronze=bronze, spread=spread, buckets=wh.sales_buckets())
+        wh.load_metrics = metrics
         done = [r for r in metrics.collect() if r.table_name != "(batch)"]
         wh.rows.update({f"silver.{r.table_name}": r.rows for r in done})
         sales = [r for r in done if r.table_name == "crm_sales_details"]

@@ -288,6 +288,12 @@ def test_command_line_build_check_query(spark, tmp_path, capsys):
     assert "structure:gold.fact_sales" in capsys.readouterr().out
     assert main(["query", "n5_category_share", "--root", root, "--as-of", "2025-12-01"], spark=spark) == 0
     assert "Components" in capsys.readouterr().out
+    # catalog mode: the sales table is measured for bucketing (one customer dominates here: stays plain)
+    root2 = str(tmp_path / "wh2")
+    assert main(["build", "--source", src, "--root", root2, "--as-of", "2025-12-01", "--catalog-prefix", "cli_"],
+                spark=spark) == 0
+    assert "too skewed to bucket" in capsys.readouterr().out
+    assert spark.table("cli_silver.crm_sales_details").count() == 3
 
 
 def test_bronze_load_counts_bad_rows_in_null_mode(spark, tmp_path):
