@@ -114,8 +114,8 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndar
         if n >= size:
             out.append(np.unique(runs[a : b - size + 1]))
         elif n:
-            head = (words[a:b] * _MULTIPLIERS[:n]).sum(dtype=np.uint64) + np.uint64(n) * _M
-            out.append(mix64(np.array([head], dtype=np.uint64)))
+            head = (words[a:b] * _MULTIPLIERS[:n]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix64(head + np.uint64(n * int(_M) % (1 << 64))))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
