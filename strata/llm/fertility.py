@@ -53,8 +53,8 @@ BELOW, ABOVE = (0.10, 6.5), (0.15, 8.0)
 FLOOR = ((20, 2.9), (70, 4.6), (150, 5.25), (300, 5.65), (630, 6.0), (2000, 6.3), (5000, 6.35))
 MIN_TOKENS = 20
 
-FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, token_chars long, byte_tokens long, entropy double, script string, lang string"
-_OUT = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "token_chars", "byte_tokens")] + [("entropy", pa.float64()), ("script", pa.string()), ("lang", pa.string())])
+FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, token_chars long, byte_tokens long, entropy double, script string, lang string, text_key long"
+_OUT = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "token_chars", "byte_tokens")] + [("entropy", pa.float64()), ("script", pa.string()), ("lang", pa.string()), ("text_key", pa.int64())])
 
 
 class WordIds(dict):
@@ -158,7 +158,7 @@ def script_of(raw: bytes) -> str:
 
 def features(docs: DataFrame, model_path: str) -> DataFrame:
     """The measures of every document, with its language.  ``docs`` has doc_id, text, lang."""
-    rows = docs.select(*(F.col(n).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"))))
+    rows = docs.select(*(F.col(n).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"))), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
 
     def work(batches):
         ids = word_ids(model_path)
@@ -174,7 +174,7 @@ def features(docs: DataFrame, model_path: str) -> DataFrame:
             n_words = np.diff(offsets)
             yield batch(
                 _OUT, b.column(0), n_words, chars, [sum(map(t.count, SYMBOLS)) for t in texts], [duplicate_lines(t) for t in texts], repeated_words(words, offsets),
-                n_tokens, chars + n_words, n_bytes, entropy, [script_of(raw) for raw in raws], b.column(2),
+                n_tokens, chars + n_words, n_bytes, entropy, [script_of(raw) for raw in raws], b.column(2), b.column(3),
             )
 
     return rows.mapInArrow(work, FEATURES)

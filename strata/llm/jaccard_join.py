@@ -215,7 +215,7 @@ def open_pages(queries: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every document."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = store(document_sets(rows, size), "join-sets")
@@ -265,11 +265,11 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     mine = mine.join(groups.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     ids = mine.groupBy("root").agg(F.min("least").alias("component"))
     named = mine.join(ids, "root").select("set", "component")
-    return known.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return known.join(named, "set", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op10_jaccard_join": op10_jaccard_join}
@@ -281,8 +281,8 @@ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [
         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM w),
 n AS (SELECT doc_id, len(grams) AS n_shingles FROM s),
 g AS MATERIALIZED (SELECT doc_id, unnest(grams) AS gram FROM s),
-p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL
-      HAVING 100 * count(*) >= 85 * ((SELECT n_shingles FROM n WHERE doc_id = x.doc_id) + (SELECT n_shingles FROM n WHERE doc_id = y.doc_id) - count(*))),
+c AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT a, b FROM c JOIN n AS u ON u.doc_id = a JOIN n AS v ON v.doc_id = b WHERE 100 * both_have >= 85 * (u.n_shingles + v.n_shingles - both_have)),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
 SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) m ON m.node = n.doc_id"""
 }

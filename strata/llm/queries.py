@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import fertility, html_text, tool_calls, url_filters, warc
+from . import decontaminate, fertility, html_text, jaccard_join, line_dedup, lm_scoring, packing, tool_calls, url_filters, warc
 
-MODULES = [warc, html_text, url_filters, tool_calls, fertility]
+MODULES = [warc, decontaminate, html_text, url_filters, packing, line_dedup, lm_scoring, tool_calls, fertility, jaccard_join]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+QUERIES["pipeline"] = lambda spark, sf_dir: _pipeline(spark, sf_dir)
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
