@@ -18,6 +18,7 @@ from strata.llm.fertility import VOCABULARY as PIECES
 from strata.llm.fertility import fertility_rules
 from strata.llm.jaccard_join import jaccard_classes
 from strata.llm.line_dedup import dedup_lines
+from strata.llm.packing import RANKS
 from strata.llm.packing import VOCABULARY as BYTES
 from strata.llm.packing import pack, pieces_digest
 
@@ -56,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token sequences."""
     import public_tokenizers
 
-    return pieces_digest(pack(docs, public_tokenizers.path(BYTES)))
+    return pieces_digest(pack(docs, public_tokenizers.path(BYTES), ranks=public_tokenizers.path(RANKS)))
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
