@@ -36,6 +36,8 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 DROPPED = frozenset("head svg math select button datalist object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+# Elements closed by the next of their kind, and the blocks that may stand open in them.
+OPEN_ENDED = {"li": ("p", "div", "address"), "dt": ("p", "div"), "dd": ("p", "div"), "tr": ("p", "div", "td", "th"), "td": ("p", "div"), "th": ("p", "div")}
 CONTENT_TAGS = frozenset("article main".split())
 SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 # Words of class, id and role attributes that name parts beside the article.
@@ -120,13 +122,16 @@ def blocks_of(page: str) -> list[tuple]:
             continue
         if tag == "a":
             in_link += 1
+        for shut in (("p",) if tag in BLOCK else ()) + ((tag,) if tag in OPEN_ENDED else ()):  # their end tags may be left out
+            if not opened.get(shut):
+                continue
+            depth = len(stack) - 1
+            while stack[depth][0] != shut and (stack[depth][0] not in BLOCK or stack[depth][0] in OPEN_ENDED.get(shut, ())):
+                depth -= 1
+            if stack[depth][0] == shut:
+                while len(stack) > depth:
+                    opened[stack.pop()[0]] -= 1
         top = stack[-1]
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and opened.get(tag):  # their end tags may be left out
-            while stack[-1][0] != tag and stack[-1][0] not in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote"):
-                opened[stack.pop()[0]] -= 1
-            if stack[-1][0] == tag:
-                opened[stack.pop()[0]] -= 1
-            top = stack[-1]
         side, inside, word = top[1], top[2], top[3]
         if tag in CONTENT_TAGS:
             inside = True
