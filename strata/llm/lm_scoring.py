@@ -35,7 +35,7 @@ from .common import slices, store, table
 from .elias_fano import Trie, dequantise
 from .kernels import word_hashes
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_PAIRS = 1_000_000
 DISCOUNT = 0.75
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A275)
@@ -44,6 +44,23 @@ _BLOCK = "block long, doc_id binary, n_tokens binary, held binary, pair_of binar
 _ARROW = pa.schema([(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.binary()) for f in _BLOCK.split(", ")])
 
 
+def pack24(values: np.ndarray) -> bytes:
+    """Numbers below 2**24 in three bytes each; larger ones make it four."""
+    values = values.astype("<u4")
+    if len(values) and values.max() >= 1 << 24:
+        return b"4" + values.tobytes()
+    return b"3" + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpack24(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"4":
+        return np.frombuffer(raw, "<u4", offset=1)
+    parts = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 3)
+    out = np.zeros((len(parts), 4), dtype=np.uint8)
+    out[:, :3] = parts
+    return out.view("<u4").ravel()
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -66,12 +83,11 @@ def encode_block(number: int, ids: list, words: np.ndarray, rows: np.ndarray) ->
     before[0] = 0  # 0 is the start mark, k + 1 the distinct word k
     pairs, pair_of = np.unique(before * len(distinct) + which, return_inverse=True)
     context, size = np.unique(pairs // len(distinct), return_counts=True)
-    names = np.concatenate([[START], distinct])[context]
     keys = pa.array(ids, pa.int64())
     missing = np.array([i is None for i in ids], dtype=np.uint8)
     return [
-        number, keys.fill_null(0).to_numpy().astype(np.int64).tobytes() + missing.tobytes(), sizes.astype(np.int64).tobytes(), held.tobytes(), pair_of.astype(np.uint32).tobytes(), distinct.tobytes(),
-        np.bincount(which, weights=train, minlength=len(distinct)).astype(np.uint32).tobytes(), names.tobytes(), size.astype(np.uint32).tobytes(), (pairs % len(distinct)).astype(np.uint32).tobytes(),
+        number, keys.fill_null(0).to_numpy().astype(np.int64).tobytes() + missing.tobytes(), sizes.astype(np.int64).tobytes(), held.tobytes(), pack24(pair_of), distinct.tobytes(),
+        np.bincount(which, weights=train, minlength=len(distinct)).astype(np.uint32).tobytes(), pack24(context), pack24(size), pack24(pairs % len(distinct)),
         np.bincount(pair_of, weights=train, minlength=len(pairs)).astype(np.uint32).tobytes(), len(pairs),
     ]
 
@@ -106,6 +122,11 @@ def _of(raw, kind) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind)
 
 
+def _contexts(words: np.ndarray, raw: bytes) -> np.ndarray:
+    """Hashes of a block's contexts: 0 stands for the start mark, k + 1 for the block's word k."""
+    return np.concatenate([np.array([START]), words])[unpack24(raw)]
+
+
 def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by shard, and where each shard begins in it."""
     shard = ((hashes >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
@@ -138,10 +159,10 @@ def requests(blocks: DataFrame, shards: int) -> DataFrame:
                     part = order[at[s] : at[s + 1]]
                     if len(part):
                         rows.append(("word", s, x["block"], words[part].tobytes(), None, None, counts[part].tobytes()))
-                contexts, size = _of(x["contexts"], np.uint64), _of(x["context_size"], np.uint32).astype(np.int64)
+                contexts, size = _contexts(words, x["contexts"]), unpack24(x["context_size"]).astype(np.int64)
                 order, at = _by_shard(contexts, shards)
                 place = _pair_tables(contexts, size, order)
-                succ, pair_counts = words[_of(x["pair_word"], np.uint32)[place]].astype(np.uint32), _of(x["pair_count"], np.uint32)[place]
+                succ, pair_counts = words[unpack24(x["pair_word"])[place]].astype(np.uint32), _of(x["pair_count"], np.uint32)[place]
                 cut = np.concatenate([[0], np.cumsum(size[order])])
                 for s in range(shards):
                     part = order[at[s] : at[s + 1]]
@@ -201,8 +222,9 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, block_tokens: int = B
 
     def score(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         x = block.iloc[0]
-        words, contexts = _of(x["words"], np.uint64), _of(x["contexts"], np.uint64)
-        size, pair_word, pair_of = _of(x["context_size"], np.uint32).astype(np.int64), _of(x["pair_word"], np.uint32), _of(x["pair_of"], np.uint32)
+        words = _of(x["words"], np.uint64)
+        contexts = _contexts(words, x["contexts"])
+        size, pair_word, pair_of = unpack24(x["context_size"]).astype(np.int64), unpack24(x["pair_word"]), unpack24(x["pair_of"])
         got = got.sort_values(["kind", "shard"])
         said = {k: g for k, g in got.groupby("kind")}
         order, _ = _by_shard(words, shards)
@@ -227,6 +249,7 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, block_tokens: int = B
             "base_score": add(np.log10(single)[of]), "score": add(np.log10(both)[pair_of]),
         })
 
+    blocks = blocks.drop("word_count", "pair_count", "n_pairs")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
