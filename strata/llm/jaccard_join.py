@@ -10,8 +10,8 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
    of the matrix is one part's content; its columns are the sets that have it.
    Sets that share rows are similar, and a row of unrelated sets is rare, even if
    these share long passages.
-3. Groups.  Each set is compared with the least set it shares a row with; the
-   connected components of the links found are the groups.  A group is kept in pages of ``PAGE``
+3. Groups.  Sets begin as groups of one.  In each of ``ROUNDS`` rounds a group is compared with one
+   other, by a representative, and linked ones are joined.  A group is kept in pages of ``PAGE``
    sets, each with the union of its members' shingles.
 4. Only rows that still hold several groups are left.  A set of the smaller group of
    two queries the pages of the larger: a page is opened, and its members compared, only
@@ -41,6 +41,7 @@ from .kernels import mix64, shingle_sets, word_hashes
 
 BUCKET_PARTS = 400_000
 PAGE = 64
+ROUNDS = 3
 QUERY_BATCH = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -214,6 +215,14 @@ def open_pages(queries: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
     return pages.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(work, "a long, b long")
 
 
+def joined(at: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (set, group) after joining those that ``links`` (a, b) of sets connect."""
+    of = lambda end, name: at.select(F.col("set").alias(end), F.col("group").alias(name))
+    between = links.join(of("a", "ga"), "a").join(of("b", "gb"), "b").filter("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    roots = components(between)
+    return store(at.join(roots.select(F.col("node").alias("group"), "root"), "group", "left").select("set", F.coalesce("root", "group").alias("group")), "join-groups")
+
+
 def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every document."""
     text = F.col("text").cast("string")
@@ -234,14 +243,20 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     texts = rows.select("text_key", "text").join(wanted, "text_key").groupBy("set").agg(F.min("text").alias("text"))
     sets = store(texts.select("set", "text").mapInArrow(shingles, "set long, shingles binary"), "join-shingles")
 
-    least = shared.groupBy("row").agg(F.min("set").alias("a"))
-    first = shared.join(least, "row").groupBy(F.col("set").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
-    links = store(compare(first.select("a", "b"), sets, percent), "join-links")
-    groups = components(links)
-    at = sets.select("set").join(groups.select(F.col("node").alias("set"), "root"), "set", "left").select("set", F.coalesce("root", "set").alias("group"))
-    at = store(at, "join-groups")
-
-    # rows that still hold several groups: sets of the smaller group query the larger one
+    # stars: each group is compared with one other, that it shares most rows with; a few rounds with other
+    # representatives join most of what is linked, at a cost in proportion to the groups
+    at = store(sets.select("set", F.col("set").alias("group")), "join-groups")
+    for number in range(ROUNDS):
+        reps = shared.join(at, "set").groupBy("row", "group").agg(F.min(F.struct(F.xxhash64("set", F.lit(number)).alias("h"), "set"))["set"].alias("rep"))
+        head = reps.groupBy("row").agg(F.min(F.struct(F.xxhash64("group", F.lit(number)).alias("h"), "group", "rep")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        pairs = reps.join(head.select("row", "head.group", F.col("head.rep").alias("a")).withColumnRenamed("group", "to"), "row").filter("group <> to")
+        best = pairs.groupBy("group", "to", "a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "a", "b")).alias("best"))
+        new = store(compare(best.select("best.a", "best.b"), sets, percent), "join-links")
+        if not new.limit(1).count():
+            break
+        at = joined(at, new)
+
+    # rows that still hold several groups: the sets of the smaller group query the larger one
     placed = shared.join(at, "set")
     split = placed.groupBy("row").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("row")
     placed = store(placed.join(split, "row", "left_semi"), "join-open")
@@ -260,9 +275,9 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     more = store(open_pages(queries, members, percent), "join-more")
 
     if more.limit(1).count():
-        groups = components(links.unionByName(more))
+        at = joined(at, more)
     mine = known.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
-    mine = mine.join(groups.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    mine = mine.join(at, "set", "left").select("set", "least", F.coalesce("group", "set").alias("root"))
     ids = mine.groupBy("root").agg(F.min("least").alias("component"))
     named = mine.join(ids, "root").select("set", "component")
     return known.join(named, "set", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
