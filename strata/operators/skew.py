@@ -19,14 +19,6 @@ def heaviest_key(df: DataFrame, key: str) -> tuple[int, int]:
     return int(row.hottest or 0), int(row.total or 0)
 
 
-def fits_buckets(df: DataFrame, key: str, buckets: int, max_share: float = 4.0) -> bool:
-    """True when the heaviest key holds at most ``max_share`` average buckets'
-    worth of rows, so bucketing on ``key`` cannot leave one task with a large
-    part of the table."""
-    hottest, total = heaviest_key(df, key)
-    return total == 0 or hottest * buckets <= max_share * total
-
-
 # A bucketed scan reads each bucket in one task: keep buckets near this size.
 ROWS_PER_BUCKET = 5_000_000
 

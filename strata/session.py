@@ -56,8 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Read from the session (``spark.checkpoint.dir`` as named by the cluster, or
-    a directory already set on the context).  Only when neither is set -- a
-    local test run -- is a private temporary folder created.
+    a directory already set on the context).  Only when neither is set and the
+    master is local is a private temporary folder created; elsewhere that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -66,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strata-ckpt-"))
     return sc.getCheckpointDir()

@@ -79,7 +79,7 @@ FROM {{customer}}""",
     "crm_sales_details": f"""
 SELECT 'SO' || CAST(l_orderkey AS STRING) AS sls_ord_num,
        CASE WHEN l_orderkey % 200 = 11 THEN 'X' ELSE 'P' END || CAST(l_partkey AS STRING) AS sls_prd_key,
-       CASE WHEN l_orderkey % 300 = 17 THEN CAST(o_custkey + 900000 AS INT)
+       CASE WHEN l_orderkey % 300 = 17 THEN CAST(-1 - o_custkey AS INT)
             ELSE CAST(o_custkey + 11000 AS INT) END AS sls_cust_id,
        CASE l_orderkey % 100 WHEN 1 THEN 0
             WHEN 2 THEN CAST(year(od) * 10 + month(od) AS INT)

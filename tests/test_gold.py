@@ -129,15 +129,22 @@ def test_next_start_matches_lead_with_ties_and_nulls(spark):
     assert got == exp
 
 
-def test_fits_buckets_rejects_a_hot_key(spark):
-    from strata.operators.skew import fits_buckets, heaviest_key
+def test_next_start_with_equal_rows_and_null_ties(spark):
+    from strata.operators.windows import next_start
+
+    data = [(7, "a", 1, "x"), (7, "a", 1, "x"), (None, "a", 1, "x"), (7, "a", 1, "w"), (8, "a", 5, "x"), (8, "a", 5, "x"), (None, "b", None, "x")]
+    df = spark.createDataFrame(data, "id int, k string, s int, name string")
+    w = Window.partitionBy("k").orderBy(F.col("s").asc_nulls_first(), F.col("id").asc_nulls_first(), "name")
+    cols = ["id", "k", "s", "name", "nxt"]
+    assert rows(next_start(df, "k", "s", "id", "nxt"), *cols) == rows(df.withColumn("nxt", F.lead("s").over(w)), *cols)
+
+
+def test_heaviest_key(spark):
+    from strata.operators.skew import heaviest_key
 
     even = spark.createDataFrame([(i % 100,) for i in range(3000)], "k int")
-    hot = spark.createDataFrame([(0 if i % 3 == 0 else i,) for i in range(3000)], "k int")  # a third on key 0
-    nulls = spark.createDataFrame([(None if i % 3 == 0 else i,) for i in range(3000)], "k int")
-    assert heaviest_key(even, "k") == (30, 3000) and fits_buckets(even, "k", 16)
-    assert heaviest_key(hot, "k") == (1000, 3000) and not fits_buckets(hot, "k", 16)
-    assert not fits_buckets(nulls, "k", 16)  # NULL keys share one bucket too
+    hot = spark.createDataFrame([(None if i % 3 == 0 else i,) for i in range(3000)], "k int")  # a third on NULL
+    assert heaviest_key(even, "k") == (30, 3000) and heaviest_key(hot, "k") == (1000, 3000)
 
 
 def test_bucket_count_grows_with_the_table(spark):
