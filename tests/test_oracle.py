@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strata.oracle import oracle_sql
 from strata.plans import quality
+from strata.plans.registry import QUERIES
 from tools.compare import TABLES, TYPE_NAMES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -23,10 +25,10 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
