@@ -13,7 +13,7 @@ Every line removed has an equal one at an earlier place, so one copy always stay
 
 Only DataFrame functions are used.  Texts move twice: to fetch the lines of
 repeated chunks, and to cut them out.  Chunks are counted before the shuffle, and the
-occurrences of a hot chunk are dealt over ``SALTS`` copies of its first one.
+occurrences of a hot chunk are found by ``SALTS`` copies of its hash.
 
 Defined results.  Null text stays null, an empty one empty, both with 0 lines
 removed.  Null doc_id sorts first.  Rows repeated whole (same doc_id and text) count as one
@@ -96,15 +96,15 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CH
     found = keyed.join(hits, ["_k1", "_k2"])
     found = store(found.select("_k1", "_k2", F.explode(let(lines_of(F.col("text")), evidence)).alias("e")).select("_k1", "_k2", "e.*"), "lines-found", "zstd")
     first = found.filter("is_first").groupBy("a", "b").agg(F.min(F.struct("text", "before", "after")).alias("kept"))
-    first = first.select("a", "b", "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    other = found.filter("NOT is_first").withColumn("salt", F.pmod(F.xxhash64("_k1", "start"), F.lit(salts)).cast("int"))
+    # texts are not copied here: a hot chunk's occurrences are split by Spark's skew join
+    other = found.filter("NOT is_first")
 
     def same(mine: str, kept: str) -> Column:
         """How many lines in a row are equal, going away from the chunk."""
         equal = F.zip_with(F.col(mine), F.col(kept), lambda x, y: F.coalesce(x == y, F.lit(False)))
         return let(equal, lambda e: F.when(F.array_position(e, F.lit(False)) == 0, F.size(e)).otherwise(F.array_position(e, F.lit(False)).cast("int") - 1))
 
-    equal = other.join(first, ["a", "b", "salt"]).filter(F.col("text") == F.col("kept.text"))
+    equal = other.join(first, ["a", "b"]).filter(F.col("text") == F.col("kept.text"))
     spans = equal.select("_k1", "_k2", F.struct((F.col("start") - same("before", "kept.before")).alias("lo"), (F.col("end") + same("after", "kept.after")).alias("hi")).alias("span"))
     spans = spans.groupBy("_k1", "_k2").agg(F.collect_set("span").alias("spans"))
 
