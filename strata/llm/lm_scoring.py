@@ -45,22 +45,36 @@ _ARROW = pa.schema([(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.
 
 
 def pack24(values: np.ndarray) -> bytes:
-    """Numbers below 2**24 in three bytes each; larger ones make it four."""
+    """Numbers below 2**24 in three bytes each, larger ones in four; all first bytes, then all second
+    ones and so on, as high bytes that change little compress well."""
     values = values.astype("<u4")
-    if len(values) and values.max() >= 1 << 24:
-        return b"4" + values.tobytes()
-    return b"3" + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    width = 4 if len(values) and values.max() >= 1 << 24 else 3
+    return str(width).encode() + values.view(np.uint8).reshape(-1, 4).T[:width].tobytes()
 
 
 def unpack24(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"4":
-        return np.frombuffer(raw, "<u4", offset=1)
-    parts = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 3)
-    out = np.zeros((len(parts), 4), dtype=np.uint8)
-    out[:, :3] = parts
+    width = int(raw[:1])
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 4), dtype=np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u4").ravel()
 
 
+def steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each document's values sorted, the first as it is and the others as steps from the one before."""
+    values = values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
+    out = np.diff(values, prepend=0)
+    begins = np.cumsum(sizes) - sizes
+    out[begins] = values[begins]
+    return out
+
+
+def from_steps(out: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(out.astype(np.int64))
+    begins = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[begins] - out[begins], sizes)
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -86,7 +100,7 @@ def encode_block(number: int, ids: list, words: np.ndarray, rows: np.ndarray) ->
     keys = pa.array(ids, pa.int64())
     missing = np.array([i is None for i in ids], dtype=np.uint8)
     return [
-        number, keys.fill_null(0).to_numpy().astype(np.int64).tobytes() + missing.tobytes(), sizes.astype(np.int64).tobytes(), held.tobytes(), pack24(pair_of), distinct.tobytes(),
+        number, keys.fill_null(0).to_numpy().astype(np.int64).tobytes() + missing.tobytes(), sizes.astype(np.int64).tobytes(), held.tobytes(), pack24(steps(pair_of, sizes)), distinct.tobytes(),
         np.bincount(which, weights=train, minlength=len(distinct)).astype(np.uint32).tobytes(), pack24(context), pack24(size), pack24(pairs % len(distinct)),
         np.bincount(pair_of, weights=train, minlength=len(pairs)).astype(np.uint32).tobytes(), len(pairs),
     ]
@@ -224,7 +238,9 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, block_tokens: int = B
         x = block.iloc[0]
         words = _of(x["words"], np.uint64)
         contexts = _contexts(words, x["contexts"])
-        size, pair_word, pair_of = unpack24(x["context_size"]).astype(np.int64), unpack24(x["pair_word"]), unpack24(x["pair_of"])
+        sizes = _of(x["n_tokens"], np.int64)
+        # the pairs of a document come sorted, as only sums over them are needed
+        size, pair_word, pair_of = unpack24(x["context_size"]).astype(np.int64), unpack24(x["pair_word"]), from_steps(unpack24(x["pair_of"]), sizes)
         got = got.sort_values(["kind", "shard"])
         said = {k: g for k, g in got.groupby("kind")}
         order, _ = _by_shard(words, shards)
@@ -238,7 +254,6 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT, block_tokens: int = B
         single = (count + 0.1) / (n_train + 0.1 * (n_distinct + 1))
         both = dequantise(code) + np.repeat(dequantise(back), size) * single[pair_word]
         of = pair_word[pair_of]
-        sizes = _of(x["n_tokens"], np.int64)
         begins = np.cumsum(sizes) - sizes
         n = len(sizes)
         ids, missing = _of(x["doc_id"][: 8 * n], np.int64), _of(x["doc_id"][8 * n :], np.uint8)
