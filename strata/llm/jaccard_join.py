@@ -11,12 +11,17 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
    Sets that share rows are similar, and a row of unrelated sets is rare, even if
    these share long passages.
 3. Groups.  Sets begin as groups of one.  In each of ``ROUNDS`` rounds a group is compared with one
-   other, by a representative, and linked ones are joined.  A group is kept in pages of ``PAGE``
-   sets, each with the union of its members' shingles.
-4. Only rows that still hold several groups are left.  A set of the smaller group of
-   two queries the pages of the larger: a page is opened, and its members compared, only
-   if the overlap with its union can reach the similarity.  That compares every
-   pair that shares a row and isn't in one group already, so no link is lost.
+   other, by a representative, and linked ones are joined.
+4. Only rows that still hold several groups are left.  Here a set is known by its tokens: a byte
+   for each of many equal ranges of hash values, from the shingles in it.  A shingle
+   that two sets don't share changes one token at most, so sets with more
+   differing tokens than linked sets can have differing shingles aren't linked.  A group is kept in
+   pages of ``PAGE`` sets, each with the union of its members' tokens.  A set of the smaller group
+   of two queries the pages of the larger: a page is opened only if the overlap with its
+   union allows a link, and its members are held against the query token by token.
+5. Pairs that pass are compared by their shingles, first the nearest pair of any two groups, then
+   those whose groups are still apart.  Every pair that shares a row and isn't in one group
+   already is thus settled, so no link is lost.
 
 Memory: parts go to buckets by hash (about ``BUCKET_PARTS`` entries each), pages and
 queries in bounded batches.  Equal sets are dropped before the parts are dealt out.
@@ -76,20 +81,42 @@ class SizeClasses:
         return differ + 1 + spare, spare
 
 
+    def tokens(self, c: int) -> int:
+        """How many tokens stand for a set in class ``c``."""
+        self.parts(c)
+        return max(4, self.last[c] // 3)
+
+
+def cuts(values: np.ndarray, k: int) -> np.ndarray:
+    """Where sorted hashes pass the borders of ``k`` equal ranges, ends included."""
+    borders = np.array([(j << 64) // k for j in range(1, k)], dtype=np.uint64) if k < 64 else (np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k))
+    return np.concatenate([[0], np.searchsorted(values, borders), [len(values)]])
+
+
+def running_sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values), dtype=np.uint64)])
+
+
+def tokens_of(values: np.ndarray, classes: SizeClasses) -> tuple[int, bytes, bytes]:
+    """The size class of a set, and its tokens in that class and in the one above."""
+    c, sums = classes.of(len(values)), running_sums(values)
+    at = [cuts(values, classes.tokens(instance)) for instance in (c, c + 1)]
+    own, above = ((mix64(sums[x[1:]] - sums[x[:-1]]) >> np.uint64(56)).astype(np.uint8).tobytes() for x in at)
+    return c, own, above
+
+
 def part_hashes(values: np.ndarray, classes: SizeClasses) -> np.ndarray:
     """The rows of the matrix that a set is in."""
     out = []
     c = classes.of(len(values))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values), dtype=np.uint64)])
+    sums = running_sums(values)
     for instance in (c, c + 1):
         k, spare = classes.parts(instance)
         if not k:
             continue
-        # the k - 1 inner borders of equal ranges of hash values
-        borders = np.array([(j << 64) // k for j in range(1, k)], dtype=np.uint64) if k < 64 else (np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k))
-        cuts = np.concatenate([[0], np.searchsorted(values, borders), [len(values)]])
-        size = np.diff(cuts)
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
+        at = cuts(values, k)
+        size = np.diff(at)
+        content = sums[at[1:]] - sums[at[:-1]]
         rows = mix64(content + np.arange(k, dtype=np.uint64) * _P + np.uint64(instance * int(_Q) % (1 << 64)) + size.astype(np.uint64))
         out.append(rows if np.count_nonzero(size == 0) > spare else rows[size > 0])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -193,32 +220,57 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+TOKEN_COLUMNS = ["set", "n_set", "class", "own", "above"]
+
+
 def open_pages(queries: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
-    """Links of queries (group, page, part, set, shingles) with the members of pages (same columns)."""
+    """Pairs (a, b, differ) of queries and the members of pages that may link; both have the keys and ``TOKEN_COLUMNS``."""
+
+    def most(n):
+        """The most shingles that two linked sets with ``n`` together can differ in."""
+        return (100 - percent) * n // (100 + percent)
 
     def work(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        a, b, far = [], [], []
         if len(members) and len(asked):
-            kept = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
-            union = np.unique(np.concatenate(kept))
-            for name, raw in zip(asked["set"], asked["shingles"]):
-                query = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                overlap = np.count_nonzero(union[at] == query)
-                if 100 * overlap < percent * len(query):
-                    continue
-                out += [(name, other) for other, values in zip(members["set"], kept) if linked(query, values, percent)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            by_class = {c: (g["set"].to_numpy(), g["n_set"].to_numpy(), g) for c, g in members.groupby("class")}
+            pages = {}
+            for name, n, c, own, above in asked[TOKEN_COLUMNS].itertuples(index=False):
+                for m in (c - 1, c, c + 1):
+                    if m not in by_class:
+                        continue
+                    names, sizes, rows = by_class[m]
+                    query = np.frombuffer(above if m > c else own, np.uint8)
+                    place = np.arange(len(query))
+                    if (m, m < c) not in pages:
+                        kept = np.stack([np.frombuffer(x, np.uint8) for x in rows["above" if m < c else "own"]])
+                        union = np.zeros((len(query), 64), dtype=bool)  # six bits of each token
+                        union[place, kept & 63] = True
+                        pages[m, m < c] = kept, union
+                    kept, union = pages[m, m < c]
+                    if len(query) - np.count_nonzero(union[place, query & 63]) > most(n + sizes.max()):
+                        continue
+                    differ = np.count_nonzero(kept != query, axis=1)
+                    near = np.flatnonzero(differ <= most(n + sizes))
+                    a += [name] * len(near)
+                    b += names[near].tolist()
+                    far += differ[near].tolist()
+        return pd.DataFrame({"a": a, "b": b, "differ": far}, dtype="int64")
 
     keys = ["group", "page", "part"]
     queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # both sides may come from one frame
-    return pages.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(work, "a long, b long")
+    return pages.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(work, "a long, b long, differ long")
+
+
+def apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (a, b, differ) of sets in different groups, with these as ``ga`` and ``gb``."""
+    of = lambda end, name: at.select(F.col("set").alias(end), F.col("group").alias(name))
+    return pairs.join(of("a", "ga"), "a").join(of("b", "gb"), "b").filter("ga <> gb")
 
 
 def joined(at: DataFrame, links: DataFrame) -> DataFrame:
     """Groups (set, group) after joining those that ``links`` (a, b) of sets connect."""
-    of = lambda end, name: at.select(F.col("set").alias(end), F.col("group").alias(name))
-    between = links.join(of("a", "ga"), "a").join(of("b", "gb"), "b").filter("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    between = apart(links, at).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     roots = components(between)
     return store(at.join(roots.select(F.col("node").alias("group"), "root"), "group", "left").select("set", F.coalesce("root", "group").alias("group")), "join-groups")
 
@@ -233,15 +285,17 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
     # the shingles of every set that shares a row, from one text that has it
     wanted = known.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("text_key").alias("text_key"))
-    schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("set", pa.int64()), ("n_set", pa.int64()), ("class", pa.int32()), ("own", pa.binary()), ("above", pa.binary()), ("shingles", pa.binary())])
 
     def shingles(batches):
+        classes = SizeClasses(percent)
         for b in slices(batches):
             sets = _sets(b.column(1), size)
-            yield batch(schema, b.column(0), [s.tobytes() for s in sets])
+            c, own, above = zip(*(tokens_of(s, classes) for s in sets))
+            yield batch(schema, b.column(0), [len(s) for s in sets], c, own, above, [s.tobytes() for s in sets])
 
     texts = rows.select("text_key", "text").join(wanted, "text_key").groupBy("set").agg(F.min("text").alias("text"))
-    sets = store(texts.select("set", "text").mapInArrow(shingles, "set long, shingles binary"), "join-shingles")
+    sets = store(texts.select("set", "text").mapInArrow(shingles, "set long, n_set long, class int, own binary, above binary, shingles binary"), "join-shingles")
 
     # stars: each group is compared with one other, that it shares most rows with; a few rounds with other
     # representatives join most of what is linked, at a cost in proportion to the groups
@@ -269,13 +323,17 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     n_pages = F.ceil(F.col("n") / PAGE).cast("int")
     page_of = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
     members = at.join(sizes, "group").join(parts, "group").withColumn("page", page_of(n_pages)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.join(sets, "set").select("group", "page", "part", "set", "shingles")
+    tokens = sets.select(TOKEN_COLUMNS)
+    members = members.join(tokens, "set").select("group", "page", "part", *TOKEN_COLUMNS)
     queries = asked.join(parts, "group").withColumn("part", page_of(F.col("parts"))).withColumn("page", F.explode(F.sequence(F.lit(0), n_pages - 1)))
-    queries = queries.join(sets, "set").select("group", "page", "part", "set", "shingles")
-    more = store(open_pages(queries, members, percent), "join-more")
-
-    if more.limit(1).count():
-        at = joined(at, more)
+    queries = queries.join(tokens, "set").select("group", "page", "part", *TOKEN_COLUMNS)
+    near = store(open_pages(queries, members, percent), "join-near")
+
+    nearest = apart(near, at).groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b")
+    for pairs in (lambda: nearest, lambda: apart(near, at).select("a", "b")):
+        more = store(compare(pairs(), sets, percent), "join-more")
+        if more.limit(1).count():
+            at = joined(at, more)
     mine = known.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
     mine = mine.join(at, "set", "left").select("set", "least", F.coalesce("group", "set").alias("root"))
     ids = mine.groupBy("root").agg(F.min("least").alias("component"))
