@@ -4,12 +4,13 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
 ``percent``; the result is the connected components, complete and without listing pairs of copies.
 
 1. Equal sets are one *set*, known by a 64-bit digest.
-2. The matrix.  For sets of a size class, hashes are cut into k parts by value, with k above the
-   most hashes in which two linked sets of that class can differ, so that linked
-   sets agree on some non-empty part whole (sets with many empty parts also enter these).  A row
-   of the matrix is one part's content; its columns are the sets that have it.
-   Sets that share rows are similar, and a row of unrelated sets is rare, even if
-   these share long passages.
+2. The matrix.  For sets of a size class, hashes are cut into k parts by value, with k twice the
+   most hashes d in which two linked sets of that class can differ, so that linked
+   sets agree on some non-empty part whole (sets with at most d non-empty parts also enter the empty ones).
+   A row of the matrix is one part's content; its columns are the sets that have it.
+   Of a set only its d + 1 rarest rows count (rows in one order for all, by their number of sets): linked sets
+   differ in d parts at most, so the first row that they share, in that order, is among these of both.
+   Similar sets that aren't linked differ in many parts, have enough rows of their own and fall out here.
 3. Groups.  Sets begin as groups of one.  In each of ``ROUNDS`` rounds a group is compared with one
    other, by a representative, and linked ones are joined.
 4. Only rows that still hold several groups are left.  Here a set is known by its tokens: a byte
@@ -37,10 +38,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, slices, store, table
+from .common import batch, remove, slices, store, table
 from .components import components
 from .kernels import mix64, shingle_sets, word_hashes
 
@@ -50,6 +51,7 @@ ROUNDS = 3
 QUERY_BATCH = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD = np.uint64(1 << 32)
 
 
 def digest(values: np.ndarray) -> int:
@@ -70,16 +72,12 @@ class SizeClasses:
         return int(np.searchsorted(self.last, n))
 
     def parts(self, c: int) -> tuple[int, int]:
-        """(k, spare) of class ``c``; with at most ``spare`` empty parts a set shares a non-empty part
-        with each set linked to it.  k is 0 where only equal sets can link."""
+        """(k, differ) of class ``c``: its parts and the most of these in which linked sets differ.
+        k is 0 where only equal sets can link."""
         while len(self.last) <= c:
             self.last.append((self.last[-1] + 1) * 100 // self.percent)
         differ = (100 - self.percent) * 2 * self.last[c] // (100 + self.percent)
-        if differ == 0:
-            return 0, 0
-        spare = 2 + differ // 25
-        return differ + 1 + spare, spare
-
+        return (2 * differ + 2, differ) if differ else (0, 0)
 
     def tokens(self, c: int) -> int:
         """How many tokens stand for a set in class ``c``."""
@@ -106,22 +104,35 @@ def tokens_of(values: np.ndarray, classes: SizeClasses) -> tuple[int, bytes, byt
 
 
 def part_hashes(values: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """The rows of the matrix that a set is in."""
+    """The rows of the matrix that a set is in; bit 32 tells the class instance."""
     out = []
     c = classes.of(len(values))
     sums = running_sums(values)
     for instance in (c, c + 1):
-        k, spare = classes.parts(instance)
+        k, differ = classes.parts(instance)
         if not k:
             continue
         at = cuts(values, k)
         size = np.diff(at)
         content = sums[at[1:]] - sums[at[:-1]]
         rows = mix64(content + np.arange(k, dtype=np.uint64) * _P + np.uint64(instance * int(_Q) % (1 << 64)) + size.astype(np.uint64))
-        out.append(rows if np.count_nonzero(size == 0) > spare else rows[size > 0])
+        rows = (rows & ~_ODD) | (_ODD if instance % 2 else np.uint64(0))
+        out.append(rows[size > 0] if np.count_nonzero(size) > differ else rows)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def to_spare(values: np.ndarray, classes: SizeClasses) -> tuple[int, int]:
+    """How many of its commonest rows a set can do without, in the even and in the odd class instance."""
+    out, c = [0, 0], classes.of(len(values))
+    for instance in (c, c + 1):
+        k, differ = classes.parts(instance)
+        if k:
+            filled = np.count_nonzero(np.diff(cuts(values, k)))
+            # one more row for each thousand, should two rows of a set have the same short hash
+            out[instance % 2] = max(0, int(filled) - differ - 2 - differ // 1000)
+    return out[0], out[1]
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     lo, hi = sorted((len(x), len(y)))
     if 100 * lo < percent * hi:
@@ -135,20 +146,23 @@ def _sets(column, size: int) -> list[np.ndarray]:
     return shingle_sets(words, rows, size)
 
 
-def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text key, n_shingles, set (digest; null if empty) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.int64())])
+def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text key, n_shingles, set (digest; null if empty), rows to spare (even, odd) of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.int64()), ("even", pa.int64()), ("odd", pa.int64())])
 
     def work(batches):
+        classes = SizeClasses(percent)
         for b in slices(batches):
             sets = _sets(b.column(2), size)
-            yield batch(schema, b.column(0), b.column(1), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets])
+            spare = [to_spare(s, classes) if len(s) else (0, 0) for s in sets]
+            yield batch(schema, b.column(0), b.column(1), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets], [x for x, _ in spare], [x for _, x in spare])
 
-    return docs.mapInArrow(work, "doc_id long, text_key long, n_shingles long, set long")
+    return docs.mapInArrow(work, "doc_id long, text_key long, n_shingles long, set long, even long, odd long")
 
 
 def matrix(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of the matrix with several sets: (row, set); rows with the same sets appear once."""
+    """Rows of the matrix with several sets: (row, set, odd, n_sets, times); rows with the same sets
+    appear as one, ``times`` tells how many they are."""
     schema = pa.schema([("bucket", pa.int32()), ("parts", pa.binary()), ("sets", pa.binary())])
 
     def parts(batches):
@@ -193,16 +207,28 @@ def matrix(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
         sizes = np.diff(np.append(begins, len(part)))
         some = sizes > 1
         if not some.any():
-            return pd.DataFrame({"row": np.zeros(0, np.int64), "set": np.zeros(0, np.int64)})
+            return pd.DataFrame({"row": [], "set": [], "odd": [], "n_sets": [], "times": []})
         # a row's name comes from its sets, so that equal rows fall together
-        name = mix64(np.add.reduceat(mix64(of.view(np.uint64)), begins) + sizes.astype(np.uint64)).view(np.int64)
-        _, once = np.unique(name[some], return_index=True)
+        odd = part[begins] & np.uint32(1)
+        name = mix64(np.add.reduceat(mix64(of.view(np.uint64)), begins) + sizes.astype(np.uint64) * _P + odd).view(np.int64)
+        _, once, times = np.unique(name[some], return_index=True, return_counts=True)
         kept = np.flatnonzero(some)[once]
-        at = np.repeat(begins[kept] - (np.cumsum(sizes[kept]) - sizes[kept]), sizes[kept]) + np.arange(sizes[kept].sum())
-        return pd.DataFrame({"row": np.repeat(name[kept], sizes[kept]), "set": of[at]})
+        n = sizes[kept]
+        at = np.repeat(begins[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return pd.DataFrame({"row": np.repeat(name[kept], n), "set": of[at], "odd": np.repeat(odd[kept], n) > 0, "n_sets": np.repeat(n, n), "times": np.repeat(times, n)})
 
     dealt = docs.mapInArrow(parts, "bucket int, parts binary, sets binary")
-    return dealt.groupBy("bucket").applyInPandas(shared, "row long, set long").distinct()
+    found = dealt.groupBy("bucket").applyInPandas(shared, "row long, set long, odd boolean, n_sets long, times long")
+    return found.groupBy("row", "set", "odd", "n_sets").agg(F.sum("times").alias("times"))
+
+
+def rarest(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (row, set) that count: each set goes without its commonest, as many as it can spare."""
+    spare = known.filter("set IS NOT NULL").groupBy("set").agg(F.max("even").alias("even"), F.max("odd").alias("spare_odd"))
+    common = Window.partitionBy("set", "odd").orderBy(F.desc("n_sets"), F.desc("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = shared.join(spare, "set").withColumn("spare", F.when(F.col("odd"), F.col("spare_odd")).otherwise(F.col("even")))
+    kept = counted.withColumn("so_far", F.sum("times").over(common)).filter("so_far > spare").select("row", "set")
+    return kept.join(kept.groupBy("row").count().filter("count > 1").select("row"), "row")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,9 +305,11 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every document."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    known = store(document_sets(rows, size), "join-sets")
+    known = store(document_sets(rows, size, percent), "join-sets")
     total = int(known.agg(F.sum("n_shingles")).first()[0] or 0)
-    shared = store(matrix(rows, size, percent, total * 4 // 10 // BUCKET_PARTS + 1), "join-matrix")
+    found = store(matrix(rows, size, percent, total * 8 * (100 - percent) // (100 + percent) // BUCKET_PARTS + 1), "join-matrix")
+    shared = store(rarest(found, known), "join-rarest")
+    remove(found)
 
     # the shingles of every set that shares a row, from one text that has it
     wanted = known.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("text_key").alias("text_key"))
