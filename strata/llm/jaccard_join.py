@@ -11,21 +11,17 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
    Of a set only its d + 1 rarest rows count (rows in one order for all, by their number of sets): linked sets
    differ in d parts at most, so the first row that they share, in that order, is among these of both.
    Similar sets that aren't linked differ in many parts, have enough rows of their own and fall out here.
-3. Groups.  Sets begin as groups of one.  In each of ``ROUNDS`` rounds a group is compared with one
+3. Links.  Sets begin as classes of one.  In each of ``ROUNDS`` rounds a class is compared with one
    other, by a representative, and linked ones are joined.
-4. Only rows that still hold several groups are left.  Here a set is known by its tokens: a byte
-   for each of many equal ranges of hash values, from the shingles in it.  A shingle
-   that two sets don't share changes one token at most, so sets with more
-   differing tokens than linked sets can have differing shingles aren't linked.  A group is kept in
-   pages of ``PAGE`` sets, each with the union of its members' tokens.  A set of the smaller group
-   of two queries the pages of the larger: a page is opened only if the overlap with its
-   union allows a link, and its members are held against the query token by token.
-5. Pairs that pass are compared by their shingles, first the nearest pair of any two groups, then
-   those whose groups are still apart.  Every pair that shares a row and isn't in one group
-   already is thus settled, so no link is lost.
-
-Memory: parts go to buckets by hash (about ``BUCKET_PARTS`` entries each), pages and
-queries in bounded batches.  Equal sets are dropped before the parts are dealt out.
+4. Groups.  Only rows that still hold several classes are left.  Sets that such rows connect are
+   similar: a group, kept in pages of about ``PAGE`` shingles, each with the union of its
+   members' shingles.  A set queries its group's pages: a page is opened only if the
+   overlap with its union allows a link, and then the overlap with every member is counted.
+   A page yields no more links than it takes to join its classes.  Every pair that
+   shares a row is thus settled, so no link is lost.
+
+Memory: parts go to buckets by hash (about ``BUCKET_PARTS`` entries each); a task holds two pages
+(of one set each, if these are longer).  Equal sets are dropped before the parts are dealt out.
 
 Defined results.  Null or empty text, or no word: 0 shingles, linked with nothing.
 Fewer words than a shingle: the whole sequence is one.  Null doc_id: a
@@ -46,9 +42,9 @@ from .components import components
 from .kernels import mix64, shingle_sets, word_hashes
 
 BUCKET_PARTS = 400_000
-PAGE = 64
-ROUNDS = 3
-QUERY_BATCH = 256
+PAGE = 1 << 17
+LEAST = 256  # what a shorter set counts in a page
+ROUNDS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = np.uint64(1 << 32)
@@ -79,11 +75,6 @@ class SizeClasses:
         differ = (100 - self.percent) * 2 * self.last[c] // (100 + self.percent)
         return (2 * differ + 2, differ) if differ else (0, 0)
 
-    def tokens(self, c: int) -> int:
-        """How many tokens stand for a set in class ``c``."""
-        self.parts(c)
-        return max(4, self.last[c] // 3)
-
 
 def cuts(values: np.ndarray, k: int) -> np.ndarray:
     """Where sorted hashes pass the borders of ``k`` equal ranges, ends included."""
@@ -95,14 +86,6 @@ def running_sums(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values), dtype=np.uint64)])
 
 
-def tokens_of(values: np.ndarray, classes: SizeClasses) -> tuple[int, bytes, bytes]:
-    """The size class of a set, and its tokens in that class and in the one above."""
-    c, sums = classes.of(len(values)), running_sums(values)
-    at = [cuts(values, classes.tokens(instance)) for instance in (c, c + 1)]
-    own, above = ((mix64(sums[x[1:]] - sums[x[:-1]]) >> np.uint64(56)).astype(np.uint8).tobytes() for x in at)
-    return c, own, above
-
-
 def part_hashes(values: np.ndarray, classes: SizeClasses) -> np.ndarray:
     """The rows of the matrix that a set is in; bit 32 tells the class instance."""
     out = []
@@ -246,50 +229,61 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-TOKEN_COLUMNS = ["set", "n_set", "class", "own", "above"]
-
-
-def open_pages(queries: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, differ) of queries and the members of pages that may link; both have the keys and ``TOKEN_COLUMNS``."""
-
-    def most(n):
-        """The most shingles that two linked sets with ``n`` together can differ in."""
-        return (100 - percent) * n // (100 + percent)
-
-    def work(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        a, b, far = [], [], []
-        if len(members) and len(asked):
-            by_class = {c: (g["set"].to_numpy(), g["n_set"].to_numpy(), g) for c, g in members.groupby("class")}
-            pages = {}
-            for name, n, c, own, above in asked[TOKEN_COLUMNS].itertuples(index=False):
-                for m in (c - 1, c, c + 1):
-                    if m not in by_class:
-                        continue
-                    names, sizes, rows = by_class[m]
-                    query = np.frombuffer(above if m > c else own, np.uint8)
-                    place = np.arange(len(query))
-                    if (m, m < c) not in pages:
-                        kept = np.stack([np.frombuffer(x, np.uint8) for x in rows["above" if m < c else "own"]])
-                        union = np.zeros((len(query), 64), dtype=bool)  # six bits of each token
-                        union[place, kept & 63] = True
-                        pages[m, m < c] = kept, union
-                    kept, union = pages[m, m < c]
-                    if len(query) - np.count_nonzero(union[place, query & 63]) > most(n + sizes.max()):
-                        continue
-                    differ = np.count_nonzero(kept != query, axis=1)
-                    near = np.flatnonzero(differ <= most(n + sizes))
-                    a += [name] * len(near)
-                    b += names[near].tolist()
-                    far += differ[near].tolist()
-        return pd.DataFrame({"a": a, "b": b, "differ": far}, dtype="int64")
-
-    keys = ["group", "page", "part"]
-    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # both sides may come from one frame
-    return pages.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(work, "a long, b long, differ long")
+def links_of(asking: pd.DataFrame, page: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) of asking sets with members of a page, as many as join the classes that these connect."""
+    both = pd.concat([asking, page], ignore_index=True)
+    names, label = both["set"].to_numpy(), both["class"].to_numpy().copy()
+    values = [np.frombuffer(x, np.uint64) for x in both["shingles"]]
+    sizes = np.array([len(x) for x in values])
+    known, ids = np.unique(np.concatenate(values), return_inverse=True)
+    ends = np.cumsum(sizes)
+    n, m = len(asking), sizes[len(asking) :]
+    of_page, begins = ids[ends[n - 1] :], np.cumsum(m) - m
+    union, mine = np.zeros(len(known), dtype=bool), np.zeros(len(known), dtype=np.int32)
+    union[of_page] = True
+    a, b = [], []
+    for i in range(n):
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        most = np.count_nonzero(union[own])
+        if 100 * most < percent * (sizes[i] + m.min() - most):
+            continue
+        mine[own] = 1
+        overlap = np.add.reduceat(mine[of_page], begins)
+        mine[own] = 0
+        near = n + np.flatnonzero(100 * overlap >= percent * (sizes[i] + m - overlap))
+        classes, first = np.unique(label[near], return_index=True)
+        other = classes != label[i]
+        if other.any():
+            a += [names[i]] * int(other.sum())
+            b += names[near[first[other]]].tolist()
+            label[np.isin(label, classes)] = label[i]
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def open_pages(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the sets of ``placed`` (row, set, group) that rows connect and that are in different classes."""
+    first = placed.groupBy("row").agg(F.min("group").alias("a"))
+    alike = components(placed.select("row", F.col("group").alias("b")).join(first, "row").select("a", "b").distinct())
+    members = placed.select("set", "group").distinct().join(alike.select(F.col("node").alias("group"), F.col("root").alias("alike")), "group")
+    members = store(members.join(sets.select("set", "n_set"), "set"), "join-members")
+    pages = members.groupBy("alike").agg(F.ceil(F.sum(F.greatest("n_set", F.lit(LEAST))) / PAGE).cast("int").alias("pages"))
+    members = members.join(pages, "alike").withColumn("page", F.pmod(F.xxhash64("set"), "pages").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("other")
+    dealt = members.join(sets.select("set", "shingles"), "set").select("alike", "page", "set", F.col("group").alias("class"), "shingles", other)
+    dealt = dealt.withColumn("lo", F.least("page", "other")).withColumn("hi", F.greatest("page", "other")).drop("other")
+
+    def work(both: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = both["lo"].iloc[0], both["hi"].iloc[0]
+        asking, page = both[both["page"] == lo], both[both["page"] == hi]
+        if asking.empty or page.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return links_of(asking, page, percent)
+
+    return dealt.groupBy("alike", "lo", "hi").applyInPandas(work, "a long, b long")
 
 
 def apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """The pairs (a, b, differ) of sets in different groups, with these as ``ga`` and ``gb``."""
+    """The pairs (a, b) of sets in different groups, with these as ``ga`` and ``gb``."""
     of = lambda end, name: at.select(F.col("set").alias(end), F.col("group").alias(name))
     return pairs.join(of("a", "ga"), "a").join(of("b", "gb"), "b").filter("ga <> gb")
 
@@ -313,17 +307,15 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
     # the shingles of every set that shares a row, from one text that has it
     wanted = known.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("text_key").alias("text_key"))
-    schema = pa.schema([("set", pa.int64()), ("n_set", pa.int64()), ("class", pa.int32()), ("own", pa.binary()), ("above", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("set", pa.int64()), ("n_set", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches):
-        classes = SizeClasses(percent)
         for b in slices(batches):
             sets = _sets(b.column(1), size)
-            c, own, above = zip(*(tokens_of(s, classes) for s in sets))
-            yield batch(schema, b.column(0), [len(s) for s in sets], c, own, above, [s.tobytes() for s in sets])
+            yield batch(schema, b.column(0), [len(s) for s in sets], [s.tobytes() for s in sets])
 
     texts = rows.select("text_key", "text").join(wanted, "text_key").groupBy("set").agg(F.min("text").alias("text"))
-    sets = store(texts.select("set", "text").mapInArrow(shingles, "set long, n_set long, class int, own binary, above binary, shingles binary"), "join-shingles")
+    sets = store(texts.select("set", "text").mapInArrow(shingles, "set long, n_set long, shingles binary"), "join-shingles")
 
     # stars: each group is compared with one other, that it shares most rows with; a few rounds with other
     # representatives join most of what is linked, at a cost in proportion to the groups
@@ -338,30 +330,13 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
             break
         at = joined(at, new)
 
-    # rows that still hold several groups: the sets of the smaller group query the larger one
+    # rows that still hold several classes
     placed = shared.join(at, "set")
     split = placed.groupBy("row").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("row")
     placed = store(placed.join(split, "row", "left_semi"), "join-open")
-    sizes = at.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    in_row = placed.select("row", "group").distinct().join(sizes, "group")
-    other = in_row.select("row", F.col("group").alias("other"), F.col("n").alias("n_other"))
-    asked = placed.join(sizes, "group").join(other, "row").filter("other <> group AND (n < n_other OR (n = n_other AND group < other))")
-    asked = store(asked.select("set", F.col("other").alias("group"), F.col("n_other").alias("n")).distinct(), "join-queries")
-    parts = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERY_BATCH).cast("int").alias("parts"))
-    n_pages = F.ceil(F.col("n") / PAGE).cast("int")
-    page_of = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
-    members = at.join(sizes, "group").join(parts, "group").withColumn("page", page_of(n_pages)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tokens = sets.select(TOKEN_COLUMNS)
-    members = members.join(tokens, "set").select("group", "page", "part", *TOKEN_COLUMNS)
-    queries = asked.join(parts, "group").withColumn("part", page_of(F.col("parts"))).withColumn("page", F.explode(F.sequence(F.lit(0), n_pages - 1)))
-    queries = queries.join(tokens, "set").select("group", "page", "part", *TOKEN_COLUMNS)
-    near = store(open_pages(queries, members, percent), "join-near")
-
-    nearest = apart(near, at).groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b")
-    for pairs in (lambda: nearest, lambda: apart(near, at).select("a", "b")):
-        more = store(compare(pairs(), sets, percent), "join-more")
-        if more.limit(1).count():
-            at = joined(at, more)
+    more = store(open_pages(placed, sets, percent), "join-more")
+    if more.limit(1).count():
+        at = joined(at, more)
     mine = known.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
     mine = mine.join(at, "set", "left").select("set", "least", F.coalesce("group", "set").alias("root"))
     ids = mine.groupBy("root").agg(F.min("least").alias("component"))
