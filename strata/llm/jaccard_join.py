@@ -43,6 +43,7 @@ from .kernels import mix64, shingle_sets, word_hashes
 
 BUCKET_PARTS = 400_000
 PAGE = 1 << 17
+BROADCAST_ROWS = 2_000_000  # of two longs each; more are joined by a shuffle of the texts
 LEAST = 256  # what a shorter set counts in a page
 ROUNDS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -306,7 +307,9 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     remove(found)
 
     # the shingles of every set that shares a row, from one text that has it
-    wanted = known.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("text_key").alias("text_key"))
+    wanted = store(known.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("text_key").alias("text_key")), "join-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     schema = pa.schema([("set", pa.int64()), ("n_set", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches):
