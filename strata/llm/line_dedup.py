@@ -1,15 +1,14 @@
 """Line dedup: content-defined chunks of lines, repeated ones removed.
 
-A text is split at line feeds and each line hashed.  A rolling hash over the
-hashes of two consecutive lines marks a boundary before the first of them in one
-of ``DIVISOR`` places, so boundaries move with the content and an insertion
-shifts nothing behind it.  From each boundary a chunk runs to the first boundary at
-least two lines on.  Chunks are compared over all documents by a 128-bit hash; of
-a chunk that occurs again the first occurrence (least doc_id, then least line)
-stays, and each other one goes if its bytes equal the first's.  A removed chunk
-is widened by up to ``CONTEXT`` lines on either side as far as these
-equal the lines around the first occurrence, which takes a passage's edges along.
-Every line removed has an equal one at an earlier place, so one copy always stays.
+A text is split at line feeds.  From every line a chunk runs on, and to every line
+one runs back, over the fewest lines, at least two, that together have ``min_chars``
+characters; a line of ``line_chars`` characters is a chunk of its own too.  So borders
+depend on the content alone, an insertion shifts nothing behind it, and a passage of two
+or more lines with ``min_chars`` characters is covered by chunks inside it.
+Chunks are compared over all documents by a 128-bit hash; of a chunk that occurs again
+the first occurrence (least doc_id, then least line) stays, and each other one goes if
+its bytes equal the first's.  Every line removed has an equal one at an earlier
+place, so one copy always stays.
 
 Only DataFrame functions are used.  Texts move twice: to fetch the lines of
 repeated chunks, and to cut them out.  Chunks are counted before the shuffle, and the
@@ -17,8 +16,9 @@ occurrences of a hot chunk are found by ``SALTS`` copies of its hash.
 
 Defined results.  Null text stays null, an empty one empty, both with 0 lines
 removed.  Null doc_id sorts first.  Rows repeated whole (same doc_id and text) count as one
-document and come out alike.  Chunks under ``min_chars`` characters never go.  Very long
-texts are cut whole.  Other columns pass through, whatever their names.
+document and come out alike.  Passages under ``min_chars`` characters (white space at the ends of
+lines doesn't count) and single lines under ``line_chars`` never go; nor do runs of
+``MAX_LINES`` lines that have fewer than ``min_chars`` together.  Very long texts are cut whole.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import store, table
 
-DIVISOR = 2
-CONTEXT = 8
 MIN_CHARS = 60
+LINE_CHARS = 200
+MAX_LINES = 64
 SALTS = 16
 
 
@@ -43,39 +43,46 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boundaries(lines: Column, divisor: int) -> Column:
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    return let(hashes, lambda h: F.filter(
-        F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(divisor)) == 0)
-    ))
+def fewest(sizes: Column, min_chars: int) -> Column:
+    """How many of the first ``sizes``, two at least, add up to ``min_chars``; null if all don't."""
+    done = lambda s: (s["k"] >= 2) & (s["total"] >= min_chars)
+    add = lambda s, x: F.when(done(s), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["total"] + x).alias("total")))
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("k"), F.lit(0).alias("total")), add, lambda s: F.when(done(s), s["k"]))
 
 
 def chunk_text(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, end - start), "\n")
 
 
-def chunks_of(text: Column, divisor: int, min_chars: int) -> Column:
+def chunks_of(text: Column, min_chars: int, line_chars: int) -> Column:
     """Array of (start, end, a, b): the lines of each chunk and the halves of its hash."""
 
     def spans(lines: Column) -> Column:
-        def of(bounds: Column) -> Column:
-            after = lambda j, k: F.coalesce(F.get(bounds, j + k), F.size(lines))
-            return F.transform(bounds, lambda s, j: F.struct(s.alias("start"), F.when(after(j, 1) - s >= 2, after(j, 1)).otherwise(after(j, 2)).alias("end")))
-
-        wide = F.filter(let(boundaries(lines, divisor), of), lambda c: c["end"] - c["start"] >= 2)
-        hashed = F.transform(wide, lambda c: let(chunk_text(lines, c["start"], c["end"]), lambda t: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"), (F.length(F.trim(t)) >= min_chars).alias("counts")
+        def of(sizes: Column) -> Column:
+            pair = lambda i: F.get(sizes, i) + F.get(sizes, i + 1) >= min_chars
+            span = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+            ahead = lambda i: F.when(pair(i), F.lit(2)).otherwise(fewest(F.slice(sizes, i + 1, MAX_LINES), min_chars))
+            back = lambda i: F.when((i > 0) & ~pair(i - 1), fewest(F.reverse(F.slice(sizes, F.greatest(i + 2 - MAX_LINES, F.lit(1)), F.least(i + 1, F.lit(MAX_LINES)))), min_chars))
+            each = lambda i: F.array(
+                F.when(F.get(sizes, i) >= max(line_chars, min_chars), span(i, i + 1)),
+                let(ahead(i), lambda k: F.when(k > 0, span(i, i + k))),
+                let(back(i), lambda k: F.when(k > 0, span(i + 1 - k, i + 1))),
+            )
+            return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), each)), lambda c: c.isNotNull()))
+
+        wide = let(F.transform(lines, lambda x: F.length(F.trim(x))), of)
+        return F.transform(wide, lambda c: let(chunk_text(lines, c["start"], c["end"]), lambda t: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b")
         )))
-        return F.filter(hashed, lambda c: c["counts"])
 
     return let(lines_of(text), spans)
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CHARS, context: int = CONTEXT, salts: int = SALTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, line_chars: int = LINE_CHARS, salts: int = SALTS) -> DataFrame:
     """``docs`` with ``text`` cut; adds ``n_lines`` and ``n_removed_lines``."""
     id_, text = F.col("doc_id"), F.col("text")
     keys = [F.xxhash64(id_, text).alias("_k1"), F.xxhash64(text, id_, F.lit(1)).alias("_k2")]
-    chunks = docs.select(id_.alias("doc"), *keys, F.explode(chunks_of(text, divisor, min_chars)).alias("c")).select("doc", "_k1", "_k2", "c.start", "c.end", "c.a", "c.b")
+    chunks = docs.select(id_.alias("doc"), *keys, F.explode(chunks_of(text, min_chars, line_chars)).alias("c")).select("doc", "_k1", "_k2", "c.start", "c.end", "c.a", "c.b")
     # a repeated row gives the same occurrence, which counts once
     place = F.struct("doc", "_k1", "_k2", "start")
     again = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last OR (first IS NULL) <> (last IS NULL)")
@@ -84,28 +91,21 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_chars: int = MIN_CH
     hits = salted.join(copies, ["a", "b", "salt"]).select("_k1", "_k2", F.struct("a", "b", "start", "end", ((F.col("first._k1") == F.col("_k1")) & (F.col("first._k2") == F.col("_k2")) & (F.col("first.start") == F.col("start"))).alias("is_first")).alias("hit"))
     hits = store(hits.groupBy("_k1", "_k2").agg(F.collect_set("hit").alias("hits")), "lines-hits")
 
-    # the lines of repeated chunks, with those around them
+    # the lines of repeated chunks
     def evidence(lines: Column) -> Column:
         return F.transform(F.col("hits"), lambda h: F.struct(
             h["a"].alias("a"), h["b"].alias("b"), h["start"].alias("start"), h["end"].alias("end"), h["is_first"].alias("is_first"), chunk_text(lines, h["start"], h["end"]).alias("text"),
-            F.reverse(F.slice(lines, F.greatest(h["start"] - context, F.lit(0)) + 1, F.least(h["start"], F.lit(context)))).alias("before"),
-            F.slice(lines, h["end"] + 1, F.lit(context)).alias("after"),
         ))
 
     keyed = docs.select(*keys, text.alias("text"))
     found = keyed.join(hits, ["_k1", "_k2"])
     found = store(found.select("_k1", "_k2", F.explode(let(lines_of(F.col("text")), evidence)).alias("e")).select("_k1", "_k2", "e.*"), "lines-found", "zstd")
-    first = found.filter("is_first").groupBy("a", "b").agg(F.min(F.struct("text", "before", "after")).alias("kept"))
+    first = found.filter("is_first").groupBy("a", "b").agg(F.min("text").alias("kept"))
     # texts are not copied here: a hot chunk's occurrences are split by Spark's skew join
     other = found.filter("NOT is_first")
 
-    def same(mine: str, kept: str) -> Column:
-        """How many lines in a row are equal, going away from the chunk."""
-        equal = F.zip_with(F.col(mine), F.col(kept), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return let(equal, lambda e: F.when(F.array_position(e, F.lit(False)) == 0, F.size(e)).otherwise(F.array_position(e, F.lit(False)).cast("int") - 1))
-
-    equal = other.join(first, ["a", "b"]).filter(F.col("text") == F.col("kept.text"))
-    spans = equal.select("_k1", "_k2", F.struct((F.col("start") - same("before", "kept.before")).alias("lo"), (F.col("end") + same("after", "kept.after")).alias("hi")).alias("span"))
+    equal = other.join(first, ["a", "b"]).filter(F.col("text") == F.col("kept"))
+    spans = equal.select("_k1", "_k2", F.struct(F.col("start").alias("lo"), F.col("end").alias("hi")).alias("span"))
     spans = spans.groupBy("_k1", "_k2").agg(F.collect_set("span").alias("spans"))
 
     rows = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -148,6 +148,27 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_short_passages(spark):
+    rng = np.random.default_rng(6)
+    line = lambda n: prose(int(rng.integers(1 << 30)), n)
+    first, second, want = [], [], []
+    for lines in (1, 2, 3, 4, 5, 6) * 8:
+        passage = [line(51 if lines == 1 else 26 if k % 2 == 0 else 8) for k in range(lines)]
+        before, after, other = ([line(20)] for _ in range(3))
+        first.append("\n".join(before + passage + after))
+        second.append("\n".join(other + passage + [line(20)]))
+        want.append("\n".join(x for x in second[-1].split("\n") if x not in passage))
+    # many short lines, a run at the edge of a text, a short single line, and blank lines
+    tiny = [f"t{k} {line(1)}" for k in range(40)]
+    first += ["\n".join([line(20)] + tiny + [line(20)]), "\n".join(["a " + line(25), "b", "c"]), "same short line\n" + line(20), "\n" * 70 + line(9)]
+    second += ["\n".join(tiny + [line(20)]), "\n".join([line(30)] + first[-3].split("\n")), line(20) + "\nsame short line", "\n" * 70 + line(9)]
+    want += [second[-4].split("\n")[-1], second[-3].split("\n")[0], second[-2], second[-1]]
+    df = spark.createDataFrame(list(enumerate(first + second)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[i] for i in range(len(first))] == first
+    assert [got[len(first) + i] for i in range(len(second))] == want
+
+
 def test_lm_scores(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [(i, WORDS.findall(lower(t)) + [None]) for i, t in rows]
