@@ -5,12 +5,14 @@ their own; what is left of each document (fewer than ``length`` ids) is packed.
 Left-overs are dealt to shards by their most characteristic tokens (range
 partitioning on their two rarest tokens, then on the ids' checksum and the
 document, so a key or a group of copies of any size is split evenly).  A task
-walks through its shard in blocks of ``block_docs``: it builds the block's BM25
-inverted index, takes the next unused document as seed, retrieves unused
-neighbours by score, and greedily fills the seed's window with those that fit; the best
-neighbour that doesn't fit is cut to close the window and its rest stays unused.
-Documents without a full window move on to the next block, and the end of a
-partition is closed with sequences of a power of two.  So no id is padding.
+builds the BM25 inverted index over all left-overs of its shard, takes the next unused
+document as seed, retrieves unused neighbours by score from the whole shard, and
+greedily fills the seed's window with those that fit; the best neighbour that doesn't
+fit is cut to close the window and its rest stays unused.  Scores are exact: tokens in
+more than one in ``DENSE`` left-overs are rows of a matrix, multiplied for several seeds
+at once, and the others have posting lists.  The end of a partition is closed with
+sequences of a power of two.  So no id is padding.  A partition of more than twice
+``shard_tokens`` ids, which sampled ranges may give, is worked off as several shards.
 
 Document frequencies of tokens are counted over all left-overs; the table has one
 entry per vocabulary id, which bounds the broadcast.
@@ -40,7 +42,8 @@ from .common import slices, store, table
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k.json"
 VOCABULARY_SIZE = 50257
-BLOCK_DOCS = 512
+DENSE = 8
+SEEDS, SEED_SCORES = 64, 4_000_000
 SHARD_TOKENS = 1_500_000
 CACHE_WORDS = 600_000
 RANKS = "byte_bpe_50k.tiktoken"
@@ -168,59 +171,93 @@ def token_frequencies(rest: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, int(out[0])
 
 
-class Block:
-    """Unused documents of a block and the BM25 inverted index over them."""
+class Shard:
+    """Unused documents of a shard and the BM25 inverted index over them."""
 
     def __init__(self, docs: list[dict], idf: np.ndarray):
-        self.docs = docs
         m = len(docs)
         lengths = np.array([len(d["ids"]) for d in docs])
         flat = np.concatenate([d["ids"] for d in docs]).astype(np.int64)
         keys, tf = np.unique(flat * m + np.repeat(np.arange(m), lengths), return_counts=True)
-        self.term, self.doc = keys // m, keys % m
+        term, doc = (keys // m).astype(np.int32), (keys % m).astype(np.int32)
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.begins = np.searchsorted(self.term, np.arange(len(idf) + 1))
-        self.by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_begins = np.searchsorted(self.doc[self.by_doc], np.arange(m + 1))
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        by_doc = np.argsort(doc, kind="stable")
+        self.terms = term[by_doc]  # of each document
+        self.doc_begins = np.searchsorted(doc[by_doc], np.arange(m + 1))
+        # common tokens: the matrix has at most DENSE times as many cells as the shard has postings
+        common = np.bincount(term, minlength=len(idf)) * DENSE > m
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        dense = common[term]
+        self.matrix = np.zeros((int(common.sum()), m), dtype=np.float32)
+        self.matrix[self.row[term[dense]], doc[dense]] = weight[dense]
+        self.doc, self.weight = doc[~dense], weight[~dense]
+        self.begins = np.searchsorted(term[~dense], np.arange(len(idf) + 1))
         self.left = lengths.copy()  # ids not used yet
+        self.total = int(lengths.sum())
         self.m = m
+        self.ready: dict[int, np.ndarray] = {}  # scores of the next seeds by common tokens
+
+    def own(self, seed: int) -> np.ndarray:
+        return self.terms[self.doc_begins[seed] : self.doc_begins[seed + 1]]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the block for the seed's terms."""
-        terms = self.term[self.by_doc[self.doc_begins[seed] : self.doc_begins[seed + 1]]]
+        """BM25 of every document of the shard for the seed's terms."""
+        if seed not in self.ready:
+            seeds = seed + np.flatnonzero(self.left[seed:])[: max(1, min(SEEDS, SEED_SCORES // self.m))]
+            asked = np.zeros((len(seeds), len(self.matrix)), dtype=np.float32)
+            for i, k in enumerate(seeds.tolist()):
+                rows = self.row[self.own(k)]
+                asked[i, rows[rows >= 0]] = 1
+            self.ready = dict(zip(seeds.tolist(), asked @ self.matrix))
+        terms = self.own(seed)
+        terms = terms[self.row[terms] < 0]
         a, b = self.begins[terms], self.begins[terms + 1]
         size = b - a
-        ends = np.cumsum(size)
-        at = np.repeat(a - (ends - size), size) + np.arange(ends[-1])
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.m)
+        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.ready[seed] + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.m)
 
     def window(self, seed: int, length: int) -> list[tuple[int, int]] | None:
         """(document, ids taken) that fill a window around the seed; None if the unused ones can't."""
-        if self.left.sum() < length:
+        if self.total < length:
             return None
         room = length - int(self.left[seed])
         out = [(seed, int(self.left[seed]))]
         if room:
             score = self.scores(seed)
-            score[self.left == 0] = -1
-            score[seed] = -1
-            order = np.argsort(-score, kind="stable")
-            left = self.left[order].tolist()
-            for d, n in zip(order.tolist(), left):
-                if 0 < n <= room and d != seed:
-                    out.append((d, n))
-                    room -= n
-                    if not room:
-                        break
+            unused = np.flatnonzero(self.left)
+            unused = unused[unused != seed]
+            fit = unused
+            while room:
+                fit = fit[self.left[fit] <= room]
+                if not len(fit):
+                    break
+                best = first_by_score(score[fit], 256)
+                for d, n in zip(fit[best].tolist(), self.left[fit[best]].tolist()):
+                    if n <= room:
+                        out.append((d, n))
+                        room -= n
+                fit = np.delete(fit, best)
             if room:
-                used = {d for d, _ in out}
-                out.append((next(d for d, n in zip(order.tolist(), left) if n and d not in used), room))
+                unused = unused[~np.isin(unused, [d for d, _ in out])]
+                out.append((int(unused[score[unused].argmax()]), room))
         for d, n in out:
             self.left[d] -= n
+        self.total -= length
         return out
 
 
+def first_by_score(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, highest first; of equal ones the first."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        above = np.flatnonzero(score > least)
+        some = np.sort(np.concatenate([above, np.flatnonzero(score == least)[: k - len(above)]]))
+    else:
+        some = np.arange(len(score))
+    return some[np.argsort(-score[some], kind="stable")]
+
+
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -232,16 +269,16 @@ def _piece(doc: dict, n: int, sequence: int, offset: int) -> tuple:
     return doc["doc_id"], doc["start"] + at, n, doc["ids"][at : at + n].astype("<u4").tobytes(), doc["doc_tokens"], sequence, offset
 
 
-def pack_docs(docs, idf: np.ndarray, length: int, first_sequence: int, block_docs: int = BLOCK_DOCS):
+def pack_docs(docs, idf: np.ndarray, length: int, first_sequence: int, most_tokens: int = 2 * SHARD_TOKENS):
     """Pieces of an iterator of left-overs, in lists; every document wholly used."""
-    sequence, waiting = first_sequence, []
+    sequence, waiting, held = first_sequence, [], 0
 
     def fill(final: bool):
-        nonlocal sequence, waiting
-        block, out = Block(waiting, idf), []
-        for seed in range(block.m):
-            while block.left[seed]:
-                window = block.window(seed, length)
+        nonlocal sequence, waiting, held
+        shard, out = Shard(waiting, idf), []
+        for seed in range(shard.m):
+            if shard.left[seed]:
+                window = shard.window(seed, length)
                 if window is None:
                     break
                 offset = 0
@@ -249,7 +286,7 @@ def pack_docs(docs, idf: np.ndarray, length: int, first_sequence: int, block_doc
                     out.append(_piece(waiting[d], n, sequence, offset))
                     offset += n
                 sequence += 1
-        rest = [d for d, n in zip(waiting, block.left.tolist()) if n]
+        rest = [d for d, n in zip(waiting, shard.left.tolist()) if n]
         if final:
             total = sum(len(d["ids"]) - d["used"] for d in rest)
             k = 0
@@ -264,14 +301,15 @@ def pack_docs(docs, idf: np.ndarray, length: int, first_sequence: int, block_doc
                     k += rest[k]["used"] == len(rest[k]["ids"])
                 sequence += 1
             rest = []
-        else:  # an unused tail is a document of its own in the next block
+        else:  # an unused tail is a document of its own in the next shard
             rest = [d if not d["used"] else {**d, "ids": d["ids"][d["used"] :], "start": d["start"] + d["used"], "used": 0} for d in rest]
-        waiting = rest
+        waiting, held = rest, shard.total
         return out
 
     for doc in docs:
         waiting.append(doc)
-        if len(waiting) >= block_docs:
+        held += len(doc["ids"])
+        if held >= most_tokens:
             yield fill(False)
     if waiting:
         yield fill(True)
@@ -316,7 +354,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, vocabulary: int = VOC
                 for doc, start, total, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
                     yield {"doc_id": doc, "start": start, "doc_tokens": total, "ids": np.frombuffer(ids, np.uint16), "used": 0}
 
-        for rows in pack_docs(docs(), idf, length, 1 << 62 | TaskContext.get().partitionId() << 34):
+        for rows in pack_docs(docs(), idf, length, 1 << 62 | TaskContext.get().partitionId() << 34, 2 * shard_tokens):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 7, _PIECE_ARROW)], schema=_PIECE_ARROW)
 
     def widen(batches):

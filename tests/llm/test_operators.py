@@ -132,6 +132,28 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_finds_neighbours_in_the_whole_shard():
+    rng = np.random.default_rng(8)
+    size, n = 20_000, 700
+    own = rng.permutation(np.arange(100, size))[: n * 20].reshape(n, 20)
+    texts = [np.concatenate([own[k % n], rng.integers(1, 100, 44)]).astype(np.uint16) for k in range(2 * n)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=size)
+    idf = np.log1p((2 * n - df + 0.5) / (df + 0.5))
+    docs = lambda: [{"doc_id": k, "start": 0, "doc_tokens": 64, "ids": t, "used": 0} for k, t in enumerate(texts)]
+    together = collections.defaultdict(list)
+    for piece in (p for some in packing.pack_docs(iter(docs()), idf, 128, 0) for p in some):
+        together[piece[5]].append(piece[0])
+    assert sorted(sorted(v) for v in together.values()) == [[k, k + n] for k in range(n)]
+    shard = packing.Shard(docs(), idf)  # scores are those of plain BM25
+    for seed in (0, 5, 900):
+        want = np.zeros(2 * n)
+        for d, t in enumerate(texts):
+            for term in set(t.tolist()) & set(texts[seed].tolist()):
+                tf = int((t == term).sum())
+                want[d] += idf[term] * tf * (packing.K1 + 1) / (tf + packing.K1)
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(4)
     line = lambda: prose(int(rng.integers(1 << 30)), 12)
