@@ -5,7 +5,10 @@ measures follow: characters per token, the share of byte-fallback tokens, and th
 entropy of the text's token distribution in bits.  A text of at least
 ``min_tokens`` tokens is rejected when a measure leaves the band of its language
 (script classes serve languages without a band).  The bands of the first and the
-last narrow as texts grow, as short texts vary more.  Words are encoded one by one,
+last narrow as texts grow, as short texts vary more.  The usual characters per token
+and their spread are measured over all documents that pass the base rules, per language
+and length class; ``BANDS`` serves classes of fewer than ``LEAST_DOCS`` documents.  Texts in
+Latin letters may have as many characters per token as ordinary prose has, whatever is usual.  Words are encoded one by one,
 each with the vocabulary's word-start mark, so a bounded cache of words does most
 of the work.
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, slices, table
+from .common import batch, slices, store, table
 from .kernels import text_buffer, window_hashes, word_hashes
 
 WINDOW = 8
@@ -38,7 +41,8 @@ VOCABULARY = "piece_bpe_32k.model"
 
 # Bands, a parameter.  Per language, or per script for languages without a band of their own: the
 # usual characters per token, how much wider than usual the band is, the most byte share, and how much
-# less entropy is allowed.  The usual values are the medians of the four languages' clean documents.
+# less entropy is allowed.  The usual values are the medians of the four languages' clean documents; they
+# hold where too few documents of a length class are at hand to measure.
 BANDS = {
     "en": (2.66, 1.0, 0.05, 0.0),
     "de": (2.65, 1.0, 0.05, 0.0),
@@ -49,6 +53,11 @@ BANDS = {
 }
 # Characters per token may be that far below and above the usual: a + b / sqrt(tokens), times the width.
 BELOW, ABOVE = (0.10, 6.5), (0.15, 8.0)
+# Fewest documents of a group and length class (tokens doubling from 20 on) to measure the usual from, and how
+# many standard deviations, by the lower quartile, the band reaches below it at least.
+LEAST_DOCS, DEVIATIONS = 100, 5.0
+# Ordinary English prose has 4.6 to 5.2 characters per token; so many in Latin letters are never too many, in long texts.
+PROSE = 6.0
 # Least entropy in bits at so many tokens, straight in log(tokens) between these.
 FLOOR = ((20, 2.9), (70, 4.6), (150, 5.25), (300, 5.65), (630, 6.0), (2000, 6.3), (5000, 6.35))
 MIN_TOKENS = 20
@@ -185,21 +194,27 @@ def fertility_rules(docs: DataFrame, model_path: str, bands: dict | None = None,
     bands = bands or BANDS
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    got = features(docs, model_path)
+    got = store(features(docs, model_path), "fertility")
     named = [k for k in bands if k not in ("latin", "other")]
     group = F.when(F.col("lang").isin(named) & (F.col("script") == "latin"), F.col("lang")).otherwise(F.col("script"))
     pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in bands.items() for x in (k, float(v[i]))]), group)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.greatest("n_tokens", F.lit(1))
-    per_token, usual, wide = F.col("token_chars") / n, pick(0), pick(1)
+    per_token, wide = F.col("token_chars") / n, pick(1)
+    got = got.withColumn("_group", group).withColumn("_class", F.floor(F.log2(n / min_tokens)))
+    measured = got.filter((F.col("n_tokens") >= min_tokens) & ~failed).groupBy("_group", "_class").agg(F.percentile_approx(per_token, [0.25, 0.5], 1000).alias("_q"), F.count("*").alias("_n"))
+    got = got.join(F.broadcast(measured.filter(F.col("_n") >= LEAST_DOCS).drop("_n")), ["_group", "_class"], "left")
+    usual = F.coalesce(F.get("_q", F.lit(1)), pick(0))
+    below = F.greatest(wide * F.greatest(usual / pick(0), F.lit(1.0)) * (BELOW[0] + BELOW[1] / F.sqrt(n)), F.coalesce(DEVIATIONS / 0.6745 * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))), F.lit(0.0)))
+    most = F.greatest(usual + wide * (ABOVE[0] + ABOVE[1] / F.sqrt(n)), F.when(F.col("script") == "latin", PROSE + ABOVE[1] / F.sqrt(n)).otherwise(F.lit(0.0)))
     floor = F.lit(float(FLOOR[-1][1]))
     for (x0, y0), (x1, y1) in reversed(list(zip(FLOOR, FLOOR[1:]))):
         floor = F.when(n < x1, y0 + (y1 - y0) / math.log(x1 / x0) * F.log(n / x0)).otherwise(floor)
     outside = (F.col("n_tokens") >= min_tokens) & (
-        (per_token < usual - wide * (BELOW[0] + BELOW[1] / F.sqrt(n))) | (per_token > usual + wide * (ABOVE[0] + ABOVE[1] / F.sqrt(n)))
+        (per_token < usual - below) | (per_token > most)
         | (F.col("byte_tokens") / n > pick(2)) | (F.col("entropy") < floor - pick(3))
     )
-    return got.withColumn("chars_per_token", per_token).withColumn("base_failed", failed).withColumn("kept", ~failed & ~outside)
+    return got.withColumn("chars_per_token", per_token).withColumn("base_failed", failed).withColumn("kept", ~failed & ~outside).drop("_group", "_class", "_q")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

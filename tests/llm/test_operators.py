@@ -270,6 +270,22 @@ def test_quality_rules(spark, docs):
         assert r.base_failed == (len(words) < 20 or 100 * len(hit) > 30 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_ordinary_prose_is_kept(spark):
+    P = pytest.importorskip("public_tokenizers")
+    with open(os.path.join(os.path.dirname(P.path(fertility.VOCABULARY)), "LICENSES.txt"), encoding="utf-8") as lines:
+        text = " ".join(lines.read().split())
+    clean = [text[a : a + n] for n in (400, 1500, 6000) for a in (2500, 5000)]
+    rng = np.random.default_rng(3)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz0189#"), 7)) for _ in range(400)) for _ in range(3)]
+    # clean texts of 100 and more in one length class move their language's band
+    usual = [text[a : a + 1500] for a in range(0, 11000, 45)]
+    vowels = [" ".join("".join(rng.choice(list("bdklmnrst")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(160))]
+    kept = lambda texts: [r.kept or r.base_failed for r in fertility.fertility_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), P.path(fertility.VOCABULARY)).orderBy("doc_id").collect()]
+    assert kept(clean + junk) == [True] * len(clean) + [False] * len(junk)
+    got = kept(usual + vowels)
+    assert got == [True] * len(usual) + [False]
+
+
 def test_jaccard_classes(spark):
     rng = np.random.default_rng(5)
     texts = odd_texts()
