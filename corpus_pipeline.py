@@ -38,10 +38,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
-    classes = store(jaccard_classes(docs, size=5, percent=80), "pipeline-classes")
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    kept = without(docs, gone)
+    """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) one document stays: the
+    least (doc_id, text key), any id before a null one.  Documents without words stay."""
+    # a class is keyed by its root set, so null and repeated ids don't split or join classes
+    classes = store(jaccard_classes(docs, size=5, percent=80, roots=True), "pipeline-classes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = classes.groupBy("root").agg(F.min(place).alias("least"))
+    gone = classes.join(least, "root").filter(~place.eqNullSafe(F.col("least")))
+    kept = without(docs, gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
     # rows that repeat whole are one document; texts are grouped only if there are any
     again = classes.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept

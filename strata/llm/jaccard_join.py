@@ -296,8 +296,10 @@ def joined(at: DataFrame, links: DataFrame) -> DataFrame:
     return store(at.join(roots.select(F.col("node").alias("group"), "root"), "group", "left").select("set", F.coalesce("root", "group").alias("group")), "join-groups")
 
 
-def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every document."""
+def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, roots: bool = False) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every document.
+
+    ``roots``: also the class's own key (null for a document without words), whatever its ids are."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = store(document_sets(rows, size, percent), "join-sets")
@@ -343,8 +345,8 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     mine = known.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
     mine = mine.join(at, "set", "left").select("set", "least", F.coalesce("group", "set").alias("root"))
     ids = mine.groupBy("root").agg(F.min("least").alias("component"))
-    named = mine.join(ids, "root").select("set", "component")
-    return known.join(named, "set", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = mine.join(ids, "root").select("set", "component", "root")
+    return known.join(named, "set", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["root"] if roots else []))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

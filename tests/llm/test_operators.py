@@ -356,3 +356,16 @@ def test_pipeline_and_registration(spark):
         rows = corpus_pipeline.STAGES[-1][1](spark, some, DATA).collect()
         assert {r.doc_id for r in rows} == {r.doc_id for r in some.collect()}
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registered.QUERIES if k != "pipeline"}
+
+
+def test_pipeline_keeps_one_of_a_class_with_null_ids(spark):
+    import corpus_pipeline
+
+    near = lambda seed: [prose(seed, 200), "changed " + prose(seed, 200), prose(seed, 200) + " changed"]
+    a, b, c, d = (near(s) for s in (31, 32, 33, 34))
+    rows = [(None, t) for t in a] + [(7, b[0]), (None, b[0]), (None, b[1])] + [(8, t) for t in c] + [(9, d[0]), (10, d[1]), (11, prose(35, 200)), (None, prose(36, 200)), (None, "  "), (None, None), (None, a[0])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, df, DATA).collect()]
+    assert len(got) == len(set(got)) == 8
+    assert sum(i is None and t in a for i, t in got) == 1 and sum(i == 8 and t in c for i, t in got) == 1
+    assert {(7, b[0]), (9, d[0]), (11, rows[11][1]), (None, rows[12][1]), (None, "  "), (None, None)} <= set(got)
