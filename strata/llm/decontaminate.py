@@ -4,7 +4,9 @@ Test items are indexed (inverted lists of BM25 impacts, cut into blocks of items
 each list's largest impact per block) and every passage of every document is a
 query.  Passages are windows of ``WINDOW`` words, ``STRIDE`` apart, so a run of up
 to ``WINDOW - STRIDE`` words lies in one whole.  An item's impacts are divided by
-its own full score, so one threshold holds for all items.  For each passage the
+its own full score, so one threshold holds for all items.  Items of more than ``PART`` words
+are indexed as overlapping parts of ``PART`` words too, each with its own full score: a copied part
+lies in one passage whole, so an item of any length is retrieved by its parts.  For each passage the
 block maxima of its words are added up per block; blocks whose bound is
 under the threshold are skipped, in the others exact scores are computed, and every
 item at or above the threshold is retrieved (nothing is cut off by rank).  A
@@ -33,6 +35,7 @@ from .common import slices, store, table
 from .kernels import window_hashes, word_hashes
 
 WINDOW, STRIDE = 128, 64
+PART = WINDOW - STRIDE
 THRESHOLD = 0.45
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.5
 SHINGLE = 5
@@ -78,18 +81,27 @@ class Index:
             self.parts.append([shingles(w[a:b]) for a, b in zip(r[:-1], r[1:])])
             self.runs.append([run_length(int(k)) for k in np.diff(r)])
         size = np.diff(rows)
-        owner = np.repeat(np.arange(n), size)
         self.vocabulary, which = np.unique(words, return_inverse=True)
-        keys, tf = np.unique(which * max(n, 1) + owner, return_counts=True)
-        term, item = keys // max(n, 1), keys % max(n, 1)
-        df = np.bincount(term, minlength=len(self.vocabulary))
+        pairs = np.unique(which * max(n, 1) + np.repeat(np.arange(n), size))
+        df = np.bincount(pairs // max(n, 1), minlength=len(self.vocabulary))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / (size.mean() if n else 1)))
-        full = np.bincount(item, weights=impact, minlength=n)
+        # what is retrieved: every item whole, then the parts of long ones
+        spans = [(k, int(rows[k]), int(rows[k + 1])) for k in range(n)]
+        for k, a, b in spans[:n]:
+            if b - a > PART:
+                spans += [(k, x, x + PART) for x in (*range(a, b - PART, PART // 2), b - PART)]
+        self.owner = np.array([k for k, _, _ in spans], dtype=np.int64)
+        self.n_units = len(spans)
+        length = np.array([b - a for _, a, b in spans], dtype=np.int64)
+        flat = np.concatenate([which[a:b] for _, a, b in spans]) if spans else which
+        keys, tf = np.unique(flat * max(self.n_units, 1) + np.repeat(np.arange(self.n_units), length), return_counts=True)
+        term, item = keys // max(self.n_units, 1), keys % max(self.n_units, 1)
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (size.mean() if n else 1)))
+        full = np.bincount(item, weights=impact, minlength=self.n_units)
         self.impact = (impact / full[item]).astype(np.float32)
         self.item = item
         self.begins = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        self.n_blocks = -(-n // BLOCK_ITEMS)
+        self.n_blocks = -(-self.n_units // BLOCK_ITEMS)
         self.bound = np.zeros((len(self.vocabulary) + 1, self.n_blocks), dtype=np.float32)  # last row: words no item has
         np.maximum.at(self.bound, (term, item // BLOCK_ITEMS), self.impact)
 
@@ -123,8 +135,8 @@ class Index:
             size = hi - lo
             at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
             at = at[open_[self.item[at] // BLOCK_ITEMS]]
-            score = np.bincount(self.item[at], weights=self.impact[at], minlength=len(self.items))
-            found.update(np.flatnonzero(score >= threshold - 1e-6).tolist())
+            score = np.bincount(self.item[at], weights=self.impact[at], minlength=self.n_units)
+            found.update(self.owner[np.flatnonzero(score >= threshold - 1e-6)].tolist())
         return found
 
     def leaks(self, words: np.ndarray, threshold: float, question: float, answer: float):

@@ -324,6 +324,16 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(df, frame.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), frame).count() == 0
 
 
+def test_long_items_are_found_whole():
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    items = [(k, text(n) + ". " + text(12)) for k, n in enumerate([20, 60, 90, 150, 400, 500, 1000, 3000] * 3)]
+    index = decontaminate.Index(items)
+    for k, item in items:
+        words = decontaminate.word_hashes(__import__("pyarrow").array([text(37 + k) + " " + item + " " + text(300)]), lower=True)[0]
+        assert [x for x, _, _ in index.leaks(words, decontaminate.THRESHOLD, 0.6, 0.5)] == [k]
+
+
 @has_data
 def test_wand_finds_what_full_scoring_finds():
     items = [(i, prose(100 + i, 30)) for i in range(70)]
