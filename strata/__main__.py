@@ -29,10 +29,28 @@ def _session() -> SparkSession:
     return ensure_conf(spark)
 
 
+def _thresholds(settings: list[str]):
+    """The rules with those given as RULE=NUMBER set."""
+    from dataclasses import fields, replace
+
+    from strata.plans.reports import Thresholds
+
+    out = Thresholds()
+    for setting in settings:
+        name, _, number = setting.partition("=")
+        for part in ("customer", "product"):
+            rules = getattr(out, part)
+            if name in {f.name for f in fields(rules) if isinstance(f.default, int)}:
+                out = replace(out, **{part: replace(rules, **{name: int(number)})})
+                break
+        else:
+            raise SystemExit(f"no rule {name!r}")
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from strata.plans import quality
     from strata.plans.jobs import load_bronze
-    from strata.schemas import BRONZE
     from strata.plans.registry import QUERIES
     from strata.plans.warehouse import Warehouse
     from strata.sources import catalog
@@ -53,6 +71,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument("--catalog-prefix", default=None,
                        help="also keep the tables in the catalog as <prefix><layer>.<name> (needed for "
                             "bucketing; needs a persistent metastore to be reused by later runs)")
+        p.add_argument("--threshold", action="append", default=[], metavar="RULE=NUMBER",
+                       help="a rule of the reports, e.g. vip_spend=8000 (vip_lifespan_months, vip_spend, under_age, "
+                            "high_revenue, mid_revenue)")
     sub.add_parser("list", help="list the registered queries")
     args = parser.parse_args(argv)
 
@@ -63,14 +84,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = LayerStore(spark, args.root, catalog_prefix=args.catalog_prefix)
     if args.command == "build":
         load_bronze(spark, args.source, store, on_bad_rows=args.on_bad_rows).show(truncate=False)
-        landed = {name: store.read("bronze", name) for name in BRONZE}
-        wh = Warehouse.build(spark, landed, store=store, as_of=args.as_of)
+        wh = Warehouse.build(spark, store=store, as_of=args.as_of, thresholds=_thresholds(args.threshold))
         wh.load_metrics.show(truncate=False)
         catalog.publish(wh)
+        store.clean()
         summary = quality.summary(wh)
         summary.show(100, truncate=False)
         return 0
     wh = Warehouse.open(spark, store, as_of=args.as_of)
+    wh.thresholds = _thresholds(args.threshold)
     if args.command == "check":
         summary = quality.summary(wh)
         summary.show(100, truncate=False)

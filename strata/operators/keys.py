@@ -2,8 +2,8 @@
 
 ``dense_key`` is ``ROW_NUMBER() OVER (ORDER BY ...)`` without the single
 partition a global window needs.  Rows are range-partitioned on the full sort
-tuple (Spark samples the boundaries), every range is numbered locally, and
-the count of all earlier ranges is added.  The range assignment is written to
+tuple (Spark samples the boundaries) and sorted, which is the only exchange; a row's number is its
+position in its range plus the rows of all earlier ranges.  Ranges and positions are written to
 the checkpoint folder first, so the per-range counts and the numbering read
 the very same rows even if an executor is lost and stages are recomputed.
 The answer does not depend on the boundaries: equal sort tuples always share
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
 
-_BUCKET, _OFFSET, _N = "_range_id", "_range_offset", "_range_rows"
+_RANGE, _PLACE, _OFFSET, _N = "_range_id", "_range_place", "_range_offset", "_range_rows"
+# The low 33 bits of ``monotonically_increasing_id`` count the rows of a partition.
+_IN_PARTITION = (1 << 33) - 1
 
 
 def dense_key(df: DataFrame, order_by: Sequence[Column], key_name: str, ranges: int | None = None,
@@ -41,20 +43,18 @@ def dense_key(df: DataFrame, order_by: Sequence[Column], key_name: str, ranges:
     checkpoint_dir(spark)
     if expensive_input:
         df = df.checkpoint(eager=True)
-    staged = df.repartitionByRange(n, *order_by).withColumn(_BUCKET, F.spark_partition_id())
-    staged = staged.checkpoint(eager=True)
+    # one exchange: a row's place is its range and its position in the sorted range
+    placed = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).select(
+        "*", F.spark_partition_id().alias(_RANGE), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias(_PLACE))
+    placed = placed.checkpoint(eager=True)
 
     # One row per range (at most n rows): the prefix sum is tiny, and the
     # broadcast below is bounded by n, not by the data.
-    counts = staged.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias(_N))
-    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_BUCKET, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFFSET))
-
-    local = Window.partitionBy(_BUCKET).orderBy(*order_by)
-    numbered = staged.join(F.broadcast(offsets), _BUCKET).withColumn(
-        key_name, (F.col(_OFFSET) + F.row_number().over(local)).cast("long")
-    )
-    return numbered.drop(_BUCKET, _OFFSET)
+    counts = placed.groupBy(_RANGE).agg(F.count(F.lit(1)).alias(_N))
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_RANGE, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFFSET))
+    numbered = placed.join(F.broadcast(offsets), _RANGE).withColumn(key_name, (F.col(_OFFSET) + F.col(_PLACE) + 1).cast("long"))
+    return numbered.drop(_RANGE, _PLACE, _OFFSET)
 
 
 def keep_latest(df: DataFrame, key: str, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

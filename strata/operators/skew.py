@@ -8,7 +8,7 @@ row per key), so only two numbers reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,13 +23,16 @@ def heaviest_key(df: DataFrame, key: str) -> tuple[int, int]:
 ROWS_PER_BUCKET = 5_000_000
 
 
-def bucket_count(df: DataFrame, key: str, min_buckets: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+def bucket_count(rows: int, heaviest: int, min_buckets: int, max_buckets: int, rows_per_bucket: int = ROWS_PER_BUCKET,
                  max_share: float = 4.0) -> int | None:
-    """Buckets for ``df`` on ``key``: enough that each holds about
-    ``rows_per_bucket`` rows (at least ``min_buckets``), or None when the
+    """Buckets for a table of ``rows`` rows: enough that each holds about
+    ``rows_per_bucket`` (at least ``min_buckets``, at most the session's ``max_buckets``), or None when the
     heaviest key would hold more than ``max_share`` average buckets."""
-    hottest, total = heaviest_key(df, key)
-    n = max(min_buckets, -(-total // rows_per_bucket))
-    if total and hottest * n > max_share * total:
+    n = min(max(min_buckets, -(-rows // rows_per_bucket)), max_buckets)
+    if rows and heaviest * n > max_share * rows:
         return None
     return n
+
+
+def max_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))

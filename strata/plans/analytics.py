@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions import first_match, idiv, month_boundaries, sign_label, trunc_avg
+from strata.functions import idiv, month_boundaries, sign_label, trunc_avg
+from strata.operators.distinct import count_words, key_words
 from strata.operators.joins import lookup
-from strata.plans.reports import (CustomerThresholds, finish_customers, finish_products, report_customers,
-                                  report_products, segment)
+from strata.plans.reports import cost_range_sql, report_customers, report_products, segment
 
 
 def _dated(wh, **star) -> DataFrame:
@@ -23,17 +23,18 @@ def _dated(wh, **star) -> DataFrame:
 
 # --- N1 change over time ---------------------------------------------------------
 def _by_period(wh, period) -> DataFrame:
-    """Sales, distinct buyers and units per period of dated lines.  With a
-    broadcastable customer dimension: one pass, buyer key looked up per line.
-    Otherwise the sums come straight from the lines (no join) and the buyers
-    from distinct (customer id, period) pairs, joined on the period."""
+    """Sales, distinct buyers and units per period of dated lines, in one pass: lines are summed per period and word of
+    64 neighbouring customer keys, whose bits are then counted.  With a customer dimension too large to broadcast the sums
+    come straight from the lines and the buyers from distinct (customer id, period) pairs."""
     sums = (F.sum("sales_amount").alias("total_sales"), F.sum("quantity").alias("total_quantity"))
     if wh.customers_broadcast():
-        f = _dated(wh, customer_key=True)
-        return f.groupBy(*period).agg(sums[0], F.countDistinct("customer_key").alias("total_customers"), sums[1])
+        words = key_words(_dated(wh, customer_key=True), period, "customer_key", *sums)
+        keys = words.columns[: len(period)]
+        return count_words(words, keys, "total_customers", *(F.sum(c).alias(c) for c in ("total_sales", "total_quantity"))).select(
+            *keys, "total_sales", "total_customers", "total_quantity")
     totals = wh.lines(dated=True).groupBy(*period).agg(*sums)
     buyers = wh.distinct_customers("total_customers", by=period, dated=True)
-    keys = [c for c in totals.columns if c not in ("total_sales", "total_quantity")]
+    keys = totals.columns[: len(period)]
     return totals.join(buyers, keys, "left").select(*keys, "total_sales", "total_customers", "total_quantity")
 
 
@@ -91,19 +92,12 @@ def n3_yoy_products(wh) -> DataFrame:
 
 # --- N4 segmentation ---------------------------------------------------------------------
 def n4a_cost_ranges(wh) -> DataFrame:
-    cost = F.col("cost")
-    # The source's cost tiers; BETWEEN is inclusive and the
-    # first matching tier wins (so 500 is '100-500').
-    cost_range = first_match(
-        [(cost < 100, "Below 100"), (cost.between(100, 500), "100-500"), (cost.between(500, 1000), "500-1000")],
-        "Above 1000",
-    )
-    return (wh.dim_products().select("product_key", cost_range.alias("cost_range"))
+    return (wh.dim_products().select("product_key", F.expr(cost_range_sql("cost", wh.thresholds.cost)).alias("cost_range"))
             .groupBy("cost_range").agg(F.count("product_key").alias("total_products"))
             .orderBy(F.desc("total_products")))
 
 
-def n4b_customer_segments(wh, t: CustomerThresholds = CustomerThresholds()) -> DataFrame:
+def n4b_customer_segments(wh) -> DataFrame:
     """Customers per lifecycle segment.  All fact rows count (no date filter);
     the group of rows without a customer is kept and counts as 0."""
     per_customer = wh.rollup_customers(
@@ -111,7 +105,7 @@ def n4b_customer_segments(wh, t: CustomerThresholds = CustomerThresholds()) -> D
         [("total_spending", "sum", "sales_amount"), ("first_order", "min", "order_date"),
          ("last_order", "max", "order_date")],
     ).withColumn("lifespan", month_boundaries("first_order", "last_order"))
-    seg = segment(F.col("lifespan"), F.col("total_spending"), t.vip_lifespan_months, t.vip_spend)
+    seg = segment("lifespan", "total_spending", wh.thresholds.customer)
     return (per_customer.select("customer_key", seg.alias("customer_segment"))
             .groupBy("customer_segment").agg(F.count("customer_key").alias("total_customers"))
             .orderBy(F.desc("total_customers")))
@@ -130,76 +124,25 @@ def n5_category_share(wh) -> DataFrame:
 
 
 # --- N6 / N7 reporting views ------------------------------------------------------------
-def _distinct_other_keys(keyed: DataFrame, group_key: str, fact_key: str, dim: DataFrame, dim_key: str,
-                         dim_out: str, out: str, rows, max_rows) -> DataFrame:
-    """COUNT(DISTINCT other dimension key) per ``group_key``, looking the other
-    dimension up on distinct (group key, natural key) pairs instead of lines."""
-    pairs = keyed.select(group_key, fact_key).distinct()
-    looked = lookup(pairs, dim, fact_key, dim_key, [dim_out], rows, max_rows)
-    return looked.groupBy(group_key).agg(F.countDistinct(dim_out).alias(out))
-
-
-# Surrogate keys are 1..N; lines without a dimension row are carried as this
-# key through the two aggregates so they can be joined on plain equality
-# (keeping both sides' partitioning), then turned back into NULL.
-_UNMATCHED = -1
-
-
-def _keyed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn(key, F.coalesce(F.col(key), F.lit(_UNMATCHED).cast("long")))
-
-
-def _attach(totals: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """Join two per-key aggregates; restore NULL for the unmatched group."""
-    joined = totals.join(counts, key, "left")
-    return joined.withColumn(key, F.when(F.col(key) == _UNMATCHED, F.lit(None)).otherwise(F.col(key)))
-
-
 def n6_report_customers(wh) -> DataFrame:
     """G4.  With a product dimension too large to broadcast (and its key
-    proven unique), products are not looked up per line: customers are
-    (shuffle-free when sales are bucketed), measures are aggregated per
-    customer key, and the distinct products come from distinct (customer,
-    product number) pairs."""
-    sizes = dict(customers_rows=wh.rows.get("gold.dim_customers"), max_broadcast_rows=wh.max_broadcast_rows)
+    proven unique), products are not looked up per line but on distinct (customer, product number) pairs;
+    customers are, shuffle-free when sales are bucketed."""
+    t = wh.thresholds.customer
     if wh.products_broadcast() or not wh.products_unique:
-        facts = wh.star(customer_key=True, product_key=True)
-        return report_customers(facts, wh.dim_customers(), wh.as_of, **sizes)
-    keyed = _keyed(lookup(wh.lines(dated=True, fan_out=()), wh.dim_customers(), "sls_cust_id", "customer_id",
-                          ["customer_key"], sizes["customers_rows"], wh.max_broadcast_rows), "customer_key")
-    measures = keyed.groupBy("customer_key").agg(
-        F.countDistinct("order_number").alias("total_orders"),
-        F.sum("sales_amount").alias("total_sales"),
-        F.sum("quantity").alias("total_quantity"),
-        F.max("order_date").alias("last_order_date"),
-        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
-    )
-    products = _distinct_other_keys(keyed, "customer_key", "sls_prd_key", wh.dim_products(), "product_number",
-                                    "product_key", "total_products", wh.rows.get("gold.dim_products"),
-                                    wh.max_broadcast_rows)
-    return finish_customers(_attach(measures, products, "customer_key"), wh.dim_customers(), wh.as_of, **sizes)
+        return report_customers(wh.star(customer_key=True, product_key=True), wh.dim_customers(), wh.as_of, t)
+    keyed = lookup(wh.lines(fan_out=()), wh.dim_customers(), "sls_cust_id", "customer_id", ["customer_key"],
+                   wh.size("gold.dim_customers"), wh.max_broadcast_bytes)
+    return report_customers(keyed, wh.dim_customers(), wh.as_of, t, products=wh.dim_products())
 
 
 def n7_report_products(wh) -> DataFrame:
     """G5.  Mirror of G4: with a customer dimension too large to broadcast
     (key proven unique), distinct customers come from distinct (product,
     customer id) pairs."""
-    sizes = dict(products_rows=wh.rows.get("gold.dim_products"), max_broadcast_rows=wh.max_broadcast_rows)
+    t = wh.thresholds.product
     if wh.customers_broadcast() or not wh.customers_unique:
-        facts = wh.star(product_key=True, customer_key=True)
-        return report_products(facts, wh.dim_products(), wh.as_of, **sizes)
-    keyed = _keyed(lookup(wh.lines(dated=True, fan_out=()), wh.dim_products(), "sls_prd_key", "product_number",
-                          ["product_key"], sizes["products_rows"], wh.max_broadcast_rows), "product_key")
-    unit_price = F.col("sales_amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0))
-    measures = keyed.groupBy("product_key").agg(
-        month_boundaries(F.min("order_date"), F.max("order_date")).alias("lifespan"),
-        F.max("order_date").alias("last_sale_date"),
-        F.countDistinct("order_number").alias("total_orders"),
-        F.sum("sales_amount").alias("total_sales"),
-        F.sum("quantity").alias("total_quantity"),
-        F.round(F.avg(unit_price), 1).alias("avg_selling_price"),
-    )
-    customers = _distinct_other_keys(keyed, "product_key", "sls_cust_id", wh.dim_customers(), "customer_id",
-                                     "customer_key", "total_customers", wh.rows.get("gold.dim_customers"),
-                                     wh.max_broadcast_rows)
-    return finish_products(_attach(measures, customers, "product_key"), wh.dim_products(), wh.as_of, **sizes)
+        return report_products(wh.star(product_key=True, customer_key=True), wh.dim_products(), wh.as_of, t)
+    keyed = lookup(wh.lines(fan_out=()), wh.dim_products(), "sls_prd_key", "product_number", ["product_key"],
+                   wh.size("gold.dim_products"), wh.max_broadcast_bytes)
+    return report_products(keyed, wh.dim_products(), wh.as_of, t, customers=wh.dim_customers())

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import as_of_date, full_name, idiv, trunc_avg, year_boundaries
 from strata.operators.topk import rank_filter, top_k
+from strata.schemas import GOLD
 from strata.sources.tables import schema_listing
 
 
@@ -26,8 +27,7 @@ def e1_1_objects(wh) -> DataFrame:
 
 
 def e1_2_gold_columns(wh) -> DataFrame:
-    frames = {"dim_customers": wh.dim_customers(), "dim_products": wh.dim_products(),
-              "fact_sales": wh.fact_sales()}
+    frames = {name: wh.store.read("gold", name) for name in GOLD}
     return schema_listing(wh.spark, frames, "gold")
 
 

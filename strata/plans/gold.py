@@ -20,16 +20,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.operators.joins import MAX_BROADCAST_ROWS, lookup
+from strata.operators.joins import MAX_BROADCAST_BYTES, TableSize, fits, lookup
+from strata.operators.distinct import distinct_keys
 from strata.operators.keys import dense_key
-from strata.schemas import GOLD, conform
+from strata.schemas import GOLD, collated, conform
 
 UNKNOWN = "n/a"
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
-    return conform(df, GOLD[name])
+    """The declared columns; text keeps the collation it came with."""
+    collations = {f.dataType.collation for f in df.schema.fields if isinstance(f.dataType, T.StringType)} - {"UTF8_BINARY"}
+    return conform(df, collated(GOLD[name], min(collations, default=None)))
 
 
 def dim_customers_rows(customers: DataFrame, erp_customers: DataFrame, locations: DataFrame) -> DataFrame:
@@ -73,10 +77,10 @@ def build_dim_customers(customers: DataFrame, erp_customers: DataFrame, location
     return _conform(keyed, "dim_customers")
 
 
-def dim_products_rows(products: DataFrame, categories: DataFrame, categories_rows: int | None = None) -> DataFrame:
+def dim_products_rows(products: DataFrame, categories: DataFrame, categories_size: TableSize | None = None) -> DataFrame:
     """G2 without the key: current product versions with their category."""
     current = products.filter(F.col("prd_end_dt").isNull())
-    enriched = lookup(current, categories, "cat_id", "id", ["cat", "subcat", "maintenance"], categories_rows)
+    enriched = lookup(current, categories, "cat_id", "id", ["cat", "subcat", "maintenance"], categories_size)
     return enriched.select(
         F.col("prd_id").alias("product_id"),
         F.col("prd_key").alias("product_number"),
@@ -91,8 +95,8 @@ def dim_products_rows(products: DataFrame, categories: DataFrame, categories_row
     )
 
 
-def build_dim_products(products: DataFrame, categories: DataFrame, categories_rows: int | None = None) -> DataFrame:
-    rows = dim_products_rows(products, categories, categories_rows)
+def build_dim_products(products: DataFrame, categories: DataFrame, categories_size: TableSize | None = None) -> DataFrame:
+    rows = dim_products_rows(products, categories, categories_size)
     keyed = dense_key(rows, [F.col(c).asc_nulls_first() for c in PRODUCT_KEY_ORDER], "product_key")
     return _conform(keyed, "dim_products")
 
@@ -118,18 +122,18 @@ def star(sales: DataFrame, dim_products: DataFrame, dim_customers: DataFrame, *,
          product: Sequence[str] = (), customer: Sequence[str] = (),
          product_key: bool = False, customer_key: bool = False,
          products_unique: bool = False, customers_unique: bool = False,
-         products_rows: int | None = None, customers_rows: int | None = None,
-         max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+         products_size: TableSize | None = None, customers_size: TableSize | None = None,
+         max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Fact rows with the requested surrogate keys and dimension attributes."""
     fact = lines(sales)
     # Customers first: when sales and customers are bucketed alike on the
     # customer id, that join runs in place before anything reshuffles the fact.
     if customer or customer_key or not customers_unique:
         take = ["customer_key", *[c for c in customer if c != "customer_key"]]
-        fact = lookup(fact, dim_customers, "sls_cust_id", "customer_id", take, customers_rows, max_broadcast_rows)
+        fact = lookup(fact, dim_customers, "sls_cust_id", "customer_id", take, customers_size, max_broadcast_bytes)
     if product or product_key or not products_unique:
         take = ["product_key", *[c for c in product if c != "product_key"]]
-        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_rows, max_broadcast_rows)
+        fact = lookup(fact, dim_products, "sls_prd_key", "product_number", take, products_size, max_broadcast_bytes)
     return fact.drop("sls_prd_key", "sls_cust_id")
 
 
@@ -138,8 +142,8 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def rollup(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, attrs: Sequence[str],
-           aggs: Sequence[tuple[str, str, str]], by: Sequence = (), dim_rows: int | None = None,
-           max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           aggs: Sequence[tuple[str, str, str]], by: Sequence = (), dim_size: TableSize | None = None,
+           max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Aggregate fact lines to (``by``..., dimension ``attrs``...).
 
     ``aggs`` are (output, function, fact column) with function sum, min or
@@ -156,12 +160,12 @@ def rollup(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, a
     by_names = [fact_lines.select(c).columns[0] for c in by_cols]
     if len(aggs) == 1 and aggs[0][1] == "count_distinct":
         return _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, aggs[0], by_cols, by_names,
-                                dim_rows, max_broadcast_rows)
-    if dim_rows is not None and dim_rows <= max_broadcast_rows:
-        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+                                dim_size, max_broadcast_bytes)
+    if fits(dim_size, [dim_key, *attrs], max_broadcast_bytes):
+        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_size, max_broadcast_bytes)
         return looked.groupBy(*by_cols, *attrs).agg(*[_MERGE[fn](c).alias(out) for out, fn, c in aggs])
     partial = fact_lines.groupBy(fact_key, *by_cols).agg(*[_MERGE[fn](c).alias(out) for out, fn, c in aggs])
-    looked = lookup(partial, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+    looked = lookup(partial, dim, fact_key, dim_key, attrs, dim_size, max_broadcast_bytes)
     return looked.groupBy(*by_names, *attrs).agg(*[_MERGE[fn](out).alias(out) for out, fn, _ in aggs])
 
 
@@ -171,32 +175,33 @@ def fact_sales(sales: DataFrame, dim_products: DataFrame, dim_customers: DataFra
     return _conform(f, "fact_sales")
 
 
-def _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, agg, by_cols, by_names, dim_rows,
-                     max_broadcast_rows) -> DataFrame:
+def _rollup_distinct(fact_lines, dim, fact_key, dim_key, attrs, agg, by_cols, by_names, dim_size,
+                     max_broadcast_bytes) -> DataFrame:
     """``COUNT(DISTINCT col)`` per attributes.  For a large dimension the lines
     are first reduced to distinct (natural key, col) pairs; the count stays
     distinct because keys that share an attribute group (e.g. all unmatched
     keys) may share values."""
     out, _, col = agg
-    if dim_rows is not None and dim_rows <= max_broadcast_rows:
-        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+    if fits(dim_size, [dim_key, *attrs], max_broadcast_bytes):
+        looked = lookup(fact_lines, dim, fact_key, dim_key, attrs, dim_size, max_broadcast_bytes)
         return looked.groupBy(*by_cols, *attrs).agg(F.countDistinct(col).alias(out))
     pairs = fact_lines.select(fact_key, *by_cols, col).distinct()
-    looked = lookup(pairs, dim, fact_key, dim_key, attrs, dim_rows, max_broadcast_rows)
+    looked = lookup(pairs, dim, fact_key, dim_key, attrs, dim_size, max_broadcast_bytes)
     return looked.groupBy(*by_names, *attrs).agg(F.countDistinct(col).alias(out))
 
 
 def distinct_attribute(fact_lines: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, attr: str, out: str,
-                       by: Sequence = (), dim_rows: int | None = None,
-                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                       by: Sequence = (), dim_size: TableSize | None = None,
+                       max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``COUNT(DISTINCT dim.attr)`` over ``fact LEFT JOIN dim``, grouped by fact
-    columns ``by`` (e.g. buyers per month).  For a large dimension only the
+    columns ``by`` (e.g. buyers per month), for an integer key ``attr``: sets are bitmap words
+    (``operators.distinct``).  For a large dimension only the
     distinct (natural key, group) pairs are looked up, not every line."""
     by_cols = [F.col(b) if isinstance(b, str) else b for b in by]
-    if dim_rows is not None and dim_rows <= max_broadcast_rows:
-        looked = lookup(fact_lines, dim, fact_key, dim_key, [attr], dim_rows, max_broadcast_rows)
-        return looked.groupBy(*by_cols).agg(F.countDistinct(attr).alias(out))
+    if fits(dim_size, [dim_key, attr], max_broadcast_bytes):
+        looked = lookup(fact_lines, dim, fact_key, dim_key, [attr], dim_size, max_broadcast_bytes)
+        return distinct_keys(looked, by_cols, attr, out)
     pairs = fact_lines.select(fact_key, *by_cols).distinct()
     by_names = [c for c in pairs.columns if c != fact_key]
-    looked = lookup(pairs, dim, fact_key, dim_key, [attr], dim_rows, max_broadcast_rows)
-    return looked.groupBy(*by_names).agg(F.countDistinct(attr).alias(out))
+    looked = lookup(pairs, dim, fact_key, dim_key, [attr], dim_size, max_broadcast_bytes)
+    return distinct_keys(looked, by_names, attr, out)

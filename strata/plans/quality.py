@@ -1,21 +1,23 @@
 """Data-quality checks for the three layers.
 
-Each check is a DataFrame of offending rows (or, for value-profile checks,
-the distinct values found) and is expected to be empty unless noted.
-``summary`` runs every check and returns one row per check: (layer, check,
-kind, status, violations) -- only counts reach the driver.
+A check is a ``Rule``: a table, a condition of offending rows (or, for value profiles, an accepted
+list), and the columns to show.  From the same rules come the queries -- one DataFrame of offending rows or values per
+check, expected to be empty unless noted -- and ``summary``: one row per check, (layer, check,
+kind, status, violations).  The summary compiles all rules of a table into one aggregate, so a table is read once whatever the number
+of its rules, plus one grouping for each key that must be unique; only counts reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import as_of_date, has_outer_blanks
 from strata.operators.joins import orphans
-from strata.schemas import BRONZE, GOLD, SILVER, with_audit
+from strata.schemas import BRONZE, GOLD, SILVER, collated, with_audit
 from strata.sources.tables import row_counts
 
 
@@ -46,273 +48,247 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-# --- silver: crm_cust_info ------------------------------------------------------------
-def qs1_customer_id_dupes(wh) -> DataFrame:
-    return (wh.silver("crm_cust_info").groupBy("cst_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter((F.col("duplicate_count") > 1) | F.col("cst_id").isNull()))
+# --- rules ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Rule:
+    """One check of one table.
 
-
-def _blanks(wh, column: str):
-    return has_outer_blanks(column, getattr(wh, "source_collation", False))
-
-
-def qs2_customer_key_blanks(wh) -> DataFrame:
-    return wh.silver("crm_cust_info").filter(_blanks(wh, "cst_key")).select("cst_key")
-
-
-def qs3_name_blanks(wh) -> DataFrame:
-    c = wh.silver("crm_cust_info")
-    return c.filter(_blanks(wh, "cst_firstname") | _blanks(wh, "cst_lastname")).select(
-        "cst_firstname", "cst_lastname")
-
-
-def qs4_gender_values(wh) -> DataFrame:
-    return wh.silver("crm_cust_info").select(F.col("cst_gndr").alias("gender_values")).distinct()
-
-
-def qs5_marital_values(wh) -> DataFrame:
-    return wh.silver("crm_cust_info").select(F.col("cst_marital_status").alias("marital_status_values")).distinct()
-
-
-# --- silver: crm_prd_info -------------------------------------------------------------
-def qs6_product_id_dupes(wh) -> DataFrame:
-    return (wh.silver("crm_prd_info").groupBy("prd_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter((F.col("duplicate_count") > 1) | F.col("prd_id").isNull()))
-
-
-def qs7_product_name_blanks(wh) -> DataFrame:
-    return wh.silver("crm_prd_info").filter(_blanks(wh, "prd_nm")).select("prd_nm")
-
-
-def qs8_product_cost(wh) -> DataFrame:
-    p = wh.silver("crm_prd_info")
-    return p.filter((F.col("prd_cost") < 0) | F.col("prd_cost").isNull()).select("prd_id", "prd_cost")
-
-
-def qs9_product_lines(wh) -> DataFrame:
-    return wh.silver("crm_prd_info").select(F.col("prd_line").alias("product_line_values")).distinct()
-
-
-def qs10_product_dates(wh) -> DataFrame:
-    p = wh.silver("crm_prd_info")
-    return p.filter(F.col("prd_end_dt") < F.col("prd_start_dt")).select(
-        "prd_id", "prd_key", "prd_start_dt", "prd_end_dt")
-
-
-# --- sales ---------------------------------------------------------------------------------
-def qs11_raw_due_dates(wh) -> DataFrame:
-    """Reads *bronze*: raw due dates that are not plausible YYYYMMDD values."""
+    ``where``: offending rows, given the warehouse.  ``values``: a violation is a distinct combination of the
+    columns, not a row.  ``accepted``: the values a column may have; without ``where``, all others and NULL offend
+    (a profile shows every value).  ``repeats``: a key that must not occur twice, and with ``null_key`` must not be NULL.
+    """
+    layer: str
+    table: str
+    columns: dict[str, str | Callable[[], Column]]  # shown as -> column
+    where: Callable[..., Column] | None = None
+    values: bool = False
+    accepted: frozenset[str] | None = None
+    repeats: bool = False
+    null_key: bool = False
+    order: tuple[str, ...] = ()
+    query: Callable[..., DataFrame] | None = None  # a cheaper plan for the offending rows alone
+
+    @property
+    def kind(self) -> str:
+        return "profile" if self.is_profile else "rule"
+
+    @property
+    def is_profile(self) -> bool:
+        return self.where is None and not self.repeats
+
+
+def _shown(rule: Rule) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c()).alias(name) for name, c in rule.columns.items()]
+
+
+def _source(wh, rule: Rule, all_columns: bool = False) -> DataFrame:
+    """The table of a rule; the fact with the keys only where they are needed."""
+    if (rule.layer, rule.table) == ("gold", "fact_sales"):
+        keys = all_columns or any(c in ("customer_key", "product_key") for c in rule.columns.values())
+        return wh.star(product_key=keys, customer_key=keys)
+    if rule.layer == "gold":
+        return wh.store.read("gold", rule.table)
+    return (wh.silver if rule.layer == "silver" else wh.bronze)(rule.table)
+
+
+def offending(wh, rule: Rule) -> DataFrame:
+    """Offending rows or values of one rule; all values for a profile."""
+    if rule.query is not None:
+        return rule.query(wh)
+    df = _source(wh, rule)
+    if rule.repeats:
+        (column,) = rule.columns.values()
+        repeated = df.groupBy(column).agg(F.count(F.lit(1)).alias("duplicate_count"))
+        return repeated.filter(_repeated(rule, column))
+    out = df.filter(rule.where(wh)) if rule.where is not None else df
+    out = out.select(*_shown(rule))
+    out = out.distinct() if rule.values or rule.is_profile else out
+    return out.orderBy(*rule.order) if rule.order else out
+
+
+def _repeated(rule: Rule, column: str) -> Column:
+    twice = F.col("duplicate_count") > 1
+    return twice | F.col(column).isNull() if rule.null_key else twice
+
+
+def _blank(*columns: str):
+    """Values with blanks at either end."""
+    def where(wh) -> Column:
+        first, *more = (has_outer_blanks(c, getattr(wh, "source_collation", False)) for c in columns)
+        for m in more:
+            first = first | m
+        return first
+    return where
+
+
+def _same(*columns: str) -> dict[str, str]:
+    return {c: c for c in columns}
+
+
+def _raw_due_date(wh) -> Column:
+    """Raw due dates that are not plausible YYYYMMDD values."""
     due = F.col("sls_due_dt")
-    bad = (due <= 0) | (F.length(due.cast("string")) != 8) | (due > 20500101) | (due < 19000101)
-    return wh.bronze("crm_sales_details").filter(bad).select(F.nullif(due, F.lit(0)).alias("sls_due_dt"))
-
-
-def qs12_sales_date_order(wh) -> DataFrame:
-    s = wh.silver("crm_sales_details")
-    return s.filter((F.col("sls_order_dt") > F.col("sls_ship_dt")) | (F.col("sls_order_dt") > F.col("sls_due_dt"))
-                    ).select("sls_ord_num", "sls_order_dt", "sls_ship_dt", "sls_due_dt")
+    return (due <= 0) | (F.length(due.cast("string")) != 8) | (due > 20500101) | (due < 19000101)
 
 
-def qs13_sales_rule(wh) -> DataFrame:
-    s = wh.silver("crm_sales_details")
+def _sales_rule(wh) -> Column:
     sales, qty, price = F.col("sls_sales"), F.col("sls_quantity"), F.col("sls_price")
-    bad = ((sales != qty * price) | sales.isNull() | (sales <= 0) | qty.isNull() | (qty <= 0)
-           | price.isNull() | (price <= 0))
-    return (s.filter(bad).select("sls_sales", "sls_quantity", "sls_price").distinct()
-            .orderBy("sls_sales", "sls_quantity", "sls_price"))
+    return ((sales != qty * price) | sales.isNull() | (sales <= 0) | qty.isNull() | (qty <= 0)
+            | price.isNull() | (price <= 0))
 
 
-# --- ERP ---------------------------------------------------------------------------------------
-def qs14_birthdates(wh, oldest: str = "1924-01-01") -> DataFrame:
-    b = F.col("bdate")
-    return (wh.silver("erp_cust_az12").filter((b < F.lit(oldest).cast("date")) | (b > as_of_date(wh.as_of)))
-            .select("bdate").distinct())
+OLDEST_BIRTHDATE = "1924-01-01"
 
 
-def qs15_erp_gender_values(wh) -> DataFrame:
-    return wh.silver("erp_cust_az12").select(F.col("gen").alias("gender_values")).distinct()
+def _birthdate(wh) -> Column:
+    return (F.col("bdate") < F.lit(OLDEST_BIRTHDATE).cast("date")) | (F.col("bdate") > as_of_date(wh.as_of))
 
 
-def qs16_country_values(wh) -> DataFrame:
-    return wh.silver("erp_loc_a101").select(F.col("cntry").alias("country_values")).distinct().orderBy("country_values")
-
-
-def qs17_category_blanks(wh) -> DataFrame:
-    c = wh.silver("erp_px_cat_g1v2")
-    return c.filter(_blanks(wh, "cat") | _blanks(wh, "subcat") | _blanks(wh, "maintenance")).select(
-        "id", "cat", "subcat", "maintenance")
-
-
-def qs18_maintenance_values(wh) -> DataFrame:
-    return wh.silver("erp_px_cat_g1v2").select(F.col("maintenance").alias("maintenance_values")).distinct()
+def _bad_measure(wh) -> Column:
+    bad = F.lit(False)
+    for c in ("sales_amount", "quantity", "price"):
+        bad = bad | F.col(c).isNull() | (F.col(c) <= 0)
+    return bad
 
 
-# --- gold ---------------------------------------------------------------------------------------
-def qg1_fact_without_customer(wh) -> DataFrame:
-    """Fact lines whose customer is missing from the dimension.  Fact keys are
+def _fact_without(dim: str, fact_key: str, dim_key: str, out: str, fan_out: str):
+    """Fact lines whose dimension row is missing.  Fact keys are
     looked up from the stored dimension, so a line is orphaned exactly when
-    its customer id has no dimension row (or is NULL): one anti join on the
+    its natural key has no dimension row (or is NULL): one anti join on the
     natural key, instead of a key lookup followed by an anti join."""
-    lines = wh.lines(fan_out=("product",))
-    out = orphans(lines.withColumnRenamed("sls_cust_id", "customer_id"), wh.dim_customers(), "customer_id",
-                  wh.rows.get("gold.dim_customers"), wh.max_broadcast_rows)
-    return out.select("order_number", F.lit(None).cast("long").alias("customer_key"))
+    def query(wh) -> DataFrame:
+        lines = wh.lines(fan_out=(fan_out,)).withColumnRenamed(fact_key, dim_key)
+        found = orphans(lines, wh.store.read("gold", dim), dim_key, wh.size(f"gold.{dim}"), wh.max_broadcast_bytes)
+        return found.select("order_number", F.lit(None).cast("long").alias(out))
+    return query
 
 
-def qg2_fact_without_product(wh) -> DataFrame:
-    """Fact lines whose product is missing from the dimension (see qg1)."""
-    lines = wh.lines(fan_out=("customer",))
-    out = orphans(lines.withColumnRenamed("sls_prd_key", "product_number"), wh.dim_products(), "product_number",
-                  wh.rows.get("gold.dim_products"), wh.max_broadcast_rows)
-    return out.select("order_number", F.lit(None).cast("long").alias("product_key"))
-
-
-def qg3_customer_key_dupes(wh) -> DataFrame:
-    return (wh.dim_customers().groupBy("customer_key").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter(F.col("duplicate_count") > 1))
-
-
-def qg4_gender_values(wh) -> DataFrame:
-    return wh.dim_customers().select(F.col("gender").alias("gender_values")).distinct()
-
-
-def qg5_country_values(wh) -> DataFrame:
-    return wh.dim_customers().select(F.col("country").alias("country_values")).distinct()
-
-
-def qg6_product_key_dupes(wh) -> DataFrame:
-    return (wh.dim_products().groupBy("product_key").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter(F.col("duplicate_count") > 1))
-
-
-def qg7_missing_start_date(wh) -> DataFrame:
-    return wh.dim_products().filter(F.col("start_date").isNull()).select("product_id", "product_number", "start_date")
-
-
-def qg8_missing_category(wh) -> DataFrame:
-    return wh.dim_products().filter(F.col("category").isNull()).select(
-        "product_id", "product_number", "category_id", "category")
-
-
-def qg9_null_fact_keys(wh) -> DataFrame:
-    f = wh.star(product_key=True, customer_key=True)
-    return f.filter(F.col("customer_key").isNull() | F.col("product_key").isNull()).select(
-        "order_number", "customer_key", "product_key")
-
-
-def qg10_bad_measures(wh) -> DataFrame:
-    f = wh.star()
-    bad = F.lit(False)
-    for c in ("sales_amount", "quantity", "price"):
-        bad = bad | F.col(c).isNull() | (F.col(c) <= 0)
-    return f.filter(bad).select("order_number", "sales_amount", "quantity", "price")
+# The accepted value lists of the profile checks.
+_GENDERS = frozenset({"Male", "Female", "n/a"})
+_MARITAL = frozenset({"Married", "Single", "n/a"})
+_LINES = frozenset({"Mountain", "Road", "Other Sales", "Touring", "n/a"})
+_YES_NO = frozenset({"Yes", "No"})
+
+RULES: dict[str, Rule] = {
+    # CRM customers
+    "qs1_customer_id_dupes": Rule("silver", "crm_cust_info", _same("cst_id"), repeats=True, null_key=True),
+    "qs2_customer_key_blanks": Rule("silver", "crm_cust_info", _same("cst_key"), _blank("cst_key")),
+    "qs3_name_blanks": Rule("silver", "crm_cust_info", _same("cst_firstname", "cst_lastname"), _blank("cst_firstname", "cst_lastname")),
+    "qs4_gender_values": Rule("silver", "crm_cust_info", {"gender_values": "cst_gndr"}, accepted=_GENDERS),
+    "qs5_marital_values": Rule("silver", "crm_cust_info", {"marital_status_values": "cst_marital_status"}, accepted=_MARITAL),
+    # CRM products
+    "qs6_product_id_dupes": Rule("silver", "crm_prd_info", _same("prd_id"), repeats=True, null_key=True),
+    "qs7_product_name_blanks": Rule("silver", "crm_prd_info", _same("prd_nm"), _blank("prd_nm")),
+    "qs8_product_cost": Rule("silver", "crm_prd_info", _same("prd_id", "prd_cost"), lambda wh: (F.col("prd_cost") < 0) | F.col("prd_cost").isNull()),
+    "qs9_product_lines": Rule("silver", "crm_prd_info", {"product_line_values": "prd_line"}, accepted=_LINES),
+    "qs10_product_dates": Rule("silver", "crm_prd_info", _same("prd_id", "prd_key", "prd_start_dt", "prd_end_dt"), lambda wh: F.col("prd_end_dt") < F.col("prd_start_dt")),
+    # sales; the raw due date is that of bronze
+    "qs11_raw_due_dates": Rule("bronze", "crm_sales_details", {"sls_due_dt": lambda: F.nullif(F.col("sls_due_dt"), F.lit(0))}, _raw_due_date),
+    "qs12_sales_date_order": Rule("silver", "crm_sales_details", _same("sls_ord_num", "sls_order_dt", "sls_ship_dt", "sls_due_dt"),
+                                  lambda wh: (F.col("sls_order_dt") > F.col("sls_ship_dt")) | (F.col("sls_order_dt") > F.col("sls_due_dt"))),
+    "qs13_sales_rule": Rule("silver", "crm_sales_details", _same("sls_sales", "sls_quantity", "sls_price"), _sales_rule, values=True, order=("sls_sales", "sls_quantity", "sls_price")),
+    # ERP
+    "qs14_birthdates": Rule("silver", "erp_cust_az12", _same("bdate"), _birthdate, values=True),
+    "qs15_erp_gender_values": Rule("silver", "erp_cust_az12", {"gender_values": "gen"}, accepted=_GENDERS),
+    "qs16_country_values": Rule("silver", "erp_loc_a101", {"country_values": "cntry"}, order=("country_values",)),
+    "qs17_category_blanks": Rule("silver", "erp_px_cat_g1v2", _same("id", "cat", "subcat", "maintenance"), _blank("cat", "subcat", "maintenance")),
+    "qs18_maintenance_values": Rule("silver", "erp_px_cat_g1v2", {"maintenance_values": "maintenance"}, accepted=_YES_NO),
+    # gold
+    "qg1_fact_without_customer": Rule("gold", "fact_sales", _same("order_number", "customer_key"), lambda wh: F.col("customer_key").isNull(),
+                                      query=_fact_without("dim_customers", "sls_cust_id", "customer_id", "customer_key", "product")),
+    "qg2_fact_without_product": Rule("gold", "fact_sales", _same("order_number", "product_key"), lambda wh: F.col("product_key").isNull(),
+                                     query=_fact_without("dim_products", "sls_prd_key", "product_number", "product_key", "customer")),
+    "qg3_customer_key_dupes": Rule("gold", "dim_customers", _same("customer_key"), repeats=True),
+    "qg4_gender_values": Rule("gold", "dim_customers", {"gender_values": "gender"}, accepted=_GENDERS),
+    "qg5_country_values": Rule("gold", "dim_customers", {"country_values": "country"}),
+    "qg6_product_key_dupes": Rule("gold", "dim_products", _same("product_key"), repeats=True),
+    "qg7_missing_start_date": Rule("gold", "dim_products", _same("product_id", "product_number", "start_date"), lambda wh: F.col("start_date").isNull()),
+    "qg8_missing_category": Rule("gold", "dim_products", _same("product_id", "product_number", "category_id", "category"), lambda wh: F.col("category").isNull()),
+    "qg9_null_fact_keys": Rule("gold", "fact_sales", _same("order_number", "customer_key", "product_key"), lambda wh: F.col("customer_key").isNull() | F.col("product_key").isNull()),
+    "qg10_bad_measures": Rule("gold", "fact_sales", _same("order_number", "sales_amount", "quantity", "price"), _bad_measure),
+    "qg11_date_order": Rule("gold", "fact_sales", _same("order_number", "order_date", "shipping_date", "due_date"),
+                            lambda wh: (F.col("shipping_date") < F.col("order_date")) | (F.col("due_date") < F.col("order_date"))),
+    # added to the source's checks: natural keys the fact joins on must be unique, or fact lines multiply
+    "qg12_customer_id_dupes": Rule("gold", "dim_customers", _same("customer_id"), repeats=True),
+    "qg13_product_number_dupes": Rule("gold", "dim_products", _same("product_number"), repeats=True),
+}
 
+ACCEPTED = {name: set(r.accepted) for name, r in RULES.items() if r.accepted}
+# Country profiles have no closed list; they are reported, not judged.
+PROFILE_ONLY = {name for name, r in RULES.items() if r.is_profile and not r.accepted}
 
-def qg11_date_order(wh) -> DataFrame:
-    f = wh.star()
-    return f.filter((F.col("shipping_date") < F.col("order_date")) | (F.col("due_date") < F.col("order_date"))
-                    ).select("order_number", "order_date", "shipping_date", "due_date")
 
+def _query(rule: Rule) -> Callable[..., DataFrame]:
+    return lambda wh: offending(wh, rule)
 
-def qg12_customer_id_dupes(wh) -> DataFrame:
-    """Natural keys the fact joins on must be unique in the dimension, or
-    fact lines multiply (added to the source's gold checks)."""
-    return (wh.dim_customers().groupBy("customer_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter(F.col("duplicate_count") > 1))
 
+CHECKS: dict[str, tuple[str, Callable]] = {name: ("silver" if name.startswith("qs") else "gold", _query(r)) for name, r in RULES.items()}
 
-def qg13_product_number_dupes(wh) -> DataFrame:
-    return (wh.dim_products().groupBy("product_number").agg(F.count(F.lit(1)).alias("duplicate_count"))
-            .filter(F.col("duplicate_count") > 1))
 
+# --- the summary ----------------------------------------------------------------------
+def _violation(wh, rule: Rule) -> Column:
+    """What a row violates: TRUE for a row rule; the combination of values where those count; else NULL."""
+    if rule.is_profile:
+        (column,) = _shown(rule)
+        value = F.struct(column)
+        return value if rule.accepted is None else F.when(column.isNull() | ~column.isin(sorted(rule.accepted)), value)
+    return F.when(rule.where(wh), F.struct(*_shown(rule)) if rule.values else F.lit(True))
 
-# The accepted value lists of the profile checks.
-ACCEPTED = {
-    "qs4_gender_values": {"Male", "Female", "n/a"},
-    "qs5_marital_values": {"Married", "Single", "n/a"},
-    "qs9_product_lines": {"Mountain", "Road", "Other Sales", "Touring", "n/a"},
-    "qs15_erp_gender_values": {"Male", "Female", "n/a"},
-    "qs18_maintenance_values": {"Yes", "No"},
-    "qg4_gender_values": {"Male", "Female", "n/a"},
-}
-
-CHECKS: dict[str, tuple[str, Callable]] = {
-    **{name: ("silver", fn) for name, fn in [
-        ("qs1_customer_id_dupes", qs1_customer_id_dupes), ("qs2_customer_key_blanks", qs2_customer_key_blanks),
-        ("qs3_name_blanks", qs3_name_blanks), ("qs4_gender_values", qs4_gender_values),
-        ("qs5_marital_values", qs5_marital_values), ("qs6_product_id_dupes", qs6_product_id_dupes),
-        ("qs7_product_name_blanks", qs7_product_name_blanks), ("qs8_product_cost", qs8_product_cost),
-        ("qs9_product_lines", qs9_product_lines), ("qs10_product_dates", qs10_product_dates),
-        ("qs11_raw_due_dates", qs11_raw_due_dates), ("qs12_sales_date_order", qs12_sales_date_order),
-        ("qs13_sales_rule", qs13_sales_rule), ("qs14_birthdates", qs14_birthdates),
-        ("qs15_erp_gender_values", qs15_erp_gender_values), ("qs16_country_values", qs16_country_values),
-        ("qs17_category_blanks", qs17_category_blanks), ("qs18_maintenance_values", qs18_maintenance_values),
-    ]},
-    **{name: ("gold", fn) for name, fn in [
-        ("qg1_fact_without_customer", qg1_fact_without_customer),
-        ("qg2_fact_without_product", qg2_fact_without_product),
-        ("qg3_customer_key_dupes", qg3_customer_key_dupes), ("qg4_gender_values", qg4_gender_values),
-        ("qg5_country_values", qg5_country_values), ("qg6_product_key_dupes", qg6_product_key_dupes),
-        ("qg7_missing_start_date", qg7_missing_start_date), ("qg8_missing_category", qg8_missing_category),
-        ("qg9_null_fact_keys", qg9_null_fact_keys), ("qg10_bad_measures", qg10_bad_measures),
-        ("qg11_date_order", qg11_date_order), ("qg12_customer_id_dupes", qg12_customer_id_dupes),
-        ("qg13_product_number_dupes", qg13_product_number_dupes),
-    ]},
-}
-
-# Country profiles have no closed list; they are reported, not judged.
-PROFILE_ONLY = {"qs16_country_values", "qg5_country_values"}
 
+def _table_counts(wh, layer: str, table: str, rules: dict[str, Rule]) -> DataFrame:
+    """One row: the rows of a table and the violations of each of its rules, from one pass over it.
 
-def _verdict(layer: str, check: str, kind: str, counted: DataFrame, status: F.Column) -> DataFrame:
-    return counted.select(F.lit(layer).alias("layer"), F.lit(check).alias("check"), F.lit(kind).alias("kind"),
-                          status.alias("status"), F.col("n").cast("long").alias("violations"))
+    Rows are first grouped by the combinations that violate a rule of values -- few, as conforming rows have none -- with
+    the row rules added up; the distinct combinations of each rule are counted on the groups."""
+    df = _source(wh, Rule(layer, table, {}), all_columns=True)
+    by_value = {n: r for n, r in rules.items() if r.values or r.is_profile}
+    by_row = {n: r for n, r in rules.items() if n not in by_value}
+    sums = [F.count(F.lit(1)).alias("rows"), *(F.count(_violation(wh, r)).alias(n) for n, r in by_row.items())]
+    if not by_value:
+        return df.agg(*sums)
+    groups = df.groupBy(*(_violation(wh, r).alias(n) for n, r in by_value.items())).agg(*sums)
+    return groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in by_row),
+                      *(F.countDistinct(n).alias(n) for n in by_value))
 
 
-def _check(wh, name: str, layer: str, fn: Callable) -> DataFrame:
-    """One summary row for one check, as a lazy one-row aggregate."""
-    df = fn(wh)
-    if name in ACCEPTED:
-        v = F.col(df.columns[0])
-        counted = df.filter(v.isNull() | ~v.isin(sorted(ACCEPTED[name]))).agg(F.count(F.lit(1)).alias("n"))
-        return _verdict(layer, name, "profile", counted, F.when(F.col("n") == 0, "ok").otherwise("failed"))
-    counted = df.agg(F.count(F.lit(1)).alias("n"))
-    if name in PROFILE_ONLY:
-        return _verdict(layer, name, "profile", counted, F.lit("info"))
-    return _verdict(layer, name, "rule", counted, F.when(F.col("n") == 0, "ok").otherwise("failed"))
+def _verdicts(counts: DataFrame, columns: list[tuple[str, str, str, str]]) -> DataFrame:
+    """One row of counts -> one row per check.  ``columns``: (layer, check, kind, count)."""
+    stacked = ", ".join(f"'{layer}', '{check}', '{kind}', CAST(`{n}` AS BIGINT)" for layer, check, kind, n in columns)
+    rows = counts.selectExpr(f"stack({len(columns)}, {stacked}) AS (layer, check, kind, violations)")
+    status = F.when(F.col("check").isin(sorted(PROFILE_ONLY)), "info").when(F.col("violations") == 0, "ok").otherwise("failed")
+    return rows.select("layer", "check", "kind", status.alias("status"), "violations")
 
 
 def summary(wh) -> DataFrame:
     """One row per check: (layer, check, kind, status, violations).
 
-    A single lazy plan -- one small aggregate per check, unioned -- so Spark
-    schedules every check in one job graph and only the summary rows reach
-    the driver when it is shown or collected.  Structure checks compare
+    A single lazy plan -- one aggregate per table and one per unique key, unioned -- so Spark
+    schedules all of it in one job graph.  Structure checks compare
     declared and actual schemas (metadata, no data is read).
     """
-    parts = [_check(wh, name, layer, fn) for name, (layer, fn) in CHECKS.items()]
-    counted = [("bronze", n, wh.bronze(n)) for n in BRONZE] + \
-              [("silver", n, wh.silver(n)) for n in SILVER] + \
-              [("gold", "dim_customers", wh.dim_customers()), ("gold", "dim_products", wh.dim_products()),
-               ("gold", "fact_sales", wh.fact_sales())]
-    for layer, name, frame in counted:
-        n = frame.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.when(F.col("rows") > 0, 0).otherwise(1).alias("n"))
-        parts.append(_verdict(layer, f"row_count:{layer}.{name}", "rule", n,
-                              F.when(F.col("n") == 0, "ok").otherwise("failed")))
-    structure = []
-    for layer, frames, schemas in [
-        ("bronze", {n: wh.bronze(n) for n in BRONZE}, BRONZE),
-        ("silver", {n: wh.store.read("silver", n) for n in SILVER}, {n: with_audit(s) for n, s in SILVER.items()}),
-        ("gold", {"dim_customers": wh.dim_customers(), "dim_products": wh.dim_products(),
-                  "fact_sales": wh.fact_sales()}, GOLD),
-    ]:
-        for n, df in frames.items():
-            diffs = structure_differences(df, schemas[n])
-            structure.append((layer, f"structure:{layer}.{n}", "structure", "ok" if not diffs else "failed",
-                              len(diffs)))
-    schema = "layer string, check string, kind string, status string, violations long"
-    out = wh.spark.createDataFrame(structure, schema)
-    for part in parts:
-        out = out.unionByName(part)
+    out = wh.spark.createDataFrame(_structure(wh), "layer string, check string, kind string, status string, violations long")
+    tables = [("bronze", n) for n in BRONZE] + [("silver", n) for n in SILVER] + [("gold", n) for n in ("dim_customers", "dim_products", "fact_sales")]
+    for layer, table in tables:
+        rules = {n: r for n, r in RULES.items() if (r.layer, r.table) == (layer, table)}
+        plain = {n: r for n, r in rules.items() if not r.repeats}
+        counts = _table_counts(wh, layer, table, plain).withColumn("empty", (F.col("rows") == 0).cast("int"))
+        out = out.unionByName(_verdicts(counts, [(layer, f"row_count:{layer}.{table}", "rule", "empty"), *((CHECKS[n][0], n, r.kind, n) for n, r in plain.items())]))
+        for n, r in rules.items():
+            if r.repeats:
+                out = out.unionByName(_verdicts(offending(wh, r).agg(F.count(F.lit(1)).alias(n)), [(CHECKS[n][0], n, r.kind, n)]))
     return out
+
+
+def _structure(wh) -> list[tuple]:
+    from strata.functions import SOURCE_COLLATION
+
+    collation = SOURCE_COLLATION if wh.source_collation else None
+    expected = [("bronze", BRONZE, wh.bronze, lambda s: s),
+                ("silver", SILVER, lambda n: wh.store.read("silver", n), lambda s: with_audit(collated(s, collation))),
+                ("gold", {n: GOLD[n] for n in ("dim_customers", "dim_products", "fact_sales")}, lambda n: wh.store.read("gold", n), lambda s: collated(s, collation))]
+    rows = []
+    for layer, schemas, frame, declared in expected:
+        for n, schema in schemas.items():
+            diffs = structure_differences(frame(n), declared(schema))
+            rows.append((layer, f"structure:{layer}.{n}", "structure", "ok" if not diffs else "failed", len(diffs)))
+    return rows

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strata.functions import as_of_date, decode, yyyymmdd_to_date
 from strata.operators.keys import keep_latest
 from strata.operators.windows import next_start
-from strata.schemas import SILVER, conform
+from strata.schemas import SILVER, collated, conform
 
 # Code tables of the source system.
 MARITAL_CODES = [(["S"], "Single"), (["M"], "Married")]
@@ -24,7 +24,7 @@ GENDER_CODES = [(["F"], "Female"), (["M"], "Male")]
 PRODUCT_LINE_CODES = [(["M"], "Mountain"), (["R"], "Road"), (["S"], "Other Sales"), (["T"], "Touring")]
 ERP_GENDER_CODES = [(["F", "FEMALE"], "Female"), (["M", "MALE"], "Male")]
 ERP_CUSTOMER_PREFIX = "NAS"
-COUNTRY_NAMES = {"DE": "Germany", "US": "United States", "USA": "United States"}
+COUNTRY_CODES = [(["DE"], "Germany"), (["US", "USA"], "United States")]
 UNKNOWN = "n/a"
 
 
@@ -123,9 +123,9 @@ def silver_erp_customers(bronze: DataFrame, as_of: date | str | None = None) ->
 def silver_locations(bronze: DataFrame) -> DataFrame:
     """T5: remove hyphens from the key; expand country codes; blank -> n/a."""
     country = F.trim(F.col("cntry"))
-    cleaned = F.when(country == "DE", F.lit(COUNTRY_NAMES["DE"]))
-    cleaned = cleaned.when(country.isin("US", "USA"), F.lit(COUNTRY_NAMES["US"]))
-    cleaned = cleaned.when((country == "") | F.col("cntry").isNull(), F.lit(UNKNOWN)).otherwise(country)
+    blank = (country == "") | country.isNull()
+    known = [(country.isin(codes), F.lit(name)) for codes, name in COUNTRY_CODES]
+    cleaned = F.coalesce(*[F.when(cond, name) for cond, name in [*known, (blank, F.lit(UNKNOWN))]], country)
     out = bronze.select(F.replace(F.col("cid"), F.lit("-"), F.lit("")).alias("cid"), cleaned.alias("cntry"))
     return _conform(out, "erp_loc_a101")
 
@@ -145,6 +145,9 @@ TRANSFORMS = {
 }
 
 
-def transform(table: str, bronze: DataFrame, as_of: date | str | None = None) -> DataFrame:
+def transform(table: str, bronze: DataFrame, as_of: date | str | None = None, collation: str | None = None) -> DataFrame:
+    """The silver rows of a bronze table.  The rules themselves compare text as bytes; with ``collation`` the
+    text columns they give carry it, and so do the joins and groupings of everything built on them."""
     fn = TRANSFORMS[table]
-    return fn(bronze, as_of) if table == "erp_cust_az12" else fn(bronze)
+    out = fn(bronze, as_of) if table == "erp_cust_az12" else fn(bronze)
+    return conform(out, collated(SILVER[table], collation)) if collation else out

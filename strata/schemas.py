@@ -83,6 +83,14 @@ def conform(df, schema: T.StructType):
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def collated(schema: T.StructType, collation: str | None) -> T.StructType:
+    """The schema with its text columns under ``collation``, so that joins, grouping and DISTINCT compare as it does."""
+    if collation is None:
+        return schema
+    text = T.StringType(collation)
+    return T.StructType([T.StructField(f.name, text if isinstance(f.dataType, T.StringType) else f.dataType, True) for f in schema.fields])
+
+
 def with_audit(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(AUDIT_COLUMN, TS, True)])
 

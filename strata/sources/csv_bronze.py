@@ -4,19 +4,21 @@ The extracts are headered, comma separated, CRLF terminated and carry no
 quoting; an empty field is NULL.  They are read against the declared schema
 (never inferred).  A row whose fields do not convert makes the load fail, as
 the source's bulk insert does; ``on_bad_rows="null"`` keeps such rows with
-NULLs in the fields that did not convert, and ``count_bad_rows`` reports how
-many there were.
+NULLs in the fields that did not convert.  With ``keep_corrupt`` every row also carries its text if it is
+such a row, so one parse gives the good rows, the bad ones and their number.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.schemas import BRONZE
+from strata.schemas import BRONZE, SOURCE_FILES
 
-_CORRUPT = "_corrupt_record"
+CORRUPT = "_corrupt_record"
 
 
 def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str = "fail",
@@ -25,7 +27,7 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str
         raise ValueError("on_bad_rows must be 'fail' or 'null'")
     schema = BRONZE[table]
     if keep_corrupt:
-        schema = T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType(), True)])
+        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     return (
         spark.read.schema(schema)
         .option("header", "true")
@@ -38,16 +40,26 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str
         .option("dateFormat", "yyyy-MM-dd")
         .option("timestampFormat", "yyyy-MM-dd[ HH:mm:ss[.SSS]]")
         .option("mode", "FAILFAST" if on_bad_rows == "fail" else "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
 
 
-def count_bad_rows(spark: SparkSession, path: str, table: str) -> int:
-    """Rows whose fields did not convert (kept with NULLs in ``null`` mode).
-    One more pass over the file.  Spark refuses a query that reads the
-    corrupt-record column alone, so the count is over the parsed rows that
-    carry one."""
-    df = read_bronze_csv(spark, path, table, on_bad_rows="null", keep_corrupt=True)
-    parsed = F.struct(*[F.col(f.name) for f in BRONZE[table].fields])
-    return int(df.agg(F.count(F.when(F.col(_CORRUPT).isNotNull(), parsed))).first()[0])
+def write_extracts(frames: dict[str, DataFrame], folder: str) -> None:
+    """Write frames as extracts in the source's format (each a folder of CSV files)."""
+
+    def one(name: str) -> None:
+        (frames[name].write.mode("overwrite")
+         .option("header", "true").option("sep", ",").option("quote", "").option("escape", "")
+         .option("nullValue", "").option("emptyValue", "").option("lineSep", "\r\n")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+         .option("dateFormat", "yyyy-MM-dd").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+         .csv(f"{folder.rstrip('/')}/{SOURCE_FILES[name]}"))
+
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        list(pool.map(one, frames))
+
+
+def is_bad():
+    """Rows of a scan with ``keep_corrupt`` whose fields did not all convert."""
+    return F.col(CORRUPT).isNotNull()

@@ -3,7 +3,7 @@
 The warehouse normally lands six CSV files (see ``csv_bronze``).  For tests
 and benchmarks the same six bronze frames are derived from the TPC-H-like
 Parquet tables, with the kinds of dirt the silver layer exists to clean:
-padded names, mixed-case codes, older duplicate versions, rows without an id,
+padded names, keys and categories, mixed-case codes, older duplicate versions, versions of one day, rows without an id or a start,
 impossible dates, inconsistent amounts, prefixed and hyphenated ERP keys.
 
 Each frame is one SQL statement written in the subset that Spark SQL and
@@ -21,9 +21,12 @@ from strata.schemas import BRONZE
 
 DRIVER_TABLES = ("customer", "nation", "part", "orders", "lineitem")
 
-# Customer natural key: 'AW' + id padded to ten digits (wide enough for any INT).
-_CUST_KEY = "'AW' || lpad(CAST(c_custkey + 11000 AS STRING), 10, '0')"
+# The extracts' ids are INT: ids of very large driver tables go round.
+_ID_RANGE = 2_000_000_000
+_CUST_ID = f"CAST((c_custkey + 11000) % {_ID_RANGE} AS INT)"
+# Customer natural key: 'AW' + id padded to ten digits.
 _CUST_DIGITS = "lpad(CAST(c_custkey + 11000 AS STRING), 10, '0')"
+_CUST_KEY = f"'AW' || {_CUST_DIGITS}"
 
 # Product natural key: two letters of the part type, the brand number, then
 # 'P' + part key; the first five characters are the category id.
@@ -34,17 +37,24 @@ _VERSIONS = "CASE p_partkey % 5 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 1 END"
 def _product_version(v: int) -> str:
     """Version ``v`` of each part's product.  Every part has version 0; the
     WHERE only decides which parts also get a newer version 1 (and 2), so
-    parts end up with one, two or three versions and none is left out."""
+    parts end up with one, two or three versions and none is left out.  A few have lost their id, their cost or their start,
+    cost less than nothing, start two versions on one day, or repeat a version whole."""
     where = {0: "", 1: "WHERE p_partkey % 5 IN (3, 4)", 2: "WHERE p_partkey % 5 = 4"}[v]
+    # the second version of these starts with the first; the third is the second again
+    start = {0: "CASE WHEN p_partkey % 85 = 10 THEN CAST(NULL AS TIMESTAMP) ELSE TIMESTAMP '2011-07-01 00:00:00' END",
+             1: "CASE WHEN p_partkey % 60 = 14 THEN TIMESTAMP '2011-07-01 00:00:00' ELSE TIMESTAMP '2012-07-01 00:00:00' END",
+             2: "CASE WHEN p_partkey % 70 = 19 THEN TIMESTAMP '2012-07-01 00:00:00' ELSE TIMESTAMP '2013-07-01 00:00:00' END"}[v]
+    like = "CASE WHEN p_partkey % 70 = 19 THEN 1 ELSE 2 END" if v == 2 else str(v)
     return f"""
-SELECT CAST(p_partkey * 3 + {v + 1} AS INT) AS prd_id,
+SELECT CASE WHEN p_partkey % 95 = 8 THEN CAST(NULL AS INT) ELSE CAST((p_partkey * 3 + {like} + 1) % {_ID_RANGE} AS INT) END AS prd_id,
        {_CAT_CODE} || '-P' || CAST(p_partkey AS STRING) AS prd_key,
        CASE WHEN p_partkey % 250 = 9 THEN p_name || ' ' ELSE p_name END AS prd_nm,
-       CASE WHEN p_partkey % 50 = 0 THEN CAST(NULL AS INT) ELSE CAST(p_size * 25 + {5 * v} AS INT) END AS prd_cost,
+       CASE WHEN p_partkey % 50 = 0 THEN CAST(NULL AS INT) WHEN p_partkey % 75 = 7 THEN -p_size
+            ELSE CAST(p_size * 25 + 5 * ({like}) AS INT) END AS prd_cost,
        CASE p_size % 6 WHEN 0 THEN 'M ' WHEN 1 THEN 'R ' WHEN 2 THEN 'S ' WHEN 3 THEN 'T '
                        WHEN 4 THEN CAST(NULL AS STRING) ELSE 'x' END AS prd_line,
-       TIMESTAMP '{2011 + v}-07-01 00:00:00' AS prd_start_dt,
-       CASE WHEN {_VERSIONS} = {v + 1} THEN CAST(NULL AS TIMESTAMP)
+       {start} AS prd_start_dt,
+       CASE WHEN {_VERSIONS} = {like} + 1 THEN CAST(NULL AS TIMESTAMP)
             ELSE TIMESTAMP '{2007 + v}-12-28 00:00:00' END AS prd_end_dt
 FROM {{part}} {where}"""
 
@@ -57,8 +67,8 @@ STANDIN_SQL: dict[str, str] = {
     # Newest version of every customer, plus an older version of each (the
     # older copy of a few has lost its id).
     "crm_cust_info": f"""
-SELECT CAST(c_custkey + 11000 AS INT) AS cst_id,
-       {_CUST_KEY} AS cst_key,
+SELECT {_CUST_ID} AS cst_id,
+       CASE WHEN c_custkey % 61 = 9 THEN {_CUST_KEY} || ' ' ELSE {_CUST_KEY} END AS cst_key,
        CASE WHEN c_custkey % 7 = 3 THEN '  ' || substr(c_name, 1, 8) || ' ' ELSE substr(c_name, 1, 8) END AS cst_firstname,
        CASE WHEN c_custkey % 97 = 5 THEN CAST(NULL AS STRING)
             WHEN c_custkey % 11 = 4 THEN substr(c_name, 10) || '  ' ELSE substr(c_name, 10) END AS cst_lastname,
@@ -67,7 +77,7 @@ SELECT CAST(c_custkey + 11000 AS INT) AS cst_id,
        DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS cst_create_date
 FROM {{customer}}
 UNION ALL
-SELECT CASE WHEN c_custkey % 500 = 7 THEN CAST(NULL AS INT) ELSE CAST(c_custkey + 11000 AS INT) END,
+SELECT CASE WHEN c_custkey % 500 = 7 THEN CAST(NULL AS INT) ELSE {_CUST_ID} END,
        {_CUST_KEY},
        substr(c_name, 1, 8),
        substr(c_name, 10),
@@ -79,15 +89,16 @@ FROM {{customer}}""",
     "crm_sales_details": f"""
 SELECT 'SO' || CAST(l_orderkey AS STRING) AS sls_ord_num,
        CASE WHEN l_orderkey % 200 = 11 THEN 'X' ELSE 'P' END || CAST(l_partkey AS STRING) AS sls_prd_key,
-       CASE WHEN l_orderkey % 300 = 17 THEN CAST(-1 - o_custkey AS INT)
-            ELSE CAST(o_custkey + 11000 AS INT) END AS sls_cust_id,
+       CASE WHEN l_orderkey % 300 = 17 THEN CAST(-1 - o_custkey % {_ID_RANGE} AS INT)
+            ELSE CAST((o_custkey + 11000) % {_ID_RANGE} AS INT) END AS sls_cust_id,
        CASE l_orderkey % 100 WHEN 1 THEN 0
             WHEN 2 THEN CAST(year(od) * 10 + month(od) AS INT)
             ELSE {_int_date('od')} END AS sls_order_dt,
        CASE WHEN (l_orderkey + l_linenumber) % 150 = 4
             THEN CAST(year(sd) * 10000 + 1300 + day(sd) AS INT)
             ELSE {_int_date('sd')} END AS sls_ship_dt,
-       {_int_date('dd')} AS sls_due_dt,
+       CASE l_orderkey % 350 WHEN 33 THEN 0 WHEN 34 THEN CAST(year(dd) AS INT) WHEN 35 THEN 30000101
+            ELSE {_int_date('dd')} END AS sls_due_dt,
        CASE (l_orderkey + 7 * l_linenumber) % 40 WHEN 6 THEN CAST(NULL AS INT) WHEN 7 THEN 0
             WHEN 8 THEN -(q * p0) WHEN 9 THEN q * p0 + 1 ELSE q * p0 END AS sls_sales,
        q AS sls_quantity,
@@ -128,7 +139,7 @@ FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey""",
 SELECT DISTINCT
        CASE WHEN p_type = 'STANDARD' THEN 'SD' ELSE upper(substr(p_type, 1, 2)) END
          || '_' || lpad(substr(p_brand, 7), 2, '0') AS id,
-       p_type AS cat,
+       CASE WHEN p_brand = 'Brand#7' THEN p_type || ' ' ELSE p_type END AS cat,
        p_brand AS subcat,
        CASE WHEN CAST(substr(p_brand, 7) AS INT) % 3 = 0 THEN 'No' ELSE 'Yes' END AS maintenance
 FROM {part}""",

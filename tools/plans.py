@@ -15,6 +15,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from strata.oracle import AS_OF  # noqa: E402
+from strata.operators.joins import MAX_BROADCAST_BYTES  # noqa: E402
 from strata.plans.registry import QUERIES  # noqa: E402
 from strata.plans.warehouse import Warehouse  # noqa: E402
 from strata.session import local_session  # noqa: E402
@@ -43,7 +44,7 @@ def main() -> None:
            "Expression ids and file paths are elided.", ""]
     for title, large in (("Dimensions small enough to broadcast", False),
                          ("Dimensions treated as too large to broadcast", True)):
-        wh.max_broadcast_rows = 0 if large else 2_000_000
+        wh.max_broadcast_bytes = 0 if large else MAX_BROADCAST_BYTES
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if large else str(10 * 1024 * 1024))
         out += [f"## {title}", ""]
         for name in HEADLINE:
