@@ -17,9 +17,7 @@ sequences of a power of two.  So no id is padding.  A partition of more than twi
 Document frequencies of tokens are counted over all left-overs; the table has one
 entry per vocabulary id, which bounds the broadcast.
 
-Words are encoded one by one with a bounded cache: this pre-tokeniser never joins
-a character and the space or line feed behind it.  Texts with other white space or
-runs of it are encoded whole.
+Texts are encoded whole (``tokens``).
 
 Defined results.  Null or empty text: the single id 0.  Null doc_id: kept, as null.
 Repeated rows are packed separately.  Very long texts: cut every ``length`` ids.
@@ -29,7 +27,6 @@ Empty table: no pieces.  Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, store, table
+from .tokens import whole_text
 
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,88 +43,8 @@ VOCABULARY_SIZE = 50257
 DENSE = 8
 SEEDS, SEED_SCORES = 64, 4_000_000
 SHARD_TOKENS = 1_500_000
-CACHE_WORDS = 600_000
 RANKS = "byte_bpe_50k.tiktoken"
 K1, B = 1.2, 0.75
-# Fixed value: how this vocabulary's pre-tokeniser splits a text.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# White space other than space and line feed.
-RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-RARE_WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-
-
-class Encoder:
-    """Token ids as 16-bit bytes; words come from a cache that empties itself before it outgrows its bound.
-
-    ``ranks``: the same vocabulary as tiktoken ranks.  With it, new words of letters below U+0250 and ASCII
-    are encoded by tiktoken, which gives the same ids faster; all else by the tokenizer of ``path``.
-    """
-
-    def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.fast = None
-        if ranks:
-            import base64
-
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint16).tobytes()
-
-    def plain(self, text: str) -> bool:
-        """Whether its words can be encoded one by one."""
-        if "  " in text or " \n" in text or "\n\n" in text or text[-1:] == " " or any(c in text for c in RARE_SPACE):
-            return False
-        return text.isascii() or not any(c in text for c in RARE_WIDE_SPACE)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]
-        need = set()
-        for words in split:
-            if words:
-                need.update(words[1:])
-        new = need.difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = need
-        new = list(new)
-        if self.fast:
-            slow = []
-            for word in new:
-                if word.isascii() or max(word) < "\u0250":
-                    self.words[word] = array("H", self.fast(word if word[:1] == "\n" else " " + word)).tobytes()
-                else:
-                    slow.append(word)
-            new = slow
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            # a word stands behind a space, unless it begins with a line feed
-            for word, e in zip(part, self.model.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in part], add_special_tokens=False)):
-                self.words[word] = array("H", e.ids).tobytes()
-        get = self.words.__getitem__
-        return [self.whole(t) if words is None else (self.whole(words[0]) if words[0] else b"") + b"".join(map(get, words[1:])) for t, words in zip(texts, split)]
-
-
-_ENCODERS: dict[str, Encoder] = {}  # a worker's, kept from task to task
-
-
-def encoder(path: str, ranks: str | None) -> Encoder:
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path, ranks)
-    return _ENCODERS[path]
-
-
 _CUT = "doc_id long, start long, doc_tokens long, sequence_id long, ids binary"
 _CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
 
@@ -135,11 +53,11 @@ def cut(docs: DataFrame, path: str, length: int, ranks: str | None = None) -> Da
     """Full runs of ids with their sequence, and left-overs without one (ids in 16 bits)."""
 
     def work(batches):
-        model, number = encoder(path, ranks), TaskContext.get().partitionId() << 34
+        model, number = whole_text(path, ranks), TaskContext.get().partitionId() << 34
         for b in slices(batches, 2 << 20):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), model.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += b"\0\0"
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = model.encode(text or "").tobytes() + b"\0\0"
                 n = len(ids) // 2
                 full = n // length * length
                 for start in range(0, full, length):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import strata.llm.queries as registered
-from strata.llm import decontaminate, elias_fano, fertility, html_text, jaccard_join, line_dedup, lm_scoring, packing, tool_calls, url_filters, warc
+from strata.llm import decontaminate, elias_fano, fertility, html_text, jaccard_join, line_dedup, lm_scoring, packing, tokens, tool_calls, url_filters, warc
 
 DATA = "/root/testdata/sf0.001"
 has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
@@ -107,11 +107,11 @@ def test_url_verdicts(spark):
 def test_packing_round_trip(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     path = P.path(packing.VOCABULARY)
-    plain, fast = packing.Encoder(path), packing.Encoder(path, P.path(packing.RANKS))
+    plain, fast = tokens.WholeText(path, None), tokens.WholeText(path, P.path(packing.RANKS))
     texts = [t or "" for t in odd_texts()]
     want = [plain.model.encode(t, add_special_tokens=False).ids for t in texts]
     for model in (plain, fast):
-        assert [np.frombuffer(b, np.uint16).tolist() for b in model.encode(texts)] == want
+        assert [model.encode(t).tolist() for t in texts] == want
     pieces = packing.pack(docs, path, length=128, ranks=P.path(packing.RANKS)).collect()
     by, seq = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
@@ -191,6 +191,87 @@ def test_line_dedup_short_passages(spark):
     assert [got[len(first) + i] for i in range(len(second))] == want
 
 
+def runs_that_go(texts, min_chars=60):
+    """Per document the lines that belong to a run of two lines or more, ``min_chars`` long, standing at an earlier place too."""
+    places = collections.defaultdict(list)
+    for d, t in enumerate(texts):
+        lines = t.split("\n")
+        for i in range(len(lines) - 1):
+            k, size = 0, 0
+            while i + k < len(lines) and (k < 2 or size < min_chars):
+                size += len(lines[i + k].strip())
+                k += 1
+            if k >= 2 and size >= min_chars:
+                places[tuple(lines[i : i + k])].append((d, i))
+    gone = collections.defaultdict(set)
+    for run, at in places.items():
+        for d, i in at[1:]:
+            gone[d].update(range(i, i + len(run)))
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)]
+
+
+def test_line_dedup_equals_all_runs(spark):
+    """Borders by content against every run of lines, on texts put together from few lines."""
+    rng = np.random.default_rng(12)
+    pool = [prose(k, int(rng.integers(7, 16))) for k in range(60)]
+    texts = []
+    for _ in range(150):
+        own = [prose(int(rng.integers(1 << 30)), 9) for _ in range(int(rng.integers(1, 5)))]
+        at = int(rng.integers(0, 50))
+        texts.append("\n".join(own + pool[at : at + int(rng.integers(0, 8))] + own[::-1] + [str(x) for x in rng.choice(pool, 3)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.text for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()]
+    assert got == runs_that_go(texts) and got != texts
+
+
+def test_line_dedup_borders_shift_with_the_content(spark):
+    """Borders follow the lines: an insertion moves those behind it and changes none; thin lines get one in three at least."""
+    from pyspark.sql import functions as F
+
+    def borders(lines):
+        df = spark.createDataFrame([(lines,)], "l array<string>")
+        used = F.transform("l", lambda x, i: i)
+        sizes = F.transform("l", lambda x: F.length(x))
+        return df.select(line_dedup.borders_of(F.col("l"), used, sizes, 24)).first()[0]
+
+    thin = [f"w{k * k}" for k in range(90)]
+    plain, shifted = borders(thin), borders(["new", "lines"] + thin)
+    assert {b + 2 for b in plain if b > 4} == {b for b in shifted if b > 6}
+    assert max(b - a for a, b in zip(plain, plain[1:])) <= 4 and len(plain) < 70
+    assert borders(["a line of some thirty characters"] * 4) == [0, 1, 2, 3, 4]
+
+
+def test_line_dedup_thin_runs_and_taken_names(spark):
+    rng = np.random.default_rng(13)
+    thin = [f"x{int(v)}" for v in rng.integers(0, 10**6, 300)]  # 300 lines of a few characters, blank ones between
+    run = "\n\n".join(thin)
+    texts = [prose(1, 30) + "\n" + run + "\n" + prose(2, 30), prose(3, 30) + "\n" + run + "\n" + prose(4, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "7 AS n_lines", "8 AS N_removed_lines")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "N_removed_lines", "n_lines_", "n_removed_lines_"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == texts[0] and (got[0].n_lines, got[0]["n_lines_"], got[0]["n_removed_lines_"]) == (7, 601, 0)
+    assert got[1].text == prose(3, 30) + "\n" + prose(4, 30) and got[1]["n_removed_lines_"] == 599
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    from strata.llm.components import components
+
+    rng = np.random.default_rng(14)
+    links = [(int(a), int(a) + 1) for a in range(1000, 1200)] + [(5, int(b)) for b in range(300, 360)] + [(7, 8), (8, 9), (9, 7), (7, 7), (40, 40)]
+    links += [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (500, 2))]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    rng.shuffle(links)
+    got = {r.node: r.root for r in components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_lm_scores(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [(i, WORDS.findall(lower(t)) + [None]) for i, t in rows]
