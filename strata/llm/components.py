@@ -11,22 +11,33 @@ from .common import remove, store
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the least node reachable.
 
-    Each round takes the least label among the neighbours and then the label's own label,
-    so labels run down a path by doubling steps; rounds stop when nothing changes.
+    Rounds of hooking and contraction: every node points at its least smaller neighbour, pointers are followed to
+    their ends by doubling steps, and edges are renamed to the ends and those inside a tree dropped.  A node
+    that isn't the least of its neighbours goes in each round, so edges shrink from round to round and the work is in
+    proportion to the first round's.
     """
-    both = store(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        lower = labels.join(near, "node").select("node", F.least("root", "least").alias("low"), "root")
-        lower = store(lower, "labels-low")
-        jump = lower.join(lower.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left")
-        new = store(jump.select("node", F.least("low", F.coalesce("lower", "low")).alias("new"), F.col("root").alias("old")), "labels")
-        changed = new.filter("new <> old").limit(1).count()
-        remove(labels)
-        remove(lower)
-        labels = new.select("node", F.col("new").alias("root"))
-        labels.stored_at = new.stored_at
-        if not changed:
-            remove(both)
-            return labels
+    edges = store(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
+    labels = store(edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().select("node", F.col("node").alias("root")), "labels")
+    while edges.limit(1).count():
+        up = store(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")), "labels-up")
+        while True:  # a pointer at a pointer takes over its end
+            further = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("over")), "up", "left")
+            new = store(further.select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "labels-up")
+            moved = new.filter("moved").limit(1).count()
+            remove(up)
+            up = new.select("node", "up")
+            up.stored_at = new.stored_at
+            if not moved:
+                break
+
+        def renamed(df: DataFrame, column: str) -> DataFrame:
+            return df.join(up.select(F.col("node").alias(column), F.col("up").alias("_end")), column, "left").withColumn(column, F.coalesce("_end", column)).drop("_end")
+
+        next_labels = store(renamed(labels, "root").select("node", "root"), "labels")
+        next_edges = renamed(renamed(edges, "lo"), "hi").filter("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
+        next_edges = store(next_edges, "links")
+        for old in (edges, labels, up):
+            remove(old)
+        edges, labels = next_edges, next_labels
+    remove(edges)
+    return labels
