@@ -17,7 +17,7 @@ from strata.llm.decontaminate import leaks
 from strata.llm.fertility import VOCABULARY as PIECES
 from strata.llm.fertility import fertility_rules
 from strata.llm.jaccard_join import jaccard_classes
-from strata.llm.line_dedup import dedup_lines
+from strata.llm.line_dedup import dedup_lines, free_name
 from strata.llm.packing import RANKS
 from strata.llm.packing import VOCABULARY as BYTES
 from strata.llm.packing import pack, pieces_digest
@@ -33,8 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go, and documents of which nothing is left."""
-    out = dedup_lines(docs).filter("n_removed_lines = 0 OR trim(text) <> ''")
-    return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    removed = free_name("n_removed_lines", docs.columns)
+    out = dedup_lines(docs).filter((F.col(removed) == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
