@@ -3,10 +3,11 @@
 ``link_tool_calls(calls, results, schemas)``
 
 * calls: conv_id, call_id, depends_on (array of call ids, may be null), tool, arguments (JSON text)
-* results: call_id, content
+* results: conv_id, call_id, content
 * schemas: tool, param, type (``STRING``, ``BIGINT``, ``DOUBLE``, ``BOOLEAN``, ``OBJECT`` or ``ARRAY``), required
 
-Results meet calls by an equi-join on the identifier.  The order is the depth of
+Identifiers such as ``call_1`` come again in every conversation, so a call is known by conversation and
+identifier; results meet calls by an equi-join on both, and dependencies are those of the same conversation.  The order is the depth of
 a call below its dependencies (0: none), so depth and then call id is a
 topological order.  Chains are shortened by pointer jumping: a call with one
 dependency hands its pointer to that one's, doubling the distance each round, so
@@ -18,7 +19,7 @@ Canonical JSON: the argument text is parsed to a variant and written again, whic
 sorts the keys at all levels and drops white space outside strings; numbers keep
 their value.
 
-Defined results.  Identifier on several call rows: they count as one call (least
+Defined results.  A null conv_id is a conversation like any other.  Identifier on several call rows of a conversation: they count as one call (least
 tool and arguments; ``n_copies`` tells how many) that depends on the union of
 theirs.  Several results for a call: ``n_results``, least content.  Result without
 a call: a row of status ``orphan_result``.  Call without a result:
@@ -106,22 +107,25 @@ def depths(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    calls = calls.filter("call_id IS NOT NULL").select("conv_id", "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"), "tool", "arguments")
-    results = results.filter("call_id IS NOT NULL").select("call_id", "content")
-    one = calls.groupBy("call_id").agg(F.min("conv_id").alias("conv_id"), F.min(F.struct("tool", "arguments")).alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    one = store(one.select("call_id", "conv_id", "least.tool", "least.arguments", "n_copies"), "calls")
-    wanted = calls.select(F.col("call_id").alias("id"), F.explode("depends_on").alias("dep")).filter("dep IS NOT NULL").distinct()
-    ids = one.select(F.col("call_id").alias("id"))
+    """One row per call, and per result without one.  A call is known by its conversation and identifier together."""
+    key = F.struct("conv_id", "call_id").alias("key")
+    in_conversation = F.transform(F.coalesce("depends_on", F.array().cast("array<string>")), lambda d: F.when(d.isNotNull(), F.struct(F.col("conv_id"), d.alias("call_id")))).alias("depends_on")
+    calls = calls.filter("call_id IS NOT NULL").select(key, in_conversation, "tool", "arguments")
+    results = results.filter("call_id IS NOT NULL").select(key, "content")
+    one = calls.groupBy("key").agg(F.min(F.struct("tool", "arguments")).alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    one = store(one.select("key", "least.tool", "least.arguments", "n_copies"), "calls")
+    wanted = calls.select(F.col("key").alias("id"), F.explode("depends_on").alias("dep")).filter("dep IS NOT NULL").distinct()
+    ids = one.select(F.col("key").alias("id"))
     edges = wanted.join(ids.select(F.col("id").alias("dep"), F.lit(True).alias("is_known")), "dep", "left")
     edges = store(edges.select("id", "dep", F.coalesce("is_known", F.lit(False)).alias("is_known")), "calls-edges")
     depth = depths(edges.filter("is_known").select("id", "dep"), ids)
     unknown = edges.filter("NOT is_known").groupBy("id").agg(F.count(F.lit(1)).alias("n_unknown"))
-    answers = results.groupBy("call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
-    linked = validated(one, schemas).withColumn("_is_call", F.lit(True)).join(answers, "call_id", "full")
-    linked = linked.join(depth.withColumnRenamed("id", "call_id"), "call_id", "left").join(unknown.withColumnRenamed("id", "call_id"), "call_id", "left")
+    answers = results.groupBy("key").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
+    linked = validated(one, schemas).withColumn("_is_call", F.lit(True)).join(answers, "key", "full")
+    linked = linked.join(depth.withColumnRenamed("id", "key"), "key", "left").join(unknown.withColumnRenamed("id", "key"), "key", "left")
     status = F.when(F.col("_is_call").isNull(), "orphan_result").when(F.col("depth").isNull(), "cycle").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     return linked.select(
-        "conv_id", "call_id", "depth", status.alias("status"), "tool", "arguments", "valid", F.array_join("errors", ",").alias("errors"),
+        "key.conv_id", "key.call_id", "depth", status.alias("status"), "tool", "arguments", "valid", F.array_join("errors", ",").alias("errors"),
         F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown_deps"), "content",
     )
 
@@ -139,7 +143,7 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", name(0).alias("call_id"), F.array(name(1), name(2)).alias("depends_on"), F.when(F.col("role") == "user", "reply").otherwise("configure").alias("tool"),
         F.to_json(F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("prompt"))).alias("arguments"),
     )
-    return calls, rows.filter("role = 'assistant'").select(name(1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
+    return calls, rows.filter("role = 'assistant'").select("conv_id", name(1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 SCHEMAS = [("reply", "prompt", "STRING", True), ("reply", "turn", "BIGINT", True), ("configure", "prompt", "STRING", True), ("configure", "turn", "BIGINT", True)]
@@ -163,8 +167,8 @@ d AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM u
       UNION
       SELECT u.conv_id, u.turn, d.depth + 1 FROM d JOIN u ON u.conv_id = d.conv_id AND u.turn IN (d.turn + 1, d.turn + 2)),
 m AS (SELECT conv_id, turn, max(depth) AS depth FROM d GROUP BY ALL),
-a AS (SELECT conv_id || '/' || (turn - 1) AS call_id, min(body) AS content, count(*) AS n_results FROM t WHERE role = 'assistant' GROUP BY ALL)
-SELECT u.conv_id, coalesce(u.call_id, a.call_id) AS call_id, m.depth,
+a AS (SELECT conv_id, conv_id || '/' || (turn - 1) AS call_id, min(body) AS content, count(*) AS n_results FROM t WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.call_id, a.call_id) AS call_id, m.depth,
        CASE WHEN u.call_id IS NULL THEN 'orphan_result' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        least.tool AS tool, least.arguments AS arguments, CASE WHEN u.call_id IS NOT NULL THEN true END AS valid, CASE WHEN u.call_id IS NOT NULL THEN '' END AS errors,
        coalesce(n_copies, 0) AS n_copies, coalesce(n_results, 0) AS n_results,

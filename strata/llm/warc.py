@@ -237,7 +237,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
      d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
      f AS (SELECT payload_digest, min(page_id) AS lowest FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT d.page_id, d.payload_bytes, d.payload_digest,
-       CASE WHEN f.lowest <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.lowest <> d.page_id THEN f.lowest END AS refers_to
+       CASE WHEN f.lowest IS NOT NULL AND f.lowest IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.lowest IS DISTINCT FROM d.page_id THEN f.lowest END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)"""
 }

@@ -323,13 +323,19 @@ def calls(spark, rows):
 def test_tool_calls(spark):
     rows = [(1, "a", None, "f", '{"y": 2, "x": "s"}'), (1, "b", ["a"], "f", '{"x":1}'), (1, "c", ["a", "b", "zz"], "g", "{}"), (1, "d", ["c"], "f", "not json"), (2, "p", ["q"], "f", '{"x":""}'), (2, "q", ["p"], "f", None), (3, "a", None, "f", '{"y": 2, "x": "s"}'), (4, None, None, "f", "{}"), (5, "self", ["self"], "f", "[1]")]
     rows += [(6, f"n{k}", [f"n{k - 1}"] if k else None, "f", '{"x":"","z":{"b":1,"a":[ 1 ]}}') for k in range(40)]
-    results = spark.createDataFrame([("a", "ok"), ("a", "again"), ("ghost", "r"), (None, "r")], "call_id string, content string")
+    # another conversation with the same identifiers, a third without a number
+    rows += [(9, "b", None, "f", '{"x":"nine"}'), (9, "c", ["b"], "f", '{"x":"nine"}'), (None, "b", ["c"], "f", '{"x":"none"}'), (None, "c", None, "f", '{"x":"none"}')]
+    results = spark.createDataFrame([(1, "a", "ok"), (1, "a", "again"), (1, "ghost", "r"), (1, None, "r"), (9, "c", "r9"), (None, "b", "rn")], "conv_id long, call_id string, content string").selectExpr("*", "'x' AS depth")
     schemas = spark.createDataFrame([("f", "x", "STRING", True), ("f", "y", "BIGINT", False), ("f", "z", "OBJECT", False)], "tool string, param string, type string, required boolean")
-    got = {r.call_id: r for r in tool_calls.link_tool_calls(calls(spark, rows), results, schemas).collect()}
-    assert len(got) == 8 + 40
+    linked = tool_calls.link_tool_calls(calls(spark, rows), results, schemas).collect()
+    own = {(r.conv_id, r.call_id): r for r in linked}
+    assert len(linked) == len(own) == 9 + 40 + 4
+    assert [(own[k].depth, own[k].status, own[k].content) for k in ((9, "b"), (9, "c"), (None, "c"), (None, "b"))] == [(0, "unanswered", None), (1, "linked", "r9"), (0, "unanswered", None), (1, "linked", "rn")]
+    assert own[(3, "a")].status == "unanswered" and own[(3, "a")].n_copies == 1
+    got = {c: r for (v, c), r in own.items() if v in (1, 2, 5, 6)}
     assert [got[k].depth for k in "abcd"] == [0, 1, 2, 3] and all(got[f"n{k}"].depth == k for k in range(40))
     assert {got[k].status for k in ("p", "q", "self")} == {"cycle"} and got["ghost"].status == "orphan_result" and got["a"].status == "linked" and got["b"].status == "unanswered"
-    assert (got["a"].n_copies, got["a"].n_results, got["a"].content, got["c"].n_unknown_deps) == (2, 2, "again", 1)
+    assert (got["a"].n_copies, got["a"].n_results, got["a"].content, got["c"].n_unknown_deps) == (1, 2, "again", 1)
     assert got["a"].arguments == '{"x":"s","y":2}' and got["n1"].arguments == '{"x":"","z":{"a":[1],"b":1}}'
     assert (got["a"].valid, got["b"].errors, got["c"].errors, got["d"].errors, got["q"].errors, got["self"].errors) == (True, "type:x", "unknown_tool", "not_an_object", "not_an_object", "not_an_object")
     assert tool_calls.link_tool_calls(calls(spark, []), results.limit(0), schemas).count() == 0
