@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -22,19 +23,25 @@ class WholeText:
     """
 
     def __init__(self, path: str, ranks: str | None):
-        import base64
+        self.path, self.fast = path, None
+        if ranks:
+            import base64
 
-        import tiktoken
-        from tokenizers import Tokenizer
+            import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.fast = None
-        if ranks:
             with open(ranks, "rb") as lines:
                 known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
+    @cached_property
+    def model(self):
+        """The tokenizer, which takes memory only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint16)
