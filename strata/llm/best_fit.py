@@ -15,7 +15,7 @@ items (size) without a place and open sequences (gap).  A round is
 4. items of highest rank that still have none open new sequences, as many as the volume left over needs at the least;
 5. gaps are updated, placed items are written, and the next round goes on with the rest.
 
-Rounds end when no item is left.  Once the rest fits one range, its sweep also opens sequences where no gap holds an
+Rounds end when no item is left; there are about as many as a sequence has items.  Once the rest fits one range, its sweep also opens sequences where no gap holds an
 item, which is best fit decreasing.  A range holds about ``range_rows`` rows, whatever the input.
 
 Defined results.  Null or empty text: the single id 0.  Null doc_id: kept, as null.  Repeated rows are packed
@@ -219,7 +219,8 @@ def place(items: DataFrame, length: int, range_rows: int = RANGE_ROWS) -> DataFr
         remove(state)
         state = store(after.unionByName(used), "fit-state")
         left = state.filter("is_item").count()
-        slow = left > 0.9 * n["items"]
+        # hardly a gap took an item: what is left doesn't fit them
+        slow = n["gaps"] > 0 and n["items"] - left - opened < 0.1 * n["gaps"]
     if not placed:
         return spark.createDataFrame([], "number long, sequence long, offset long")
     out = placed[0]
