@@ -452,7 +452,7 @@ def test_pipeline_and_registration(spark):
             some = spark.createDataFrame(some.collect(), docs.schema)
         rows = corpus_pipeline.STAGES[-1][1](spark, some, DATA).collect()
         assert {r.doc_id for r in rows} == {r.doc_id for r in some.collect()}
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registered.QUERIES if k != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registered.QUERIES if k != "pipeline"}
 
 
 def test_pipeline_keeps_one_of_a_class_with_null_ids(spark):
