@@ -107,12 +107,11 @@ class Warehouse:
     def from_standin(cls, spark: SparkSession, sf_dir: str, as_of: date | str | None = None, **options) -> "Warehouse":
         """Warehouse over the driver tables, on the path the extracts take: the stand-in rows are written as CSV extracts, landed
         as bronze, and loaded from there.  The driver's Parquet files hold a single
-        row group each, so a scan is one task; the line items are spread over
-        all cores right after the scan so the extracts are written in parallel."""
-        cores = spark.sparkContext.defaultParallelism
+        row group each, so a scan is one task; the line items are spread by their join with the orders,
+        so the extracts are written in parallel."""
         store = cls.fresh_store(spark)
         landing = f"{store.root}/_landing"
-        write_extracts(standin_bronze(spark, sf_dir, spread=cores), landing)
+        write_extracts(standin_bronze(spark, sf_dir, spread=True), landing)
         load_bronze(spark, landing, store)
         return cls.build(spark, store=store, as_of=as_of, **options)
 

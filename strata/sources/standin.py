@@ -151,18 +151,18 @@ def standin_sql(name: str, table_ref=lambda t: t) -> str:
     return STANDIN_SQL[name].format(**{t: table_ref(t) for t in DRIVER_TABLES})
 
 
-def read_driver_tables(spark: SparkSession, sf_dir: str, spread: int | None = None) -> dict[str, DataFrame]:
-    """The driver tables.  ``spread`` redistributes the line items over that
-    many partitions right after the scan: the driver writes each table as one
-    Parquet row group, which Spark can only read in one task, and everything
-    downstream of the sales scan would otherwise stay in that task."""
+def read_driver_tables(spark: SparkSession, sf_dir: str, spread: bool = False) -> dict[str, DataFrame]:
+    """The driver tables.  ``spread``: the line items leave the task that scans them (the driver writes each table as one
+    Parquet row group, which Spark can only read in one task) by the exchange of their join with the orders, which is
+    therefore a merge join at any size.  Line items move once: a round robin before the join would move them a second
+    time, after a sort of all rows of the scanning task."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
     if spread:
-        tables["lineitem"] = tables["lineitem"].repartition(spread)
+        tables["orders"] = tables["orders"].hint("merge")
     return tables
 
 
-def standin_bronze(spark: SparkSession, sf_dir: str, spread: int | None = None) -> dict[str, DataFrame]:
+def standin_bronze(spark: SparkSession, sf_dir: str, spread: bool = False) -> dict[str, DataFrame]:
     """The six bronze frames (lazy) with the declared bronze schemas."""
     tables = read_driver_tables(spark, sf_dir, spread)
     out = {}

@@ -179,6 +179,16 @@ def test_standin_survives_the_extract_format(spark, tmp_path):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
 
 
+def test_line_items_are_exchanged_once(spark):
+    """Their join with the orders spreads them, whatever the size of the orders; a round robin before it moved them twice."""
+    spread = standin_bronze(spark, SF, spread=True)["crm_sales_details"]
+    plan = spread._jdf.queryExecution().sparkPlan().toString() + spread._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "REPARTITION" not in plan and "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders
+    plain = standin_bronze(spark, SF)["crm_sales_details"]
+    assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
+
+
 def test_rules_that_loads_guarantee_find_violations(spark):
     """Checks that are empty on any loaded warehouse, on frames that break them."""
     frames = {
