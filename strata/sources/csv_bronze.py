@@ -20,6 +20,9 @@ from strata.schemas import BRONZE, SOURCE_FILES
 
 CORRUPT = "_corrupt_record"
 
+# Rows of one written extract file.  A compressed file is read by one task, so its size is bounded.
+ROWS_PER_FILE = 1_000_000
+
 
 def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str = "fail",
                     keep_corrupt: bool = False) -> DataFrame:
@@ -46,7 +49,8 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, on_bad_rows: str
 
 
 def write_extracts(frames: dict[str, DataFrame], folder: str) -> None:
-    """Write frames as extracts in the source's format (each a folder of CSV files)."""
+    """Write frames as extracts in the source's format (each a folder of gzipped CSV files of at most
+    ``ROWS_PER_FILE`` rows)."""
 
     def one(name: str) -> None:
         (frames[name].write.mode("overwrite")
@@ -54,6 +58,7 @@ def write_extracts(frames: dict[str, DataFrame], folder: str) -> None:
          .option("nullValue", "").option("emptyValue", "").option("lineSep", "\r\n")
          .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
          .option("dateFormat", "yyyy-MM-dd").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+         .option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE)
          .csv(f"{folder.rstrip('/')}/{SOURCE_FILES[name]}"))
 
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:

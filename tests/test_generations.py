@@ -1,7 +1,9 @@
 """Reloads beside the old rows: generations, one pointer, pinned readers; what a load measures."""
 
+import gzip
 import threading
 from datetime import date, datetime, timedelta, timezone
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 from strata.plans import quality
 from strata.plans.jobs import LoadError, _run, load_bronze, load_silver, rejects
 from strata.plans.warehouse import Warehouse
-from strata.schemas import BRONZE, SILVER
+from strata.schemas import BRONZE, SILVER, SOURCE_FILES
+from strata.sources import csv_bronze
 from strata.sources.csv_bronze import write_extracts
 from strata.sources.standin import standin_bronze
 from strata.sources.tables import LayerStore
@@ -189,6 +192,16 @@ def test_line_items_are_exchanged_once(spark):
     assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
 
 
+def test_extract_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    """One task reads a compressed file, so no file grows with the extract."""
+    monkeypatch.setattr(csv_bronze, "ROWS_PER_FILE", 10, raising=False)
+    bronze = standin_bronze(spark, SF)["crm_cust_info"].coalesce(1)
+    write_extracts({"crm_cust_info": bronze}, str(tmp_path))
+    files = list((tmp_path / SOURCE_FILES["crm_cust_info"]).glob("part-*"))
+    held = [len(gzip.decompress(f.read_bytes()).split(b"\r\n")) - 2 for f in files]  # less the header and the end
+    assert max(held) == 10 and sum(held) == bronze.count()
+
+
 def test_rules_that_loads_guarantee_find_violations(spark):
     """Checks that are empty on any loaded warehouse, on frames that break them."""
     frames = {
