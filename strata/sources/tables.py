@@ -34,6 +34,9 @@ from strata.sources.generations import Generation, Manifests
 # per task and merge, and never too low beyond.
 SKETCH_ITEMS = 10_000
 
+# Every table is written once a load and read by many queries, so its files take the stronger codec.
+CODEC = "zstd"
+
 
 def _spark_type_name(dt: T.DataType) -> str:
     return dt.simpleString()
@@ -100,7 +103,7 @@ class LayerStore:
             measures.append(F.count(F.when(count, 1)).alias("counted"))
         seen = Observation()
         # measured in the stage that writes, whose tasks count once
-        out = df.observe(seen, *measures).write.format("parquet").option("path", path)
+        out = df.observe(seen, *measures).write.format("parquet").option("compression", CODEC).option("path", path)
         if bucket_by is None:
             out.mode("error").save()
         else:

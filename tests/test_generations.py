@@ -202,6 +202,17 @@ def test_extract_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     assert max(held) == 10 and sum(held) == bronze.count()
 
 
+def test_stored_tables_take_the_stronger_codec(spark, tmp_path):
+    """Plain and bucketed tables alike."""
+    store = LayerStore(spark, str(tmp_path / "wh"), catalog_prefix="codec_")
+    df = spark.range(100).select(F.col("id").cast("int").alias("cst_id"))
+    for buckets in (None, (2, "cst_id")):
+        store.write("silver", "crm_cust_info", df, buckets)
+        files = list(Path(store.path("silver", "crm_cust_info")).glob("part-*"))
+        assert files and all(".zstd." in f.name for f in files)
+        assert store.read("silver", "crm_cust_info").exceptAll(df).count() == 0
+
+
 def test_rules_that_loads_guarantee_find_violations(spark):
     """Checks that are empty on any loaded warehouse, on frames that break them."""
     frames = {
